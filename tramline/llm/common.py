@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         start = size = 0
-        lens = pa.compute.binary_length(col).to_pylist()
+        lens = pc.binary_length(col).to_pylist()
         for i, n in enumerate(lens):
             size += n or 0
             if size >= limit or i + 1 == len(lens):
