@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tramline.llm.licenses import op6_license_scans
 from tramline.llm.packing import op5_packing
 from tramline.llm.quality_classifier import op2_quality_classifier
 from tramline.llm.quality_rules import op7_quality_rules
@@ -13,7 +14,7 @@ from tramline.llm.simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op5_packing, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op5_packing, op6_license_scans, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
