@@ -12,11 +12,12 @@ from tramline.llm.quality_classifier import op2_quality_classifier
 from tramline.llm.quality_rules import op7_quality_rules
 from tramline.llm.simhash import op1_simhash
 from tramline.llm.suffix_tree import op9_lm_scoring
+from tramline.llm.transport import op4_media_columns
 from tramline.llm.warc import op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op5_packing, op6_license_scans, op7_quality_rules, op9_lm_scoring, op10_warc)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op4_media_columns, op5_packing, op6_license_scans, op7_quality_rules, op9_lm_scoring, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
