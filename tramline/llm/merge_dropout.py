@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tramline.llm.common import column, slices
 
@@ -332,7 +333,7 @@ def decoded(rows: DataFrame, pieces_col: str = "pieces", model: str | None = Non
                 more = [pa.array([decode(x, texts) for x in parts], pa.binary()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in parts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "decoded", "pieces_crc32"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "binary").add("pieces_crc32", "bigint"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType()), T.StructField("pieces_crc32", T.LongType())]))
 
 
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
