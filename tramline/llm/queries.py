@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tramline.llm.licenses import op6_license_scans
 from tramline.llm.merge_dropout import op3_merge_dropout
+from tramline.llm.mixing_coder import op8_token_ids
 from tramline.llm.packing import op5_packing
 from tramline.llm.quality_classifier import op2_quality_classifier
 from tramline.llm.quality_rules import op7_quality_rules
@@ -18,7 +19,7 @@ from tramline.llm.warc import op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op3_merge_dropout, op4_media_columns, op5_packing, op6_license_scans, op7_quality_rules, op9_lm_scoring, op10_warc)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op3_merge_dropout, op4_media_columns, op5_packing, op6_license_scans, op7_quality_rules, op8_token_ids, op9_lm_scoring, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
