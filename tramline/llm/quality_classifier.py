@@ -32,8 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tramline.llm.common import column, hashed_fold, slices
+from tramline.llm.common import hashed_fold, slices
 
 DIM, BUCKETS, SHAPES = 32, 1 << 15, 1 << 12
 SAMPLE, WINDOW, HIDDEN, EPOCHS = 3_000, 2, 24, 40
@@ -182,24 +183,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([t.encode() for t in pdf["text"]], pdf["label"].to_numpy(int), count.get(1, 0) / sum(count.values()))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(id, carried columns, score)."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with their score as the column `name`, which replaces one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carry = carry or []
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
+    docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, fitted = Buckets(), shared.value
-        for part, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([column(part, "id"), pa.array(fitted.scores(texts, buckets))], ["id", "score"])
+        for part, texts in slices(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fitted.scores(texts, buckets))], [*part.schema.names, name])
 
-    return source.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
     """(id, held_out, score, predicted)."""
-    scored = score(docs, train(docs, labels, id_col, text_col, label_col, folds), id_col, text_col)
+    scored = score(docs.select(id_col, text_col), train(docs, labels, id_col, text_col, label_col, folds), text_col)
     return scored.select(id_col, (hashed_fold(id_col, folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
