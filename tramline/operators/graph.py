@@ -7,9 +7,11 @@ oneway, cost, restriction, is_reverse, allowed_modes, osmid.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import geo, tags
@@ -133,8 +135,8 @@ def build_edges(ways: DataFrame, nodes: DataFrame, relations: DataFrame, profile
 def with_reverse(edges: DataFrame) -> DataFrame:
     """edges and, where no edge runs back, a copy that does; it reads its geometry backwards."""
     flipped = F.when(F.col("oneway") == 1, 2).when(F.col("oneway") == 2, 1).otherwise(F.col("oneway"))
-    there = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    back = edges.withColumnsRenamed({"src": "dst", "dst": "src"}).withColumns({"oneway": flipped, "is_reverse": F.lit(True), "edge_id": F.xxhash64("src", "dst", F.lit(True))})
+    there = edges.select("src", "dst")
+    back = edges.withColumns({"src": F.col("dst"), "dst": F.col("src"), "oneway": flipped, "is_reverse": F.lit(True), "edge_id": F.xxhash64("dst", "src", "osmid", F.lit(True))})
     return edges.unionByName(back.join(there, ["src", "dst"], "left_anti").select(*edges.columns))
 
 
@@ -172,42 +174,48 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return found.unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def similar(a: dict, b: dict, node: int) -> bool:
+def similar(a: Column, b: Column, node: Column) -> Column:
     """Whether two edges that meet at a node may become one."""
-    if (a["oneway"] != 0) != (b["oneway"] != 0) or a["restriction"] or b["restriction"]:
-        return False
-    if any(a[k] != b[k] for k in ("level", "allowed_modes", "lines")):
-        return False
-    return a["oneway"] == 0 or (a["dst"] == node) != (b["dst"] == node)
+    alike = reduce(and_, (a[k] == b[k] for k in ("level", "allowed_modes", "lines")))
+    head_to_tail = (a["dst"] == node) != (b["dst"] == node)
+    return ((a["oneway"] != 0) == (b["oneway"] != 0)) & ~a["restriction"] & ~b["restriction"] & alike & ((a["oneway"] == 0) | head_to_tail)
 
 
-def collapse(edges: list[dict], flags: dict[int, int]) -> list[dict]:
-    """Joins edges at plain nodes with two edges, in one pass over the nodes in ascending order.
+def joints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, a, b): plain nodes with two edges that may become one, and the edges' ids."""
+    fields = ("edge_id", "src", "dst", "oneway", "restriction", "level", "allowed_modes", "lines")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), F.struct(*fields).alias("e"))
+    met = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("e").alias("a"), F.max("e").alias("b")).where("n = 2 and a.edge_id <> b.edge_id")
+    flagged = nodes.where("flags <> 0").select(F.col("node_id").alias("node"))
+    far = lambda e: F.when(F.col(f"{e}.src") == F.col("node"), F.col(f"{e}.dst")).otherwise(F.col(f"{e}.src"))
+    met = met.where((far("a") != far("b")) & similar(F.col("a"), F.col("b"), F.col("node")))
+    return met.join(flagged, "node", "left_anti").select("node", F.col("a.edge_id").alias("a"), F.col("b.edge_id").alias("b"))
 
-    A node stays if it is flagged, if its edges differ, or if its neighbours are joined already. Joined edges can be joined
-    again at later nodes. Costs add up; osmid stays where both agree and is 0 otherwise.
+
+def collapse(edges: list[dict], plain: set[int]) -> list[dict]:
+    """Joins edges at plain nodes, in one pass over them in ascending order.
+
+    A node stays if its neighbours are joined already. Joined edges can be joined again at later nodes. Costs add up; osmid
+    stays where both agree and is 0 otherwise.
     """
-    live = dict(enumerate(edges))
-    at: dict[int, dict[int, None]] = {}
+    live, at = dict(enumerate(edges)), {}
     for i, e in live.items():
-        for node in {e["src"], e["dst"]}:
+        for node in (e["src"], e["dst"]):
             at.setdefault(node, {})[i] = None
-    next_id = len(live)
-    for node in sorted(at):
+    fresh = len(live)
+    for node in sorted(plain):
         here = list(at[node])
-        if flags.get(node, 0) or len(here) != 2:
+        if len(here) != 2:
             continue
         a, b = (live[i] for i in here)
         ends = [e["dst"] if e["src"] == node else e["src"] for e in (a, b)]
-        if node in ends or ends[0] == ends[1] or not similar(a, b, node):
-            continue
-        if any({live[i]["src"], live[i]["dst"]} == set(ends) for i in at[ends[0]]):
+        if ends[0] == ends[1] or any({live[i]["src"], live[i]["dst"]} == set(ends) for i in at[ends[0]]):
             continue
         if a["oneway"] != 0 and a["dst"] != node:
             a, b, ends = b, a, ends[::-1]
         left = a["geometry"] if a["dst"] == node else a["geometry"][::-1]
         right = b["geometry"] if b["src"] == node else b["geometry"][::-1]
-        joined = a | {
+        live[fresh] = a | {
             "src": ends[0],
             "dst": ends[1],
             "geometry": left + (right[1:] if left[-1] == right[0] else right),
@@ -216,35 +224,49 @@ def collapse(edges: list[dict], flags: dict[int, int]) -> list[dict]:
             "is_reverse": False,
         }
         for i in here:
-            for end in {live[i]["src"], live[i]["dst"]}:
+            for end in (live[i]["src"], live[i]["dst"]):
                 at[end].pop(i, None)
             del live[i]
-        live[next_id] = joined
         for end in ends:
-            at[end][next_id] = None
-        next_id += 1
+            at[end][fresh] = None
+        fresh += 1
     return list(live.values())
 
 
-def collapsed(edges: DataFrame, nodes: DataFrame, profile: str, parts: DataFrame | None = None) -> DataFrame:
-    """edges with chains joined, component by component, and costs recomputed from geometry and level."""
-    parts = components(edges) if parts is None else parts
-    keyed = edges.join(parts.select(F.col("node").alias("src"), "component"), "src")
-    marks = nodes.where("flags <> 0").select("node_id", "flags").join(parts.select(F.col("node").alias("node_id"), "component"), "node_id")
+def collapsed(edges: DataFrame, nodes: DataFrame, profile: str | None = None) -> DataFrame:
+    """edges with chains joined; with a profile, costs are recomputed from geometry and level.
 
-    def run(key: tuple, table: pd.DataFrame, flagged: pd.DataFrame) -> pd.DataFrame:
-        rows = table.drop(columns="component").sort_values(["src", "dst", "edge_id"]).to_dict("records")
-        for r in rows:
+    Chains are components of edges that share a joint. Chains and edges between the same two ends can stand in each other's
+    way, so they form one group and are joined in one pass; groups are as small as a stretch of road, whatever the network.
+    """
+    found = written(joints(edges, nodes), "joints")
+    chain = components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("edge_id"), F.col("component").alias("chain"))
+    rows = edges.join(chain, "edge_id", "left")
+    inner = found.select("node").withColumn("_plain", F.lit(True))
+    ends = rows.where("chain is not null").select("chain", F.explode(F.array("src", "dst")).alias("node")).join(inner.select("node"), "node", "left_anti")
+    ends = ends.groupBy("chain").agg(F.array_sort(F.collect_set("node")).alias("ends"))
+    pair = F.array_sort(F.array("src", "dst"))
+    keyed = rows.join(ends, "chain", "left").withColumn("group", F.when(F.col("chain").isNull(), pair).when(F.size("ends") == 2, F.col("ends")).otherwise(F.array("chain")))
+    busy = keyed.where("chain is not null").select("group").distinct()
+    mark = lambda c: inner.withColumnsRenamed({"node": c, "_plain": f"_{c}"})
+    work = keyed.join(busy, "group", "left_semi").join(mark("src"), "src", "left").join(mark("dst"), "dst", "left")
+
+    columns = edges.columns
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        plain = {int(n) for c in ("src", "dst") for n in table.loc[table[f"_{c}"].notna(), c]}
+        kept = table[columns].sort_values(["src", "dst", "edge_id"]).to_dict("records")
+        for r in kept:
             r["geometry"] = [(p["lon"], p["lat"]) for p in r["geometry"]]
-            r["lines"] = tuple((x["short_name"], x["from_str"], x["to_str"]) for x in r["lines"])
-        out = pd.DataFrame(collapse(rows, dict(zip(flagged["node_id"], flagged["flags"], strict=True))), columns=[c for c in table.columns if c != "component"])
+        out = pd.DataFrame(collapse(kept, plain), columns=columns)
         out["geometry"] = [[{"lon": x, "lat": y} for x, y in g] for g in out["geometry"]]
-        out["lines"] = [[dict(zip(("short_name", "from_str", "to_str"), x, strict=True)) for x in v] for v in out["lines"]]
         return out
 
-    joined = keyed.groupBy("component").cogroup(marks.groupBy("component")).applyInPandas(run, edges.schema)
-    length = geo.total(geo.lengths(F.col("geometry")))
-    return joined.withColumns({"edge_id": F.xxhash64("src", "dst", F.lit(False)), "cost": tags.cost(length, tags.speed(F.col("level"), profile))})
+    joined = work.groupBy("group").applyInPandas(run, edges.schema)
+    out = joined.unionByName(keyed.join(busy, "group", "left_anti").select(*edges.columns)).withColumn("edge_id", F.xxhash64("src", "dst", "osmid", F.lit(False)))
+    if profile is not None:
+        out = out.withColumn("cost", tags.cost(geo.total(geo.lengths(F.col("geometry"))), tags.speed(F.col("level"), profile)))
+    return out
 
 
 def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
