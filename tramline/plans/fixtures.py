@@ -12,7 +12,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 PROJECTIONS = {
     "fx_stops": """select s_suppkey as stop_id, cast(7.5 as double) + cast(s_suppkey % 10 as double) * cast(0.013 as double) as lon,
-        cast(47.9 as double) + floor(s_suppkey / 10.0) * cast(0.009 as double) as lat from supplier""",
+        cast(47.9 as double) + floor(s_suppkey / 10.0) * cast(0.009 as double) as lat, s_acctbal as balance from supplier""",
     "fx_nodes": """select c_custkey as node_id, cast(c_custkey % 40 as int) as gx, cast(floor(c_custkey / 40.0) as int) as gy,
         cast(7.5 as double) + cast(c_custkey % 40 as double) * cast(0.004 as double) as lon,
         cast(47.9 as double) + floor(c_custkey / 40.0) * cast(0.004 as double) as lat from customer""",
@@ -25,8 +25,8 @@ PROJECTIONS = {
         case p_size % 16 when 0 then 0 when 1 then 1 when 2 then 2 when 3 then 3 when 4 then 4 when 5 then 5 when 6 then 6
           when 7 then 7 when 8 then 109 when 9 then 116 when 10 then 200 when 11 then 405 when 12 then 700 when 13 then 800
           when 14 then 1100 else 1400 end as route_type
-        from part where p_partkey < 50""",
-    "fx_trips": "select o_orderkey as trip_id, cast(o_custkey % 50 as string) as route_id from orders",
+        from part""",
+    "fx_trips": "select o_orderkey as trip_id, cast(o_custkey as string) as route_id, o_orderstatus as status from orders",
     "fx_stop_times": """select l_orderkey as trip_id, l_linenumber as stop_sequence, l_suppkey as stop_id,
         cast(120 * l_linenumber + cast(l_quantity as int) as int) as arrival_time,
         cast(120 * l_linenumber + cast(l_quantity as int) + 20 as int) as departure_time from lineitem""",
@@ -47,7 +47,7 @@ PROJECTIONS = {
         case p_partkey % 6 when 0 then 'yes' when 1 then '-1' when 2 then 'no' end as oneway,
         case p_partkey % 13 when 0 then 'forward' when 1 then 'backward' when 2 then 'both' end as direction from part""",
     "fx_shapes_old": """select concat('shp-', cast(l_suppkey % 20 as string), '-', lpad(lower(hex(l_partkey % 4096)), 6, '0'), '-',
-          case when l_partkey % 2 = 0 then '0000aa' else '0000bb' end) as shape_id, l_linenumber as seq from lineitem where l_orderkey < 200""",
+          case when l_partkey % 2 = 0 then '0000aa' else '0000bb' end) as shape_id, l_linenumber as seq from lineitem""",
 }
 
 

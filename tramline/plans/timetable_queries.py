@@ -58,9 +58,9 @@ def mode_filtered_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filtered_trips(table(spark, sf_dir, "fx_trips"), table(spark, sf_dir, "fx_routes"), modes.parse_modes("bus, metro, light-rail")).select("trip_id", "route_id")
 
 
-@query("select trip_id, stop_sequence, stop_id, arrival_time from fx_stop_times where stop_id in (select stop_id from fx_stops where stop_id % 7 <> 0) and trip_id in (select trip_id from fx_trips where trip_id % 3 <> 0)")
+@query("select trip_id, stop_sequence, stop_id, arrival_time from fx_stop_times where stop_id in (select stop_id from fx_stops where balance >= 0) and trip_id in (select trip_id from fx_trips where status <> 'F')")
 def stop_times_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stops, trips = table(spark, sf_dir, "fx_stops").where("stop_id % 7 <> 0"), table(spark, sf_dir, "fx_trips").where("trip_id % 3 <> 0")
+    stops, trips = table(spark, sf_dir, "fx_stops").where("balance >= 0"), table(spark, sf_dir, "fx_trips").where("status <> 'F'")
     return p.usable_stop_times(table(spark, sf_dir, "fx_stop_times"), stops, trips).select("trip_id", "stop_sequence", "stop_id", "arrival_time")
 
 
@@ -73,10 +73,10 @@ def mean_hop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.hop_times(times, trips).select("pattern_id", "pos", F.round("mean_arr", 6).alias("mean_arr"), F.round("mean_dep", 6).alias("mean_dep"), "trips")
 
 
-@query("""select trip_id, stop_sequence, cast(ceil(round(greatest(cast(arrival_time as double), 60.0) * 41.58, 4)) as bigint) as budget from fx_stop_times where arrival_time % 50 <> 0""")
+@query("""select trip_id, stop_sequence, cast(ceil(greatest(arrival_time + 0.25::double, 60.0) * 41.58) as bigint) as budget from fx_stop_times""")
 def hop_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "fx_stop_times").where("arrival_time % 50 <> 0")
-    return rows.select("trip_id", "stop_sequence", p.hop_budget(F.col("arrival_time").cast("double")).alias("budget"))
+    rows = table(spark, sf_dir, "fx_stop_times")
+    return rows.select("trip_id", "stop_sequence", p.hop_budget(F.col("arrival_time") + F.lit(0.25)).alias("budget"))
 
 
 @query(f"""select trip_id, coalesce(r_name, 'zzz_unknown') as agency_name, case when {MODE} = 'Coach' then 'Coach' else 'Bus' end as road_profile
@@ -135,11 +135,11 @@ def shapes_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"shape_pt_lat": "lat", "shape_pt_lon": "lon", "shape_pt_sequence": "seq"})
 
 
-@query("select trip_id, route_id, case when trip_id % 3 = 0 then concat('new-', cast(trip_id % 10 as string)) else '' end as shape_id from fx_trips")
+@query("select trip_id, route_id, case when status = 'O' then concat('new-', cast(trip_id % 10 as string)) else '' end as shape_id from fx_trips")
 def trips_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = table(spark, sf_dir, "fx_trips")
-    found = trips.where("trip_id % 3 = 0").groupBy(F.concat(F.lit("new-"), (F.col("trip_id") % 10).cast("string")).alias("shape_id")).agg(F.collect_list("trip_id").alias("trip_ids"))
-    return shapes.rewritten_trips(trips, found)
+    found = trips.where("status = 'O'").groupBy(F.concat(F.lit("new-"), (F.col("trip_id") % 10).cast("string")).alias("shape_id")).agg(F.collect_list("trip_id").alias("trip_ids"))
+    return shapes.rewritten_trips(trips.drop("status"), found)
 
 
 @query("select route_id, route_short_name, colour, agency_id, case when agency_id = 2 then 'FF0000' else route_color end as route_color, case when agency_id = 2 then '000000' else '' end as route_text_color from (select route_id, route_short_name, colour, agency_id, upper(colour) as route_color from fx_routes)")
@@ -192,9 +192,9 @@ def route_colour_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.route_colours(routes, relations)
 
 
-@query("select route_id, colour from (select cast(o_custkey % 50 as string) as route_id, o_orderpriority as colour, row_number() over (partition by o_custkey % 50 order by o_orderkey) as k from orders where o_orderstatus = 'O') where k = 1")
+@query("select route_id, colour from (select cast(o_custkey as string) as route_id, o_orderpriority as colour, row_number() over (partition by o_custkey order by o_orderkey) as k from orders where o_orderstatus = 'O') where k = 1")
 def first_route_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).cast("string").alias("route_id"), F.col("o_orderkey").alias("pattern_id"), F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).alias("colour"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("route_id"), F.col("o_orderkey").alias("pattern_id"), F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).alias("colour"))
     return shapes.first_colours(rows)
 
 
