@@ -38,8 +38,8 @@ FEATURES: dict[str, tuple[Callable[[], Column], float]] = {
     "dup_lines": (lambda: F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))), 0.12),
     "repeats": (lambda: F.sqrt(F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1))), 0.12),
 }
-#: Medians of the chi-squared distribution with as many degrees of freedom as there are features (5), and its 0.99999 quantile: fixed values.
-CHI2_MEDIAN, CHI2_CUT = 4.35146, 30.8562
+# The median of the chi-squared distribution with as many degrees of freedom as there are features (5), and its 1 - 1e-7 quantile.
+CHI2_MEDIAN, CHI2_CUT = 4.35146, 40.8631
 STEPS, KEEP_SHARE, MIN_ROWS, ACCURACY = 3, 0.75, 40, 2_000
 
 
