@@ -1,0 +1,466 @@
+"""Every operator against a plain version of itself, on hand-made rows with nulls, ties, repeats and odd texts."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tramline.llm import licenses, merge_dropout, mixing_coder, packing, quality_classifier, quality_rules, simhash, suffix_tree, transport, warc
+from tramline.llm.tokens import WordIds, resolve
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(n))
+
+
+def rows():
+    """(doc_id, text, lang, source, n_chars): more columns than are asked for, under names that operators use themselves."""
+    rng = random.Random(5)
+    base = [prose(rng, 120) for _ in range(12)]
+    near = [b.replace(" ", "  ", 1) + " end" for b in base[:4]]
+    odd = [None, "", " ", "\n\t\x0b", "one", "One TWO", "é ñ ß İ 中文 🙂", "a\x00b \x1c c", "x" * 5000, "the same line\n" * 40, base[0], base[0].upper(), prose(rng, 6000), "Released under the MIT License. GNU General Public License, cc by\nApache License", "<|endoftext|> and ▁ marks", "*** ### $$$ | <>"]
+    texts = base + near + odd + odd[:3]
+    return [(i * 3 + 1, t, ("en", "fr", None)[i % 3], ("s0", "s1")[i % 2], i) for i, t in enumerate(texts)]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, score long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def plain_words(text):
+    return [w for w in SPACE.split(text or "") if w]
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+# SimHash.
+
+
+def plain_fingerprint(text):
+    w = plain_words(lower(text))
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(fps):
+    root = {i: i for i in fps}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in fps:
+        for j in fps:
+            if i < j and (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return {i: top(i) for i in fps}
+
+
+def test_simhash(docs):
+    found = by_id(simhash.near_duplicates(docs))
+    fps = {i: plain_fingerprint(t) for i, t, *_ in rows()}
+    assert {i: r["fingerprint"] for i, r in found.items()} == {i: f"{x:016x}" for i, x in fps.items()}
+    assert {i: r["component_id"] for i, r in found.items()} == plain_components(fps)
+
+
+def test_simhash_ids(spark):
+    some = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (None, "z y x w"), (7, "a b c d")], "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(some).collect()), key=str)
+    assert found == sorted([(7, 7), (7, 7), (None, 7), (None, None)], key=str)
+    assert simhash.near_duplicates(some.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [0, 3, 6])
+def test_trees_lose_no_pair(depth):
+    rng = np.random.default_rng(depth)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)) for _ in base], np.uint64)
+    fps = np.unique(np.concatenate([base, base ^ flips]))
+    tree = simhash.VantageTrees(fps, depth, 3)
+    met = set()
+    for h, row, leaf, home in tree.visit(fps):
+        assert sorted(row[home]) == list(range(len(fps))), h
+        for x in np.unique(leaf):
+            here, own = row[leaf == x], row[(leaf == x) & home]
+            met |= {(min(a, b), max(a, b)) for a in own for b in here if a != b and int(fps[a] ^ fps[b]).bit_count() <= 3}
+    assert met == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 3}
+
+
+def test_links_with_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "LEAF", 20)
+    rng = random.Random(1)
+    fps = sorted({0xF0F0 ^ sum(1 << b for b in rng.sample(range(64), 2)) for _ in range(120)} | {rng.getrandbits(64) for _ in range(60)})
+    reps = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)], "rep long, fp long")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(reps)).collect()}
+    assert {i: roots.get(i, i) for i in range(len(fps))} == plain_components(dict(enumerate(fps)))
+
+
+# Quality.
+
+
+def plain_rules(text):
+    w = plain_words(text)
+    seen = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    repeated = {k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if plain_words(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeated)
+
+
+def test_quality_rules(docs):
+    found = by_id(quality_rules.judge(docs))
+    assert len(found) == len(rows())
+    for i, text, *_ in rows():
+        r, want = found[i], plain_rules(text)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, text
+        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r["kept"] and r["base_failed"])
+
+
+def test_quality_rules_reject_outliers(spark):
+    rng = random.Random(2)
+    good = [(i, prose(rng, rng.randrange(60, 400)), "en", None) for i in range(300)]
+    bad = [(1000 + i, " ".join(w + "$#*" for w in prose(rng, 150).split()), "en", None) for i in range(12)]
+    found = by_id(quality_rules.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")))
+    assert all(found[i]["kept"] for i, *_ in good) and not any(found[i]["kept"] for i, *_ in bad)
+    assert quality_rules.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_outlier_distances_match_numpy(spark):
+    """One concentration step after another, against the same steps in numpy."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randrange(20, 300)) + " *" * rng.randrange(6), "en", "s") for i in range(200)], "doc_id long, text string, lang string, source string")
+    got = quality_rules.outliers(quality_rules.statistics(docs)).toPandas().sort_values("doc_id")
+    n = got["n_words"].to_numpy(float)
+    x = np.stack([np.log1p(n), np.log(got["word_chars"] / n), np.sqrt(got["n_symbols"] / n), np.sqrt(got["n_dup_lines"] / got["n_lines"]), np.sqrt(got["n_repeat_words"] / n)], axis=1)
+    floors = np.array([f for _, f in quality_rules.FEATURES.values()])
+    low = lambda v, q: np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
+    middle = np.array([low(c, 0.5) for c in x.T])
+    cov = np.diag(np.array([((low(c, 0.75) - low(c, 0.25)) / 1.349) ** 2 for c in x.T]))
+
+    def distances(m, c):
+        d = x - m
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(c + np.diag(floors**2)), d)
+
+    for _ in range(quality_rules.STEPS):
+        d = distances(middle, cov)
+        near = x[d <= low(d, quality_rules.KEEP_SHARE)]
+        middle, cov = near.mean(axis=0), np.cov(near.T, bias=True)
+    d = distances(middle, cov)
+    want = d / max(1.0, low(d, 0.5) / quality_rules.CHI2_MEDIAN)
+    assert np.allclose(got["distance"], want, rtol=1e-6)
+
+
+def test_quality_classifier(spark):
+    rng = random.Random(4)
+    good = [(i, prose(rng, rng.randrange(20, 200))) for i in range(300)]
+    bad = [(1000 + i, " ".join(w.upper() + "!!" for w in prose(rng, rng.randrange(20, 200)).split())) for i in range(100)]
+    odd = [(5000, None), (5001, ""), (5002, "x" * 100_000), (None, "alpha1"), (1, "alpha1 beta2")]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in good + bad + odd], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad] + [(7, None)], "doc_id long, quality int")
+    found = quality_classifier.classify(docs, labels).toPandas()
+    assert len(found) == len(good + bad + odd) and found["score"].between(0, 1).all()
+    assert (found["predicted"] == (found["score"] >= 0.3)).all()
+    want = {i: 1 for i, _ in good} | {i: 0 for i, _ in bad}
+    held = found[found["held_out"] & found["doc_id"].isin(want) & (found["doc_id"] != 1)]
+    assert all(bool(h) == (zlib.crc32(str(int(i)).encode()) % 5 == 0) for i, h in zip(found["doc_id"].dropna(), found.loc[found["doc_id"].notna(), "held_out"], strict=True))
+    assert len(held) > 50 and (held["predicted"] == held["doc_id"].map(want)).mean() >= 0.95
+    one = quality_classifier.classify(docs, labels.where("quality = 1")).toPandas()
+    assert (one["score"] > 0.9).all()
+    assert (quality_classifier.classify(docs, labels.limit(0)).toPandas()["score"] == 0.5).all()
+    assert quality_classifier.classify(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_labels_of_the_held_out_fold_are_not_learned(spark):
+    docs = spark.createDataFrame([(i, f"alpha{i % 7} beta") for i in range(100)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(100)]
+    flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in labels]
+    a, b = (quality_classifier.train(docs, spark.createDataFrame(x, "doc_id long, quality int")) for x in (labels, flipped))
+    assert (a.w1 == b.w1).all() and a.temperature == b.temperature
+
+
+# Tokens.
+
+
+def whole(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(resolve(None))
+    return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_words_give_the_ids_of_whole_texts():
+    rng = random.Random(1)
+    letters = "aéß '́̈ \x85\x1c\x0b\x0cΣİ9٣中🙂‍'sT<|endoftext|>\n\t.,÷×ø"
+    texts = [t or "" for _, t, *_ in rows()] + ["".join(rng.choice(letters) for _ in range(40)) for _ in range(800)]
+    words = WordIds(remembered=50)
+    assert [np.frombuffer(words.encode(t.encode()), "<u4").tolist() for t in texts] == whole(texts)
+
+
+def test_packing(docs):
+    found = packing.pack(docs, size=64, windows=4).toPandas()
+    want = {i: np.array([*x, 1], "<u4") for (i, *_), x in zip(rows(), whole([t for _, t, *_ in rows()]), strict=True)}
+    assert set(found["doc_id"]) == set(want)
+    for i, g in found.sort_values("start").groupby("doc_id"):
+        assert g["start"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() == len(want[i]) == g["doc_tokens"].iloc[0]
+        assert all(zlib.crc32(want[i][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in g.itertuples())
+    for _, g in found.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() == g["sequence_tokens"].iloc[0] <= 64
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_windows_are_bounded_and_best_fit():
+    w = packing.Windows(10, 2)
+    assert w.offer(6, "a") == [] and w.offer(7, "b") == []
+    assert w.offer(3, "c") == [(1, 10, [(0, "b"), (7, "c")])]
+    assert w.offer(8, "d") == []
+    assert w.offer(5, "e") == [(2, 8, [(0, "d")])] and len(w.open) == 2
+    rng = random.Random(1)
+    w, closed = packing.Windows(2048, 64), []
+    for i in range(3000):
+        closed += w.offer(rng.randrange(1, 2048), i)
+        assert len(w.open) == len(w.fills) <= 64
+    closed += w.rest()
+    assert sorted(x for _, _, items in closed for _, x in items) == list(range(3000))
+    assert sum(f for _, f, _ in closed) / 2048 / len(closed) > 0.93
+
+
+def test_mixing_coder_round_trip():
+    rng = np.random.default_rng(0)
+    blocks = [rng.integers(0, 49408, 400), rng.zipf(1.3, 300) % 49408, np.zeros(200, np.int64), np.tile([5, 9, 70, 40000], 25), np.array([65535]), np.array([0])]
+    coded = mixing_coder.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, mixing_coder.decode_blocks(coded, np.array([len(b) for b in blocks])), strict=True))
+    assert len(coded[2]) < 20 and len(coded[3]) < 150
+
+
+def test_token_files(docs, tmp_path):
+    found = {r["doc_id"]: r for r in mixing_coder.store(docs).collect()}
+    at = 0
+    for (i, *_), x in zip(rows(), whole([t for _, t, *_ in rows()]), strict=True):
+        ids = np.array([*x, 2], "<u4")
+        assert (found[i]["start"], found[i]["n_tokens"], found[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert mixing_coder.store(docs.limit(0)).count() == 0
+
+
+def test_damage_is_noticed():
+    import io
+
+    import pyarrow as pa
+
+    table = pa.RecordBatch.from_arrays([pa.array([1, None]), pa.array([3, 2])], ["id", "n_tokens"])
+    data = mixing_coder.MAGIC + mixing_coder.segment(np.array([1, 2, 3, 4, 5]), table)
+    (docs, ids), = mixing_coder.segments(io.BytesIO(data))
+    assert ids.tolist() == [1, 2, 3, 4, 5] and docs.column(0).to_pylist() == [1, None]
+    for at in (len(data) - 1, 25):
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises((ValueError, Exception), match="damaged|not a file"):
+            list(mixing_coder.segments(io.BytesIO(bytes(broken))))
+
+
+# Merge dropout.
+
+
+def test_merge_dropout_without_dropout_is_the_library():
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(merge_dropout.MODEL))
+    rng = random.Random(2)
+    texts = [t for _, t, *_ in rows() if t and "▁" not in t] + ["".join(rng.choice("aé ß  ̈\n\t中🙂x.,theing　") for _ in range(rng.randrange(80))) for _ in range(300)]
+    found = merge_dropout.Encoder(merge_dropout.Vocabulary.load(), 0.0).encode([t.encode() for t in texts], list(range(len(texts))))
+    assert [x.tolist() for x in found] == [sp.encode(t) for t in texts]
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.6, 1.0])
+def test_merge_dropout_varies_and_comes_back(dropout):
+    v = merge_dropout.Vocabulary.load()
+    texts = [(t or "").encode() for _, t, *_ in rows()]
+    a, b, c = (merge_dropout.Encoder(v, dropout, seed).encode(texts, list(range(len(texts)))) for seed in (1, 1, 2))
+    assert all((x == y).all() for x, y in zip(a, b, strict=True))
+    assert [merge_dropout.decode(x, v.texts) for x in a] == [merge_dropout.decode(x, v.texts) for x in c] == texts
+    if dropout < 1.0:
+        assert any(len(x) != len(y) or (x != y).any() for x, y in zip(a, c, strict=True))
+
+
+def test_blocks_and_long_words_do_not_matter(monkeypatch):
+    v = merge_dropout.Vocabulary.load()
+    texts = [b"the quick brown fox " * 50, b"x" * 200 + b" tail"]
+    want = merge_dropout.Encoder(v, 0.3).encode(texts, [1, 2])
+    monkeypatch.setattr(merge_dropout, "BLOCK", 37)
+    monkeypatch.setattr(merge_dropout, "WIDTHS", (4, 256))
+    got = merge_dropout.Encoder(v, 0.3).encode(texts, [1, 2])
+    assert all((a == b).all() for a, b in zip(want, got, strict=True))
+
+
+def test_merge_dropout_columns(docs):
+    found = merge_dropout.decoded(merge_dropout.encoded(docs)).collect()
+    assert len(found) == len(rows()) and all(bytes(r["decoded"]) == r["text"].encode() for r in found)
+    assert merge_dropout.decoded(merge_dropout.encoded(docs.limit(0))).count() == 0
+
+
+# Media.
+
+
+def test_transport_round_trip():
+    rng = random.Random(1)
+    for n in [*range(1, 400, 7), 12_287, 12_288, 12_289, 60_001]:
+        data = rng.randbytes(n)
+        s = transport.decode(transport.encode(data))
+        assert s.payload == data and s.timestamps == [3600 * i for i in range(-(-n // transport.UNIT_BYTES))] and s.random_access == s.timestamps[::4]
+    stream = transport.encode(bytes(3000))
+    for broken, what in ((stream[: 188 * 5] + stream[188 * 6 :], "continuity"), (stream[:-1], "whole"), (b"x" + stream[1:], "sync"), (stream[:20] + b"\xaa" + stream[21:], "no table|damaged")):
+        with pytest.raises(ValueError, match=what):
+            transport.decode(broken)
+
+
+def test_media_columns(docs):
+    found = by_id(transport.features(transport.media_columns(docs)))
+    for i, text, *_ in rows():
+        raw = (text or "").encode()
+        data = raw + b" " * ((-len(raw)) % 192 if raw else 192)
+        r = found[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+        assert r["media_bytes"] % 188 == 0
+    assert transport.features(transport.media_columns(docs.limit(0))).count() == 0
+
+
+# Licences.
+
+
+def test_licences(docs):
+    found = by_id(licenses.scan(docs))
+    for i, text, *_ in rows():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        places = sorted((k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        r = found[i]
+        assert (r["n_words"], r["n_base"]) == (len(w), len(places))
+        assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and 0 <= r["score"] <= 1
+        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_notices_are_found_edited_or_not():
+    index = licenses.Index.build({}, 10)
+    for label, (notice, must) in licenses.NOTICES.items():
+        assert label in index.scan(("lead in " + notice.upper() + " tail").encode())[2]
+        edited = notice.split()
+        edited.insert(2, "new")
+        assert label in index.scan(" ".join(edited).encode())[2], label
+        assert label not in index.scan(notice.lower().replace(must.split()[0], "no", 9).encode())[2]
+    assert index.scan(b"permission of this software to any person")[2] == {}
+
+
+# Language model.
+
+
+def test_language_model(docs):
+    found = by_id(suffix_tree.score(docs))
+    tokens = {i: [*plain_words(lower(t)), "\n"] for i, t, *_ in rows()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
+    counts = collections.Counter(w for i, t in tokens.items() if not held[i] for w in t)
+    total, distinct = sum(counts.values()), len(counts)
+    for i, t in tokens.items():
+        r = found[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(counts[w] > 0 for w in t), total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in t))
+        assert r["score"] < 0
+    assert suffix_tree.score(docs.limit(0)).count() == 0
+
+
+def test_tree_sums_to_one_and_learns_contexts(spark):
+    docs = spark.createDataFrame([(i, "of the " + ("red fox " if i % 2 else "blue sky ") * 5 + f"w{i}") for i in range(300)], "doc_id long, text string")
+    _, head, tree, total, distinct = suffix_tree.grow(docs)
+    root = (head.counts + 0.5) / (total + 0.5 * (distinct + 1))
+    numbers, every = head.numbers(), np.arange(len(head.words))
+    assert numbers[b"red"] in tree.states and len(tree.states) > 2
+    for state in tree.states:
+        if state < tree.size:
+            log, _ = tree.lookup(np.full(len(every), state), every)
+            left = 10 ** tree.left[np.searchsorted(tree.states, state)]
+        else:
+            flat = np.array([x for w in every for x in (state // tree.size - 1, state % tree.size, w)])
+            log = tree.score(flat, np.arange(0, len(flat), 3), -1).reshape(-1, 3)[:, 2]
+            at, known = tree._at(tree.states, np.array([state % tree.size]))
+            left = 10 ** tree.left[np.searchsorted(tree.states, state)] * (10 ** tree.left[at[0]] if known[0] else 1)
+        assert (10**log).sum() + left * (1 - root.sum()) == pytest.approx(1)
+    got = suffix_tree.score(docs).agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.5 * got[1]
+
+
+# WARC.
+
+
+def pages(spark):
+    long = "<p>" + "".join(chr(97 + i * 7919 % 26) for i in range(200_000))
+    data = [(1, "u" * 20_000, "a"), (2, None, "a"), (3, "b\r\nX: y", None), (4, "c", ""), (None, "d", "a"), (5, "e", long), (6, "f", long), (7, "g", "é"), (7, "g", "é"), (8, "h", "é"), (0, "z", "zz")]
+    return data, spark.createDataFrame([(*r, "x") for r in data], "page_id long, url string, html string, payload string")
+
+
+def test_warc(spark):
+    data, df = pages(spark)
+    first = {}
+    for i, _, h in data:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    found = sorted((r["page_id"] if r["page_id"] is not None else -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive(df).collect())
+    want = []
+    for i, _, h in data:
+        body = (h or "").encode()
+        to = first[h or ""] if i is not None and first[h or ""] < i else None
+        want.append((-1 if i is None else i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if to is None else "revisit", to))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(found, key=key) == sorted(want, key=key)
+    assert warc.archive(df.limit(0)).count() == 0
+    assert all(r["record_type"] == "response" for r in warc.archive(df, least=3).collect() if r["payload_bytes"] < 3)
+
+
+def test_warc_source(spark, tmp_path):
+    import gzip
+
+    data, df = pages(spark)
+    path = f"file://{tmp_path}/w"
+    warc.write(warc.with_first(df), path).count()
+    warc.register(spark)
+    every = spark.read.format("warc").load(path)
+    assert every.count() == len(data)
+    one = every.where("record_type = 'response' and record_id = 'urn:page:5'")
+    assert bytes(one.first()["payload"]) == data[5][2].encode()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.replace("RuntimeFilters", "")
+    assert every.where("target_uri like 'g%' and payload_bytes = 2").count() == 2
+    texts = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz"))
+    assert texts.count(b"WARC/1.1\r\n") == len(data)
+    with pytest.raises(Exception, match="length or digest"):
+        file = next(f for f in (tmp_path / "w").glob("*.gz") if f.stat().st_size)
+        rec = warc.record(1, "u", b"payload", None).replace(b"payload\r\n", b"paYload\r\n")
+        file.write_bytes(warc.member(rec))
+        spark.read.format("warc").option("verify", "true").load(path).count()
