@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from tramline.functions import geo, tags
 
 
+#: Edges that a task joins into chains.
+TASK_EDGES = 20_000
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the folder that the cluster names in spark.checkpoint.dir; where it names none, an own temporary one."""
     spark = df.sparkSession
@@ -203,7 +207,7 @@ def collapse(edges: list[dict], plain: set[int]) -> list[dict]:
         for node in (e["src"], e["dst"]):
             at.setdefault(node, {})[i] = None
     fresh = len(live)
-    for node in sorted(plain):
+    for node in sorted(plain & at.keys()):
         here = list(at[node])
         if len(here) != 2:
             continue
@@ -239,6 +243,7 @@ def collapsed(edges: DataFrame, nodes: DataFrame, profile: str | None = None) ->
     Chains are components of edges that share a joint. Chains and edges between the same two ends can stand in each other's
     way, so they form one group and are joined in one pass; groups are as small as a stretch of road, whatever the network.
     """
+    spark = edges.sparkSession
     found = written(joints(edges, nodes), "joints")
     chain = components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("edge_id"), F.col("component").alias("chain"))
     rows = edges.join(chain, "edge_id", "left")
@@ -255,14 +260,18 @@ def collapsed(edges: DataFrame, nodes: DataFrame, profile: str | None = None) ->
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
         plain = {int(n) for c in ("src", "dst") for n in table.loc[table[f"_{c}"].notna(), c]}
-        kept = table[columns].sort_values(["src", "dst", "edge_id"]).to_dict("records")
-        for r in kept:
+        groups: dict[tuple, list[dict]] = {}
+        table = table.sort_values(["src", "dst", "edge_id"])
+        for key, r in zip(table["group"], table[columns].to_dict("records"), strict=True):
             r["geometry"] = [(p["lon"], p["lat"]) for p in r["geometry"]]
-        out = pd.DataFrame(collapse(kept, plain), columns=columns)
+            groups.setdefault(tuple(key), []).append(r)
+        out = pd.DataFrame([e for kept in groups.values() for e in collapse(kept, plain)], columns=columns)
         out["geometry"] = [[{"lon": x, "lat": y} for x, y in g] for g in out["geometry"]]
         return out
 
-    joined = work.groupBy("group").applyInPandas(run, edges.schema)
+    # Groups are small, so a task takes many of them, about TASK_EDGES edges.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // TASK_EDGES))
+    joined = work.groupBy(F.pmod(F.xxhash64("group"), F.lit(tasks)).alias("task")).applyInPandas(run, edges.schema)
     out = joined.unionByName(keyed.join(busy, "group", "left_anti").select(*edges.columns)).withColumn("edge_id", F.xxhash64("src", "dst", "osmid", F.lit(False)))
     if profile is not None:
         out = out.withColumn("cost", tags.cost(geo.total(geo.lengths(F.col("geometry"))), tags.speed(F.col("level"), profile)))
