@@ -36,194 +36,212 @@ from pyspark.sql import functions as F
 from tramline.llm.common import column, fresh_path, materialize, slices
 from tramline.llm.tokens import WordIds
 
-END, MAGIC = 2, b"TLCM\1\0\0\0"
+END, MAGIC = 2, b"TLCM\2\0\0\0"
 #: Tokens of a block, and about so many of a segment: what a task holds at a time.
-BLOCK, SEGMENT = 2_048, 4_000_000
-_SLOTS, _CONF, _GROUPS = 1_024, 16, 8
-_TOP, _BOTTOM = np.uint64(1 << 56), np.uint64(1 << 48)
-_U = np.uint64
+BLOCK, SEGMENT = 1_024, 6_000_000
+_SLOTS, _CONF, _RANGES = 1_024, 16, 32
+_U, _SHIFT, _LOW = np.uint64, np.uint64(16), np.uint64((1 << 48) - 1)
 
 
 def id_ranges() -> tuple[np.ndarray, np.ndarray]:
-    """64 ranges of 16-bit ids: start and size. Eight of equal size up to 512, then growing evenly in the logarithm."""
-    edges = [64 * i for i in range(8)] + [round(512 * 128 ** (i / 56)) for i in range(57)]
+    """Ranges of 16-bit ids: start and size. Four of equal size up to 512, then growing evenly in the logarithm."""
+    edges = [128 * i for i in range(4)] + [round(512 * 128 ** (i / (_RANGES - 4))) for i in range(_RANGES - 3)]
     edges = np.array(edges, np.int64)
     return edges[:-1], np.diff(edges)
 
 
 STARTS, SIZES = id_ranges()
-RANGE_OF = np.repeat(np.arange(64), SIZES).astype(np.int64)
+RANGE_OF = np.repeat(np.arange(_RANGES), SIZES).astype(np.int32)
 # Logistic function and its inverse in fixed point: 12-bit probabilities against a domain of 8 fractional bits.
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 1, 4095).astype(np.int64)
-STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int64)
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 16, 4080).astype(np.int32)
+STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
 
 
 class Lanes:
-    """Model and coder state of n blocks, advanced together; the first k take part in a step."""
+    """Model and coder state of n blocks, advanced together; the first k take part in a step.
+
+    Tables hold prediction * 16 + confidence. Rates and counts have a row for each confidence or range and a column for each
+    block, so that a step works on contiguous rows.
+    """
 
     def __init__(self, n: int):
+        self.n, self.lane = n, np.arange(n, dtype=np.int32)
         self.low, self.range = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
-        self.slot = [np.zeros(n * _SLOTS, np.int64) for _ in range(2)]
-        self.conf = [np.zeros(n * _SLOTS, np.int64) for _ in range(2)]
-        self.rate = [np.full(n * _CONF, 1 << 11, np.int64) for _ in range(2)] + [np.full(n * 4, 1 << 11, np.int64)]
-        self.weight = np.full((3, n), 1 << 15, np.int64)
-        self.second = np.full(n * _CONF, 1 << 11, np.int64)
-        self.groups = np.full((n, _GROUPS), 8 * 2, np.int64)
-        self.counts = np.full((n, _GROUPS, 8), 2, np.int64)
-        self.recent, self.lane = np.zeros(n, np.int64), np.arange(n)
-        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.table = [np.zeros(n * _SLOTS, np.int32) for _ in range(2)]
+        self.rate = np.full(3 * _CONF * n, 1 << 11, np.int32)
+        self.second = np.full(_CONF * n, 1 << 11, np.int32)
+        self.weight = np.full((3, n), 1 << 15, np.int32)
+        self.below = np.repeat(np.arange(0, 2 * _RANGES + 1, 2, dtype=np.int32)[:, None], n, axis=1)
+        self.rows = np.arange(_RANGES + 1, dtype=np.int32)[:, None]
+        self.recent, self.one, self.two = (np.zeros(n, np.int32) for _ in range(3))
 
     def predict(self, k: int) -> tuple:
-        """Slots, predictions, confidences and rates by order 2 and 1, and the mixed chance (of 4096) of order 2."""
+        """(slots, predictions, confidences, places of rates, rates, signals, chance of 4096) of orders 2, 1 and 0."""
         lane, one, two = self.lane[:k], self.one[:k], self.two[:k]
         base = lane * _SLOTS
-        at = (base + ((two * 40503 + one * 30011) >> 5 & _SLOTS - 1), base + (one * 40503 >> 5 & _SLOTS - 1))
-        guess, sure = [s[a] for s, a in zip(self.slot, at, strict=True)], [c[a] for c, a in zip(self.conf, at, strict=True)]
-        where = [lane * _CONF + sure[0], lane * _CONF + sure[1], lane * 4 + self.recent[:k]]
-        signal = [STRETCH[r[w]] for r, w in zip(self.rate, where, strict=True)]
-        dot = sum(w * s for w, s in zip(self.weight[:, :k], signal, strict=True)) >> 16
-        chance = np.clip(SQUASH[np.clip(dot, -2047, 2047) + 2048], 16, 4080)
-        return at, guess, sure, where, signal, chance
-
-    def learn(self, k: int, x: np.ndarray, hit: np.ndarray, at: tuple, guess: list, sure: list, where: list, signal: list, chance: np.ndarray) -> None:
-        y = hit.astype(np.int64)
-        error = (y << 12) - chance
-        for i in range(3):
-            self.weight[i, :k] = np.clip(self.weight[i, :k] + (signal[i] * error * 3 >> 9), -(1 << 18), 1 << 18)
-            r = self.rate[i][where[i]]
-            self.rate[i][where[i]] = np.clip(r + ((y << 12) - r >> 5), 1, 4094)
-        self.recent[:k] = (self.recent[:k] << 1 | y) & 3
-        for i in range(2):
-            same = guess[i] == x
-            self.conf[i][at[i]] = np.where(same, np.minimum(sure[i] + 1, _CONF - 1), np.where(sure[i] > 1, sure[i] >> 1, 1))
-            self.slot[i][at[i]] = np.where(same | (sure[i] > 1), guess[i], x)
+        at = base + ((two * 6_007 + one * 30_011) >> 4 & _SLOTS - 1), base + ((one * 30_011) >> 4 & _SLOTS - 1)
+        held = [t.take(a) for t, a in zip(self.table, at, strict=True)]
+        guess, sure = [h >> 4 for h in held], [h & 15 for h in held]
+        where = np.empty((3, k), np.int32)
+        where[0], where[1], where[2] = sure[0], sure[1] + _CONF, self.recent[:k] + 2 * _CONF
+        where *= self.n
+        where += lane
+        rate = self.rate.take(where)
+        signal = STRETCH.take(rate)
+        dot = (self.weight[:, :k] * signal).sum(axis=0, dtype=np.int32) >> 16
+        return at, guess, sure, where, rate, signal, SQUASH.take(np.clip(dot, -2047, 2047) + 2048)
+
+    def learn(self, k: int, x: np.ndarray, hit: np.ndarray, at: tuple, guess: list, sure: list, where: np.ndarray, rate: np.ndarray, signal: np.ndarray, chance: np.ndarray) -> None:
+        target = hit.astype(np.int32) << 12
+        weight = self.weight[:, :k]
+        weight += signal * ((target - chance) * 3) >> 9
+        np.clip(weight, -(1 << 18), 1 << 18, out=weight)
+        rate += (target - rate) >> 5
+        self.rate[where] = np.clip(rate, 1, 4094, out=rate)
+        self.recent[:k] = (self.recent[:k] << 1 | hit) & 3
+        fresh = x << 4 | 1
+        for table, a, g, c in zip(self.table, at, guess, sure, strict=True):
+            table[a] = np.where(g == x, x << 4 | np.minimum(c + 1, _CONF - 1), np.where(c > 1, g << 4 | c >> 1, fresh))
         self.two[:k] = self.one[:k]
         self.one[:k] = x
 
-    def narrow(self, rows: np.ndarray | slice, below: np.ndarray, share: np.ndarray, unit: np.ndarray) -> None:
-        self.low[rows] += unit * below.astype(_U)
-        self.range[rows] = unit * share.astype(_U)
-
-    def second_rate(self, rows: np.ndarray, sure: np.ndarray, hit: np.ndarray, rate: np.ndarray) -> None:
-        self.second[self.lane[rows] * _CONF + sure] = np.clip(rate + ((hit.astype(np.int64) << 12) - rate >> 5), 16, 4080)
-
-    def count(self, rows: np.ndarray, group: np.ndarray, within: np.ndarray) -> None:
-        self.groups[rows, group] += 8
-        self.counts[rows, group, within] += 8
-
-    def unsettled(self, k: int) -> np.ndarray:
-        """Lanes whose top byte is fixed; a range that has become too small is cut so that it is."""
-        low, span = self.low[:k], self.range[:k]
-        settled = (low ^ (low + span)) < _TOP
-        small = ~settled & (span < _BOTTOM)
-        if small.any():
-            rows = np.nonzero(small)[0]
-            self.range[rows] = (~self.low[rows] + _U(1)) & (_BOTTOM - _U(1))
-            settled |= small
-        return np.nonzero(settled)[0]
+    def second_rate(self, place: np.ndarray, hit: np.ndarray, rate: np.ndarray) -> None:
+        self.second[place] = np.clip(rate + (((hit.astype(np.int32) << 12) - rate) >> 5), 16, 4080)
+
+    def count(self, k: int, rows: np.ndarray, which: np.ndarray) -> None:
+        """Raises the counts of what rows have seen; `below` holds running sums."""
+        seen = np.full(k, _RANGES + 1, np.int32)
+        seen[rows] = which
+        self.below[:, :k] += (self.rows > seen).view(np.int8) << 3
+
+    def settle(self, k: int):
+        """Rows whose top 16 bits are fixed, again and again; a range that is too small is cut so that they are."""
+        rows, low, span = None, self.low[:k], self.range[:k]
+        while True:
+            fixed = (low ^ (low + span)) <= _LOW
+            small = ~fixed & (span <= _LOW)
+            if small.any():
+                span = np.where(small, (~low + _U(1)) & _LOW, span)
+                fixed |= small
+            mine = np.flatnonzero(fixed)
+            if not len(mine):
+                return
+            low, span = low[mine], span[mine]
+            rows = mine if rows is None else rows[mine]
+            yield rows, low
+            low, span = low << _SHIFT, span << _SHIFT
+            self.low[rows], self.range[rows] = low, span
+
+
+def flag(low: np.ndarray, span: np.ndarray, chance: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes a yes at the bottom of the range, a no above it."""
+    part = (span >> _U(12)) * chance.astype(_U)
+    return np.where(hit, low, low + part), np.where(hit, part, span - part)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Blocks in descending order of length, ids under 2 ** 16."""
     n = len(blocks)
-    lanes, lengths = Lanes(n), np.array([len(b) for b in blocks])
+    lanes, lengths = Lanes(n), np.array([len(b) for b in blocks], np.int64)
     steps = int(lengths[0]) if n else 0
-    ids = np.zeros((steps, n), np.int64)
+    ids = np.zeros((steps, n), np.int32)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
-    out, pos = np.zeros((n, steps * 5 + 32), np.uint8), np.zeros(n, np.int64)
-
-    def put(rows: np.ndarray) -> None:
-        out[rows, pos[rows]] = (lanes.low[rows] >> _U(56)).astype(np.uint8)
-        pos[rows] += 1
-        lanes.low[rows] <<= _U(8)
-        lanes.range[rows] <<= _U(8)
-
+    width = steps * 3 + 8
+    out, pos = np.zeros(n * width, ">u2"), np.arange(n) * width
+    starts, sizes = STARTS.astype(_U), SIZES.astype(_U)
     for step in range(steps):
-        k = int(np.searchsorted(-lengths, -step))
+        k = n if lengths[-1] > step else int(np.searchsorted(-lengths, -step))
         x = ids[step, :k]
         seen = lanes.predict(k)
-        _, guess, sure, _, _, chance = seen
+        guess, sure = seen[1], seen[2]
         hit = guess[0] == x
-        unit = lanes.range[:k] >> _U(12)
-        lanes.narrow(slice(0, k), np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance), unit)
-        rows = np.nonzero(~hit)[0]
-        conf = sure[1][rows]
-        rate = lanes.second[lanes.lane[rows] * _CONF + conf]
-        again = guess[1][rows] == x[rows]
-        lanes.narrow(rows, np.where(again, 0, rate), np.where(again, rate, 4096 - rate), lanes.range[rows] >> _U(12))
-        lanes.second_rate(rows, conf, again, rate)
-        rows = rows[~again]
-        which = RANGE_OF[x[rows]]
-        group, within = which >> 3, which & 7
-        before = np.cumsum(lanes.groups[rows], axis=1)
-        inner = np.cumsum(lanes.counts[rows, group], axis=1)
-        r = np.arange(len(rows))
-        share = lanes.counts[rows, group, within]
-        below = before[r, group] - lanes.groups[rows, group] + inner[r, within] - share
-        lanes.narrow(rows, below, share, lanes.range[rows] // before[:, -1].astype(_U))
-        lanes.count(rows, group, within)
-        lanes.narrow(rows, x[rows] - STARTS[which], np.ones(len(rows), np.int64), lanes.range[rows] // SIZES[which].astype(_U))
+        low, span = flag(lanes.low[:k], lanes.range[:k], seen[6], hit)
+        rows = np.flatnonzero(~hit)
+        if len(rows):
+            xr, lo, ra = x[rows], low[rows], span[rows]
+            place = sure[1][rows] * n + rows
+            rate = lanes.second.take(place)
+            again = guess[1][rows] == xr
+            lo, ra = flag(lo, ra, rate, again)
+            lanes.second_rate(place, again, rate)
+            which = RANGE_OF.take(xr)
+            cell = which * n + rows
+            below, above = lanes.below.take(cell), lanes.below.take(cell + n)
+            unit = ra // lanes.below[_RANGES].take(rows).astype(_U)
+            unit_in = unit * (above - below).astype(_U) // sizes.take(which)
+            literal = ~again
+            low[rows] = np.where(literal, lo + unit * below.astype(_U) + unit_in * (xr.astype(_U) - starts.take(which)), lo)
+            span[rows] = np.where(literal, unit_in, ra)
+            lanes.count(k, rows[literal], which[literal])
+        lanes.low[:k], lanes.range[:k] = low, span
         lanes.learn(k, x, hit, *seen)
-        while len(rows := lanes.unsettled(k)):
-            put(rows)
-    for _ in range(8):
-        put(np.arange(n))
-    return [out[i, : pos[i]].tobytes() for i in range(n)]
+        for rows, low in lanes.settle(k):
+            out[pos[rows]] = low >> _U(48)
+            pos[rows] += 1
+    for i in range(4):
+        out[pos] = lanes.low >> _U(48 - 16 * i) & _U(0xFFFF)
+        pos += 1
+    return [out[i * width : pos[i]].tobytes() for i in range(n)]
 
 
 def decode_blocks(coded: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
     """The inverse; lengths in descending order."""
     n = len(coded)
     lanes, steps = Lanes(n), int(lengths[0]) if n else 0
-    data = np.zeros((n, max(map(len, coded), default=0) + 8), np.uint8)
+    width = max(map(len, coded), default=0) // 2 + 4
+    data = np.zeros((n, width), _U)
     for i, b in enumerate(coded):
-        data[i, : len(b)] = np.frombuffer(b, np.uint8)
-    code, pos = np.zeros(n, _U), np.full(n, 8, np.int64)
-    for i in range(8):
-        code = code << _U(8) | data[:, i].astype(_U)
-    out = np.zeros((steps, n), np.int64)
+        data[i, : len(b) // 2] = np.frombuffer(b, ">u2")
+    data, pos = data.ravel(), np.arange(n) * width + 4
+    code = np.zeros(n, _U)
+    for i in range(4):
+        code = code << _SHIFT | data[np.arange(n) * width + i]
+    last = np.arange(1, n + 1) * width - 1
+    starts, sizes = STARTS.astype(np.int32), SIZES.astype(_U)
+    out = np.zeros((steps, n), np.int32)
     for step in range(steps):
-        k = int(np.searchsorted(-lengths, -step))
+        k = n if lengths[-1] > step else int(np.searchsorted(-lengths, -step))
         seen = lanes.predict(k)
-        _, guess, sure, _, _, chance = seen
-        unit = lanes.range[:k] >> _U(12)
-        hit = (code[:k] - lanes.low[:k]) // unit < chance.astype(_U)
-        x = np.where(hit, guess[0], 0)
-        lanes.narrow(slice(0, k), np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance), unit)
-        rows = np.nonzero(~hit)[0]
-        conf = sure[1][rows]
-        rate = lanes.second[lanes.lane[rows] * _CONF + conf]
-        unit = lanes.range[rows] >> _U(12)
-        again = (code[rows] - lanes.low[rows]) // unit < rate.astype(_U)
-        x[rows] = np.where(again, guess[1][rows], 0)
-        lanes.narrow(rows, np.where(again, 0, rate), np.where(again, rate, 4096 - rate), unit)
-        lanes.second_rate(rows, conf, again, rate)
-        rows = rows[~again]
-        before = np.cumsum(lanes.groups[rows], axis=1)
-        unit = lanes.range[rows] // before[:, -1].astype(_U)
-        value = np.minimum((code[rows] - lanes.low[rows]) // unit, (before[:, -1] - 1).astype(_U)).astype(np.int64)
-        group = (value[:, None] >= before).sum(axis=1)
-        r = np.arange(len(rows))
-        base = before[r, group] - lanes.groups[rows, group]
-        inner = np.cumsum(lanes.counts[rows, group], axis=1) + base[:, None]
-        within = (value[:, None] >= inner).sum(axis=1)
-        share = lanes.counts[rows, group, within]
-        lanes.narrow(rows, inner[r, within] - share, share, unit)
-        lanes.count(rows, group, within)
-        which = group << 3 | within
-        unit = lanes.range[rows] // SIZES[which].astype(_U)
-        value = np.minimum((code[rows] - lanes.low[rows]) // unit, (SIZES[which] - 1).astype(_U)).astype(np.int64)
-        lanes.narrow(rows, value, np.ones(len(rows), np.int64), unit)
-        x[rows] = STARTS[which] + value
+        guess, sure, chance = seen[1], seen[2], seen[6]
+        low, span, now = lanes.low[:k], lanes.range[:k], code[:k]
+        hit = now - low < (span >> _U(12)) * chance.astype(_U)
+        low, span = flag(low, span, chance, hit)
+        x = guess[0].copy()
+        rows = np.flatnonzero(~hit)
+        if len(rows):
+            lo, ra, here = low[rows], span[rows], now[rows]
+            place = sure[1][rows] * n + rows
+            rate = lanes.second.take(place)
+            again = here - lo < (ra >> _U(12)) * rate.astype(_U)
+            lo, ra = flag(lo, ra, rate, again)
+            lanes.second_rate(place, again, rate)
+            xr = guess[1][rows]
+            lit = np.flatnonzero(~again)
+            at = rows[lit]
+            lo, ra, here = lo[lit], ra[lit], here[lit]
+            total = lanes.below[_RANGES].take(at)
+            unit = ra // total.astype(_U)
+            value = np.minimum((here - lo) // unit, (total - 1).astype(_U)).astype(np.int32)
+            which = (lanes.below[1:_RANGES].take(at, axis=1) <= value).sum(axis=0, dtype=np.int32)
+            cell = which * n + at
+            below, above = lanes.below.take(cell), lanes.below.take(cell + n)
+            lo = lo + unit * below.astype(_U)
+            size = sizes.take(which)
+            unit = unit * (above - below).astype(_U) // size
+            value = np.minimum((here - lo) // unit, size - _U(1))
+            low[rows], span[rows] = flag(low[rows], span[rows], rate, again)
+            low[at], span[at] = lo + unit * value, unit
+            xr[lit] = starts.take(which) + value.astype(np.int32)
+            x[rows] = xr
+            lanes.count(k, at, which)
+        lanes.low[:k], lanes.range[:k] = low, span
         out[step, :k] = x
         lanes.learn(k, x, hit, *seen)
-        while len(rows := lanes.unsettled(k)):
-            code[rows] = code[rows] << _U(8) | data[rows, np.minimum(pos[rows], data.shape[1] - 1)].astype(_U)
+        for rows, _ in lanes.settle(k):
+            code[rows] = code[rows] << _SHIFT | data[np.minimum(pos[rows], last[rows])]
             pos[rows] += 1
-            lanes.low[rows] <<= _U(8)
-            lanes.range[rows] <<= _U(8)
-    return [out[: lengths[i], i] for i in range(n)]
+    return [out[: lengths[i], i].astype(np.int64) for i in range(n)]
 
 
 def segment(ids: np.ndarray, docs: pa.RecordBatch, block: int = BLOCK) -> bytes:
