@@ -14,7 +14,7 @@ keyed hash of their id); the class shares come from all labelled rows. The model
 is a few arrays of fixed size, whatever the corpus.
 
 Nulls: a null text is an empty text; empty texts get a score like any other (that
-of a document without words). Rows whose label is null are not learned from.
+of a document without words). A null id is in no held-out fold. Rows whose label is null are not learned from.
 Repeated rows are scored alike; repeated labels count as often as they occur.
 With no labels, or labels of one class only, every score is that class's share
 (0.5 without labels). An empty table gives an empty result. Other columns are
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
     """(id, held_out, score, predicted)."""
     scored = score(docs.select(id_col, text_col), train(docs, labels, id_col, text_col, label_col, folds), text_col)
-    return scored.select(id_col, (hashed_fold(id_col, folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(id_col, F.coalesce(hashed_fold(id_col, folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
