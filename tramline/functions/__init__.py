@@ -1,0 +1 @@
+"""Column functions and the rule tables behind them."""

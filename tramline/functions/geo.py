@@ -28,6 +28,12 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH_RADIUS * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
 
 
+def flat_distance(lon: Column, lat: Column, to_lon: Column, to_lat: Column) -> Column:
+    """Metres on a plane that touches the globe at the second point; good for short distances."""
+    dx, dy = (lon - to_lon) * METRES_PER_DEGREE * F.cos(F.radians(to_lat)), (lat - to_lat) * METRES_PER_DEGREE
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def between(a: Column, b: Column) -> Column:
     return haversine(a["lon"], a["lat"], b["lon"], b["lat"])
 

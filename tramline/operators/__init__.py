@@ -1,0 +1 @@
+"""Operators of the transit engine: tables in, tables out."""

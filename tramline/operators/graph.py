@@ -310,3 +310,10 @@ def turn_allowed(kind: str, listed: list[tuple[int, int]], turn: tuple[int, int]
     only = [to for start, to in listed if start == turn[0]]
     return not only or turn[1] in only
 
+
+def attributes() -> Column:
+    """An edge row as a map of text, for looking at."""
+    line = lambda x: F.concat(x["short_name"], F.when((x["from_str"] != "") | (x["to_str"] != ""), F.concat(F.lit("("), x["from_str"], F.lit("->"), x["to_str"], F.lit(")"))).otherwise(""))
+    plain = {k: F.col(k).cast("string") for k in ("oneway", "level", "allowed_modes", "osmid", "preferred_direction")}
+    made = {"m_length": geo.total(geo.lengths(F.col("geometry"))).cast("string"), "cost": (F.col("cost") / 10).cast("string"), "restriction": F.when(F.col("restriction"), "yes").otherwise("no"), "lines": F.array_join(F.transform("lines", line), ",")}
+    return F.create_map(*(x for k, v in (made | plain).items() for x in (F.lit(k), v)))

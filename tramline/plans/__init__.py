@@ -1,0 +1 @@
+"""Whole plans: matching, the pipeline, and the registered queries."""

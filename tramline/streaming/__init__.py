@@ -1,0 +1 @@
+"""Feeds and extracts are finite files; nothing here runs on event streams."""
