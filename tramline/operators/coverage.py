@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import tags, text
-from tramline.operators.graph import written
+from tramline.shared import written
 
 #: How many nodes count as near a stop, and the share of stops that a relation must cover.
 NEAREST, COVERED = 50, 0.5

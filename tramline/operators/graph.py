@@ -6,7 +6,6 @@ oneway, cost, restriction, is_reverse, allowed_modes, osmid.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from operator import and_
 
@@ -15,26 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import geo, tags
-
+from tramline.shared import written
 
 #: Edges that a task joins into chains.
 TASK_EDGES = 20_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that the cluster names in spark.checkpoint.dir; where it names none, an own temporary one."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="tramline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tramline/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def kept_relations(relations: DataFrame, profile: str) -> DataFrame:
     """Relations that shape the network: (id, tags, members, flat)."""
     return relations.where(tags.relation_kept(F.col("tags"), profile)).withColumn("flat", tags.relation_flat(F.col("tags"), profile))
