@@ -1,43 +1,25 @@
-"""Shared plumbing: shared-folder tables, Arrow batches in bounded slices, salted minima."""
+"""Shared plumbing: tables in the shared folder, Arrow batches in bounded slices, salts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tramline.shared import fresh_path
+from tramline.shared import written as materialize
+
+__all__ = ["column", "fresh_path", "hashed_fold", "let", "materialize", "salt", "slices"]
+
 #: Python-side working set: rows are handled in slices of about so many bytes of text.
 SLICE_BYTES = 4 << 20
 #: A key's rows are spread over so many sub-keys before they meet.
 SALTS = 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tramline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tramline/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once a row and hand it to body; a lambda that mentions value itself would redo it per element."""
     return F.element_at(F.transform(F.array(value), body), 1)
