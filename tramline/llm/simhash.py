@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from tramline.llm.common import column, materialize, salt, slices
 
 HALVES = 2
-#: The tree is laid out from at most about so many fingerprints (8 bytes each).
-SAMPLE = 60_000
+#: The tree is laid out from about so many fingerprints (8 bytes each), at most this share of all.
+SAMPLE, SHARE = 60_000, 0.125
 #: Fingerprints a leaf is meant to hold, and the largest depth: 2 ** MAX_DEPTH leaves bound every table of leaves.
 LEAF, MAX_DEPTH = 1_000, 14
 #: Rows of a block; a task compares two blocks.
@@ -95,7 +95,7 @@ class VantageTrees:
             inner = np.cumsum(share)
             near = np.array([share[max(0, m + 1 - self.radius) : m + self.radius + 1].sum() for m in range(33)])
             cost = near + np.abs(inner[:33] - 0.5)
-            m = int(np.argmin(cost))
+            m = int(np.argmin(cost)) if len(some) else 16
             if best is None or cost[m] < best[0]:
                 best = (cost[m], v, m)
         _, self.vp[h, node], self.mu[h, node] = best
@@ -144,7 +144,7 @@ def links(reps: DataFrame, radius: int = 3, n: int | None = None) -> DataFrame:
     spark = reps.sparkSession
     n = reps.count() if n is None else n
     depth = int(np.clip(np.ceil(np.log2(max(1, n) / LEAF)), 0, MAX_DEPTH))
-    part = min(1.0, SAMPLE / max(1, n))
+    part = min(SHARE, SAMPLE / max(1, n))
     some = reps.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(part * (1 << 30))).select("fp").toPandas()
     trees = spark.sparkContext.broadcast(VantageTrees(np.sort(some["fp"].to_numpy(np.int64)).view(np.uint64), depth, radius))
 
