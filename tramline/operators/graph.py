@@ -139,7 +139,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that is connected, whatever the edges' direction.
 
     Large-star and small-star rounds; each is written to the shared folder and takes a constant number of shuffles.
@@ -147,7 +147,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     links = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     loops = links.where("a = b").select(F.col("a").alias("node"))
     links, seen = written(links.where("a <> b"), "links"), None
-    for _ in range(most_rounds):
+    while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
