@@ -416,6 +416,31 @@ def test_tree_sums_to_one_and_learns_contexts(spark):
     assert got[0] > 0.5 * got[1]
 
 
+def test_scores_by_joins_are_those_of_the_whole_tree(spark):
+    """On under 1 / DEEP tokens the tree in arrays holds every context."""
+    rng = random.Random(11)
+    lines = ["red fox ran", "blue fox sat", "old fox hid"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(lines) for _ in range(5)) + f" w{i % 7}") for i in range(30)] + [(90, None)], "doc_id long, text string")
+    _, head, tree, total, _ = suffix_tree.grow(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1"))
+    assert total < 1 / suffix_tree.DEEP and any(s >= tree.size for s in tree.states)
+    found, numbers = by_id(suffix_tree.score(docs)), head.numbers()
+    for i, text in docs.collect():
+        words = suffix_tree.tokens((text or "").encode())
+        flat = np.array([numbers.get(w, -1) for w in words])
+        if (flat >= 0).all():
+            assert found[i]["score"] == pytest.approx(tree.score(flat, np.array([0]), numbers[suffix_tree.END]).sum(), abs=1e-6)
+
+
+def test_contexts_seen_twice_are_learned_in_any_corpus(spark):
+    rng = random.Random(12)
+    twice = " ".join(f"rare{k}" for k in range(40))
+    ids = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    docs = [(i, twice if i in ids else " ".join(f"n{rng.randrange(900)}" for _ in range(150))) for i in range(500)]
+    found = by_id(suffix_tree.score(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert found[ids[0]]["train_tokens"] * suffix_tree.CONTEXT > 4
+    assert all(found[i]["score"] > 0.3 * found[i]["base_score"] for i in ids)
+
+
 # WARC.
 
 

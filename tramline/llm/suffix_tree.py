@@ -8,11 +8,19 @@ discounted probabilities of its frequent next words and gives the mass that is
 left to its suffix, renormalised, so every state's distribution sums to one. A
 token is scored in the state of the longest suffix of what precedes it.
 
-Counts are of all training documents. Words, contexts and next words that hold at
-least a share `HEAD`, `CONTEXT` or `DEEP` of all tokens make up the tree, so it has
-at most 1 / HEAD words and as many next words, and 1 / CONTEXT + 1 / DEEP ** 2
-contexts, whatever the corpus: that is what is broadcast. All other words are
-scored by a join with the full word counts; none is dropped.
+Counts are of all training documents, and the model grows with them: every context
+and next word that occurs twice is asked for its gain, whatever its share of the
+tokens. Contexts, states and their next words are written tables keyed by a 64-bit
+hash of the words (n-grams are compared by it), built and read by joins. As a
+state's log probabilities are sums, log p(w | a b) = root(w) + left(b) + more(b w)
++ left(a b) + more(a b w), where what is not in the model is zero: so a document's
+score is the sum of one weight for each of its one- to three-word runs. Only words
+that hold at least a share `HEAD` of all tokens, at most 1 / HEAD, are broadcast,
+as a shortcut for their root probabilities; the others are joined.
+
+`grow` holds the same model in arrays, for words, contexts and next words that
+hold at least a share `HEAD`, `CONTEXT` or `DEEP`: on a few hundred tokens that is
+all of it, and tests hold the tables against it. Scores do not use it.
 
 Nulls: a null text is an empty text, which is its end token alone. Null ids are
 trained on (they are in no held-out fold) and carried. Repeated rows count and are
@@ -30,6 +38,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +49,12 @@ HEAD, CONTEXT, DEEP = 2e-6, 1e-4, 2e-3
 GAIN, DISCOUNT = 10.0, 0.5
 #: The end token: no word can hold a line break.
 END = b"\n"
-#: Distinct words that a task counts before it passes them on.
+#: Distinct words that a task counts before it passes them on, and whose hashes it remembers.
 COUNTED = 400_000
+#: Occurrences from which on a context's next word is kept, and runs of words that a task counts before it passes them on.
+LEAST, RUNS = 2, 2_000_000
+#: The hash of a run is that of all but its last word times STEP, plus its last word's.
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -213,16 +226,103 @@ class Tree:
         return shallow
 
 
-def grow(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Head, Tree, int, int]:
-    """(word counts, head, tree, all tokens, distinct tokens) of the training rows."""
+class Hashes(dict):
+    """word -> its XXH64, as Spark's xxhash64 has it."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= COUNTED:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return found
+
+
+def runs(words: list[list[bytes]], hashes: Hashes) -> tuple[np.ndarray, ...]:
+    """(starts, w, u, u w, inner, t u, t u w) of the tokens w after t and u; the last two only where inner: not at a text's start."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    flat = np.fromiter((h for w in words for h in map(hashes.__getitem__, w)), np.uint64, int(lengths.sum()))
+    end = int(np.array([hashes[END]], np.uint64).view(np.int64)[0])
+    one, two = (x.view(np.uint64) for x in before(flat.view(np.int64), starts, end))
+    inner = np.ones(len(flat), bool)
+    inner[starts] = False
+    context = (two * STEP + one)[inner]
+    return starts, flat, one, one * STEP + flat, inner, context, context * STEP + flat[inner]
+
+
+def run_counts(docs: DataFrame, text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """(deep, run, context, rest, n) of all runs of two words and, deep, of three; rest is the last word's hash, or the last two words' run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = Hashes(), [], 0
+
+        def batch() -> pa.RecordBatch:
+            deep, key, context, rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            longs = [pa.array(x[first].view(np.int64)) for x in (key, context, rest)]
+            return pa.RecordBatch.from_arrays([pa.array(deep[first]), *longs, pa.array(n)], ["deep", "run", "context", "rest", "n"])
+
+        for _, texts in slices(batches, "text"):
+            _, w, u, uw, inner, tu, tuw = runs([tokens(t) for t in texts], hashes)
+            held += [(np.zeros(len(w), bool), uw, u, w), (np.ones(len(tu), bool), tuw, tu, uw[inner])]
+            size += len(w) + len(tu)
+            if size >= RUNS:
+                yield batch()
+                size = 0
+        if held:
+            yield batch()
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "deep boolean, run bigint, context bigint, rest bigint, n bigint")
+    return found.groupBy("deep", "run", "context", "rest").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def _states(rows: DataFrame, gain: float) -> tuple[DataFrame, DataFrame]:
+    """(states, next words) of rows (run, context, n, total, parent: log10 of the suffix's probability): (context, left) and (run, parent, p, left)."""
+    rows = rows.withColumn("p", F.greatest(F.col("n") - DISCOUNT, F.lit(1e-9)) / F.greatest("total", "n"))
+    sums = rows.groupBy("context").agg(
+        F.sum("p").alias("mass"),
+        F.least(F.sum(F.pow(F.lit(10.0), "parent")), F.lit(1 - 1e-9)).alias("suffix"),
+        F.sum(F.col("n") * (F.log("p") - F.col("parent") * F.lit(float(np.log(10))))).alias("own"),
+        F.greatest(F.max("total") - F.sum("n"), F.lit(0)).alias("others"),
+    )
+    sums = sums.withColumn("rest", F.greatest(1 - F.col("mass"), F.lit(1e-9)) / (1 - F.col("suffix")))
+    states = sums.where(F.col("own") + F.col("others") * F.log("rest") >= gain).select("context", F.log10("rest").alias("left"))
+    return states, rows.join(states, "context", "left").select("run", "n", "parent", F.log10("p").alias("p"), "left")
+
+
+def weights(docs: DataFrame, counts: DataFrame, whole: float, text_col: str = "text", gain: float = GAIN) -> DataFrame:
+    """(run, weight): what each run of one to three words adds to a text's log10 probability besides its words' root probabilities."""
+    found = materialize(run_counts(docs, text_col), "op9-runs")
+    words = materialize(counts.select(F.xxhash64("word").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")), "op9-hashed")
+    root = words.select(F.col("word").alias("rest"), F.log10((F.col("n") + 0.5) / F.lit(whole)).alias("parent"))
+    of = words.select(F.col("word").alias("context"), F.col("n").alias("total"))
+    one = found.where("not deep").select("run", "context", "rest", "n").join(root, "rest").join(of, "context")
+    states, pairs = _states(materialize(one.select("run", "context", "n", "total", "parent"), "op9-pairs"), gain)
+    states, pairs = materialize(states, "op9-states"), materialize(pairs, "op9-next")
+    more = F.col("p") - F.col("left") - F.col("parent")
+    after = pairs.select(F.col("run").alias("rest"), F.coalesce(F.when(F.col("left").isNotNull(), F.col("p")), "parent").alias("parent"))
+    of = pairs.select(F.col("run").alias("context"), F.col("n").alias("total"))
+    two = found.where("deep").select("run", "context", "rest", "n").join(after, "rest").join(of, "context")
+    deep, triples = _states(materialize(two.select("run", "context", "n", "total", "parent"), "op9-triples"), gain)
+    parts = [states.select(F.col("context").alias("run"), F.col("left").alias("weight")), deep.select("context", "left"), *(x.where("left is not null").select("run", more) for x in (pairs, triples))]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("run").agg(F.sum("weight").alias("weight"))
+
+
+def heads(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Head, int, int]:
+    """(word counts, head, all tokens, distinct tokens) of the training rows."""
     counts = materialize(word_counts(docs, text_col), "op9-words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # At most 1 / HEAD rows: each holds that share of all tokens.
     top = counts.where(F.col("n") >= HEAD * total).toPandas().sort_values(["n", "word"], ascending=[False, True])
     n = top["n"].to_numpy(np.int64)
-    head = Head([bytes(w) for w in top["word"]], n, total, int((n >= CONTEXT * total).sum()), int((n >= DEEP * total).sum()))
-    root = (n + 0.5) / (total + 0.5 * (distinct + 1))
-    if not len(n):
+    return counts, Head([bytes(w) for w in top["word"]], n, total, int((n >= CONTEXT * total).sum()), int((n >= DEEP * total).sum())), total, distinct
+
+
+def grow(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Head, Tree, int, int]:
+    """(word counts, head, tree of the head, all tokens, distinct tokens) of the training rows."""
+    counts, head, total, distinct = heads(docs, text_col)
+    root = (head.counts + 0.5) / (total + 0.5 * (distinct + 1))
+    if not len(head.words):
         none = np.zeros(0, np.int64)
         return counts, head, Tree.build(head, root, (none, none, none)), total, distinct
     # Again at most 1 / HEAD rows for each length of context.
@@ -230,44 +330,63 @@ def grow(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Head, Tree
     return counts, head, Tree.build(head, root, tuple(often[c].to_numpy(np.int64) for c in ("context", "word", "n"))), total, distinct
 
 
+def text_runs(rows: DataFrame) -> DataFrame:
+    """(key, run, times) of the rows (key, text): each text's distinct runs of one to three words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for part, texts in slices(batches, "text", 1 << 20):
+            starts, w, _, uw, inner, _, tuw = runs([tokens(t) for t in texts], hashes)
+            text = np.repeat(np.arange(len(texts)), np.diff([*starts, len(w)]))
+            key, of = np.concatenate([w, uw, tuw]), np.concatenate([text, text, text[inner]])
+            order = np.lexsort((key, of))
+            key, of = key[order], of[order]
+            first = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))[0]
+            times = np.diff([*first, len(key)])
+            yield pa.RecordBatch.from_arrays([column(part, "key").take(pa.array(of[first])), pa.array(key[first].view(np.int64)), pa.array(times.astype(np.int32))], ["key", "run", "times"])
+
+    return rows.select("key", "text").mapInArrow(run, "key bigint, run bigint, times int")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): learned from the rows outside fold `held`."""
     in_fold = F.coalesce(hashed_fold(id_col, folds) == held, F.lit(False))
-    counts, head, tree, total, distinct = grow(docs.where(~in_fold), text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((head, tree))
+    counts, head, total, distinct = heads(docs.where(~in_fold), text_col)
     whole = total + 0.5 * (distinct + 1)
+    added = materialize(weights(docs.where(~in_fold), counts, whole, text_col), "op9-weights")
+    shared = docs.sparkSession.sparkContext.broadcast((head, np.log10((head.counts + 0.5) / whole)))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
+    kind, text_kind = (source.schema[c].dataType.simpleString() for c in ("id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, t = shared.value
+        h, root = shared.value
         numbers, at = h.numbers(), TaskContext.get().partitionId() << 33
-        end = numbers.get(END, -1)
         for part, texts in slices(batches, "text", 1 << 20):
             words = [tokens(x) for x in texts]
             flat, starts = coded(words, numbers)
             known = np.add.reduceat((flat >= 0).astype(np.int64), starts)
-            base = np.add.reduceat(np.where(flat >= 0, t.root[np.maximum(flat, 0)] if len(t.root) else 0.0, 0.0), starts)
-            full = np.add.reduceat(t.score(flat, starts, end), starts)
+            base = np.add.reduceat(np.where(flat >= 0, root[np.maximum(flat, 0)] if len(root) else 0.0, 0.0), starts)
             rest, ends = [], np.concatenate([starts[1:], [len(flat)]])
             for w, a, b in zip(words, starts, ends, strict=True):
                 rest.append([w[i] for i in np.nonzero(flat[a:b] < 0)[0]])
             keys = pa.array(np.arange(at, at + len(texts)))
             at += len(texts)
-            yield pa.RecordBatch.from_arrays([keys, column(part, "id"), pa.array(ends - starts), pa.array(known), pa.array(base), pa.array(full), pa.array(rest, pa.list_(pa.binary()))], ["key", "id", "n_tokens", "known", "base", "full", "rest"])
+            yield pa.RecordBatch.from_arrays([keys, column(part, "id"), column(part, "text"), pa.array(ends - starts), pa.array(known), pa.array(base), pa.array(rest, pa.list_(pa.binary()))], ["key", "id", "text", "n_tokens", "known", "base", "rest"])
 
-    rows = materialize(source.mapInArrow(run, f"key bigint, id {kind}, n_tokens bigint, known bigint, base double, full double, rest array<binary>"), "op9-rows")
+    rows = materialize(source.mapInArrow(run, f"key bigint, id {kind}, text {text_kind}, n_tokens bigint, known bigint, base double, rest array<binary>"), "op9-rows")
     rare = counts.where(F.col("n") < HEAD * total)
     rest = rows.select("key", F.explode("rest").alias("word")).join(rare, "word", "left")
     rest = rest.groupBy("key").agg(F.count("n").alias("more_known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(whole))).alias("more"))
-    return rows.drop("rest").join(rest, "key", "left").select(
+    context = text_runs(rows).join(added, "run").groupBy("key").agg(F.sum(F.col("times") * F.col("weight")).alias("context"))
+    base = F.col("base") + F.coalesce("more", F.lit(0.0))
+    return rows.drop("rest", "text").join(rest, "key", "left").join(context, "key", "left").select(
         F.col("id").alias(id_col),
         F.coalesce(hashed_fold("id", folds) == held, F.lit(False)).alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("full") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        base.alias("base_score"),
+        (base + F.coalesce("context", F.lit(0.0))).alias("score"),
     )
 
 
