@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tramline.llm import quality_classifier, quality_rules, queries, simhash
+from tramline.llm import near_copies, quality_classifier, quality_rules, queries, simhash, stages
 
 
 @pytest.fixture
@@ -38,6 +38,51 @@ def test_stages_follow_their_operators(spark, folder):
     assert ids(whole) == ids(single) and ids(pack(spark, single, folder)) == ids(single)
 
 
+def test_near_copies_are_found_down_to_a_similarity_of_four_fifths(spark, monkeypatch):
+    """Against all pairs; in one block a part, and dealt out over many."""
+    rng = random.Random(9)
+    sets, docs = {}, []
+    for base in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300))]
+        docs.append((base, " ".join(words)))
+        for k in range(3):
+            edited = list(words)
+            for _ in range(rng.randrange(1, 1 + len(words) // 30)):
+                edited[rng.randrange(len(edited))] = f"new{rng.randrange(10**6)}"
+            docs.append((100 + base * 3 + k, " ".join(edited)))
+    docs += [(900, None), (901, " "), (902, "a b"), (903, "a  B"), (None, docs[0][1]), (None, "x y z"), (904, docs[5][1]), (904, "some other text of this id")]
+    for i, (_, t) in enumerate(docs):
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = list(range(len(docs)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) > 0
+    near = 0
+    for i in range(len(docs)):
+        for j in range(i):
+            if None not in (docs[i][0], docs[j][0]) and (docs[i][0] == docs[j][0] or alike(sets[i], sets[j])):
+                near += sets[i] != sets[j] and len(sets[i] & sets[j]) < 0.95 * len(sets[i] | sets[j])
+                root[top(i)] = top(j)
+    assert near > 20
+    want = set()
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            want.add((d, min(docs[j][0] for j in range(len(docs)) if docs[j][0] is not None and top(j) == top(i))))
+    want |= {(None, 0), (None, None)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for chunk in (near_copies.CHUNK, 2):
+        monkeypatch.setattr(near_copies, "CHUNK", chunk)
+        assert {tuple(r) for r in near_copies.near_copies(frame).collect()} == want
+    kept = {r["doc_id"] for r in stages.near_duplicates(spark, frame, "").collect()}
+    assert kept == {d for d, c in want if d == c}
+    assert near_copies.near_copies(frame.limit(0)).count() == 0
+
+
 def test_registry():
     found = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
