@@ -152,6 +152,19 @@ def test_quality_rules_reject_outliers(spark):
     assert quality_rules.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def test_small_groups_are_judged_by_wider_ones(spark):
+    rng = random.Random(7)
+    good = [(i, prose(rng, rng.randrange(60, 400)), "en", f"s{i % 30}") for i in range(300)]
+    good += [(500 + i, prose(rng, rng.randrange(60, 400)), None if i else "xx", "s0") for i in range(5)]
+    junk = lambda: " ".join(w + "$#*" for w in prose(rng, 150).split())
+    bad = [(1000 + i, junk(), "en", f"s{i}") for i in range(6)] + [(1100, junk(), "en", None), (1101, junk(), None, None), (1102, junk(), "yy", "only")]
+    schema = "doc_id long, text string, lang string, source string"
+    found = by_id(quality_rules.judge(spark.createDataFrame(good + bad, schema)))
+    assert len(found) == len(good + bad) and all(r["distance"] is not None for r in found.values())
+    assert all(found[i]["kept"] for i, *_ in good) and not any(found[i]["kept"] for i, *_ in bad)
+    assert quality_rules.judge(spark.createDataFrame(good[:1], schema)).first()["kept"]
+
+
 def test_outlier_distances_match_numpy(spark):
     """One concentration step after another, against the same steps in numpy."""
     rng = random.Random(3)

@@ -9,7 +9,8 @@ is beyond `cut` is rejected, as are texts that fail the base rules.
 Every estimate is a grouped aggregate that Spark combines before it shuffles, so
 a source with a third of all rows costs no more than others; medians and the
 share of rows to concentrate on come from mergeable quantile sketches over all
-rows. Groups of fewer than `min_rows` rows are judged by the base rules alone.
+rows. Groups of fewer than `min_rows` rows are judged by the estimate of their
+language, and languages of fewer by that of all rows.
 
 Nulls: a null text has no words and fails the base rules; null languages and
 sources form groups of their own. Empty texts: likewise no words. Repeated rows
@@ -106,34 +107,48 @@ def _cholesky(params: DataFrame, names: list[str], floors: list[float]) -> DataF
     return params
 
 
-def outliers(stats: DataFrame, group: tuple[str, ...] = ("lang", "source"), steps: int = STEPS, keep_share: float = KEEP_SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """stats with distance (double; null in small groups): the squared Mahalanobis distance, scaled to a chi-squared median."""
-    names, floors, by = list(FEATURES), [f for _, f in FEATURES.values()], list(group)
-    plain = stats.columns
-    rows = stats.select("*", *(f().alias(n) for n, (f, _) in FEATURES.items()))
+def _estimates(rows: DataFrame, by: list[str], names: list[str], floors: list[float], steps: int, keep_share: float) -> DataFrame:
+    """(by, m_i, l_i_j, scale, group_rows) of each group."""
+    at = f"op7-{len(by)}-{'-'.join(by).strip('_')}"
     middle = lambda c, q=0.5: F.percentile_approx(c, F.lit(q), F.lit(ACCURACY))
     start = rows.groupBy(*by).agg(F.count("*").alias("rows"), *(middle(n).alias(f"m_{i}") for i, n in enumerate(names)), *(((middle(n, 0.75) - middle(n, 0.25)) / 1.349).alias(f"s_{i}") for i, n in enumerate(names)))
     start = start.select("*", *((F.col(f"s_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))))
-    params = materialize(_cholesky(start, names, floors), "op7-start")
+    params = materialize(_cholesky(start, names, floors), f"{at}-start")
     for step in range(steps):
         near = _distance(_joined(rows, params, by), names).select(*by, *names, "d2")
         cuts = near.groupBy(*by).agg(middle("d2", keep_share).alias("cut"))
         kept = _joined(near, cuts, by).where("d2 <= cut")
         pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
         moments = kept.groupBy(*by).agg(F.count("*").alias("rows"), *(F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i, j in pairs))
-        params = materialize(_cholesky(moments, names, floors), f"op7-step{step}")
+        params = materialize(_cholesky(moments, names, floors), f"{at}-step{step}")
     scale = _distance(_joined(rows, params, by), names).groupBy(*by).agg((middle("d2") / F.lit(CHI2_MEDIAN)).alias("scale"), F.count("*").alias("group_rows"))
-    params = materialize(_joined(params.drop("rows"), scale, by), "op7-scale")
-    # A group more concentrated than a normal one is not stretched: small departures there stay small.
-    distance = F.when(F.col("group_rows") >= min_rows, F.col("d2") / F.greatest(F.col("scale"), F.lit(1.0)))
-    return _distance(_joined(rows, params, by), names).select(*plain, distance.alias("distance"))
+    return materialize(_joined(params.drop("rows"), scale, by), f"{at}-scale")
+
+
+def outliers(stats: DataFrame, group: tuple[str, ...] = ("lang", "source"), steps: int = STEPS, keep_share: float = KEEP_SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
+    """stats with distance (double): the squared Mahalanobis distance, scaled to a chi-squared median.
+
+    A group of fewer than min_rows rows is judged by the estimate of the next wider one: without the last group column, and so on to all rows.
+    """
+    names, floors = list(FEATURES), [f for _, f in FEATURES.values()]
+    plain = stats.columns
+    rows = stats.select("*", *(f().alias(n) for n, (f, _) in FEATURES.items()), F.lit(0).alias("_all"))
+    levels = [list(group[:k]) for k in range(len(group), 0, -1)] + [["_all"]]
+    out = rows
+    for k, by in enumerate(levels):
+        params = _estimates(rows, by, names, floors, steps, keep_share)
+        # A group more concentrated than a normal one is not stretched: small departures there stay small.
+        distance = F.col("d2") / F.greatest(F.col("scale"), F.lit(1.0))
+        enough = F.lit(True) if by == ["_all"] else F.col("group_rows") >= min_rows
+        out = _distance(_joined(out, params, by), names).select(*out.columns, F.when(enough, distance).alias(f"distance_{k}"))
+    return out.select(*plain, F.coalesce(*(f"distance_{k}" for k in range(len(levels)))).alias("distance"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: tuple[str, ...] = ("lang", "source"), cut: float = CHI2_CUT) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance)."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = outliers(statistics(docs, id_col, text_col, group), group)
-    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"), "distance")
+    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("distance") <= cut)).alias("kept"), "distance")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
