@@ -210,6 +210,18 @@ def test_quality_classifier(spark):
     assert quality_classifier.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_sample_is_filled_from_labels_of_documents_there(spark):
+    rng = random.Random(6)
+    good = [(i, prose(rng, 60)) for i in range(100)]
+    bad = [(10_000 + i, " ".join(w.upper() + "!!" for w in prose(rng, 60).split())) for i in range(60)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    gone = [(20_000 + i, 0) for i in range(3_000)]
+    there = [(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad]
+    labels = lambda x: spark.createDataFrame(x, "doc_id long, quality int")
+    a, b = (quality_classifier.train(docs, labels(x), sample=100) for x in (there, there + gone))
+    assert a.w1.any() and np.array_equal(a.w1, b.w1) and a.b2 == b.b2
+
+
 def test_labels_of_the_held_out_fold_are_not_learned(spark):
     docs = spark.createDataFrame([(i, f"alpha{i % 7} beta") for i in range(100)], "doc_id long, text string")
     labels = [(i, i % 2) for i in range(100)]

@@ -10,7 +10,8 @@ temperature, fitted on documents that the weights have not seen, calibrates it.
 
 The network and the word vectors are fitted on the driver from at most
 `sample` labelled rows of each class (a documented bound; those with the smallest
-keyed hash of their id); the class shares come from all labelled rows. The model
+keyed hash of their id); the class shares come from all labelled rows whose document is
+among docs. The model
 is a few arrays of fixed size, whatever the corpus.
 
 Nulls: a null text is an empty text; empty texts get a score like any other (that
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.common import hashed_fold, slices
+from tramline.llm.common import hashed_fold, materialize, slices
 
 DIM, BUCKETS, SHAPES = 32, 1 << 15, 1 << 12
 SAMPLE, WINDOW, HIDDEN, EPOCHS = 3_000, 2, 24, 40
@@ -170,8 +171,10 @@ def fit(texts: list[bytes], label: np.ndarray, share: float, seed: int = 5) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows outside fold 0; collects at most 2 * sample texts."""
-    seen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (hashed_fold("id", folds) != 0))
+    """Learns from labelled rows of docs outside fold 0; collects at most 2 * sample texts."""
+    there = docs.select(F.col(id_col).alias("id"))
+    seen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (hashed_fold("id", folds) != 0)).join(there, "id", "left_semi")
+    seen = materialize(seen, "op2-labels")
     count = {r["label"]: r["count"] for r in seen.groupBy("label").count().collect()}
     if not count:
         return fit([], np.zeros(0, int), 0.5)
