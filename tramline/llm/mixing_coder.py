@@ -3,12 +3,13 @@
 Ids are cut into blocks that are coded independently: every block starts with a
 fresh model and carries a checksum. Within a block, a hashed table of the two ids
 before (order 2) and one of the id before (order 1) each predict the next id, with
-a confidence. Adaptive hit rates by confidence, and the overall rate (order 0), are
-mixed in the logistic domain by weights that learn as they go; the mixed
-probability codes whether the order-2 prediction holds, an adaptive one whether the
-order-1 prediction does, and what is left is coded by an adaptive order-0
-distribution over ranges of ids. All arithmetic is in integers, so files decode
-alike on any machine.
+a confidence; order 0 counts every id of the block. Order 2's guess, or order 1's
+where there is none, holds with a probability that is mixed in the logistic domain
+from the adaptive hit rates of both orders by confidence and from the guess's
+order-0 share, by weights that learn as they go. What is not guessed is coded by
+the order-0 counts, with an escape to ids that the block has not held so far, which
+have an adaptive distribution over ranges of ids. All arithmetic is in integers, so
+files decode alike on any machine.
 
 Blocks of a segment are coded side by side: each step of the model runs once over
 the arrays of all blocks. A file holds segments; a segment holds a table of its
@@ -34,12 +35,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.llm.common import column, fresh_path, materialize, slices
-from tramline.llm.tokens import WordIds
+from tramline.llm.tokens import shared_words
 
-END, MAGIC = 2, b"TLCM\2\0\0\0"
+END, MAGIC = 2, b"TLCM\3\0\0\0"
 #: Tokens of a block, and about so many of a segment: what a task holds at a time.
-BLOCK, SEGMENT = 1_024, 6_000_000
-_SLOTS, _CONF, _RANGES = 1_024, 16, 32
+BLOCK, SEGMENT = 8_192, 6_000_000
+#: Slots of the order-2 table, levels of confidence, ranges of unseen ids, and seen ids that share a row of counts.
+_SLOTS, _CONF, _RANGES, _ROW = 16_384, 16, 32, 32
 _U, _SHIFT, _LOW = np.uint64, np.uint64(16), np.uint64((1 << 48) - 1)
 
 
@@ -55,64 +57,90 @@ RANGE_OF = np.repeat(np.arange(_RANGES), SIZES).astype(np.int32)
 # Logistic function and its inverse in fixed point: 12-bit probabilities against a domain of 8 fractional bits.
 SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 16, 4080).astype(np.int32)
 STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
+#: What a count at each place of a row adds to the places behind it.
+_BEHIND, _WHOLE = np.triu(np.full((_ROW, _ROW), 2, np.int16), 1), np.dtype(f"V{2 * _ROW}")
 
 
 class Lanes:
     """Model and coder state of n blocks, advanced together; the first k take part in a step.
 
-    Tables hold prediction * 16 + confidence. Rates and counts have a row for each confidence or range and a column for each
-    block, so that a step works on contiguous rows.
+    Ids go by their rank: the order in which a block first holds them, so the next unseen id has the rank `seen`. An id counts 2 for
+    each place, "unseen" counts seen + 1. Counts are running sums: `top` of rows of ranks, `row` within a row. Tables of orders
+    1 and 2 hold rank * 16 + confidence.
     """
 
-    def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n, dtype=np.int32)
+    def __init__(self, n: int, steps: int):
+        self.n, self.lane = n, np.arange(n)
+        self.size = -(-max(1, steps) // _ROW) * _ROW
         self.low, self.range = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
-        self.table = [np.zeros(n * _SLOTS, np.int32) for _ in range(2)]
-        self.rate = np.full(3 * _CONF * n, 1 << 11, np.int32)
-        self.second = np.full(_CONF * n, 1 << 11, np.int32)
+        self.one, self.two, self.seen = (np.zeros(n, np.int64) for _ in range(3))
+        self.first = np.zeros(n * self.size, np.int32)
+        self.second = np.zeros(n * _SLOTS, np.int32)
+        self.count = np.zeros(n * self.size, np.int16)
+        self.row = np.zeros((n * (self.size // _ROW), _ROW), np.int16)
+        self.top, self.used = np.zeros((self.size // _ROW + 2, n), np.int16), 1
+        self.rate = np.full(3 * _CONF * n, 1 << 9, np.int32)
         self.weight = np.full((3, n), 1 << 15, np.int32)
         self.below = np.repeat(np.arange(0, 2 * _RANGES + 1, 2, dtype=np.int32)[:, None], n, axis=1)
-        self.rows = np.arange(_RANGES + 1, dtype=np.int32)[:, None]
-        self.recent, self.one, self.two = (np.zeros(n, np.int32) for _ in range(3))
-
-    def predict(self, k: int) -> tuple:
-        """(slots, predictions, confidences, places of rates, rates, signals, chance of 4096) of orders 2, 1 and 0."""
-        lane, one, two = self.lane[:k], self.one[:k], self.two[:k]
-        base = lane * _SLOTS
-        at = base + ((two * 6_007 + one * 30_011) >> 4 & _SLOTS - 1), base + ((one * 30_011) >> 4 & _SLOTS - 1)
-        held = [t.take(a) for t, a in zip(self.table, at, strict=True)]
-        guess, sure = [h >> 4 for h in held], [h & 15 for h in held]
-        where = np.empty((3, k), np.int32)
-        where[0], where[1], where[2] = sure[0], sure[1] + _CONF, self.recent[:k] + 2 * _CONF
+        self.rows = np.arange(max(_RANGES, self.size // _ROW) + 2, dtype=np.int16)[:, None]
+        self.base, self.slots, self.groups = self.lane * self.size, self.lane * _SLOTS, self.lane * (self.size // _ROW)
+
+    def predict(self, k: int, step: int) -> tuple:
+        """(guess, its chance of 4096, what `learn` needs): order 2's guess, or order 1's where there is none."""
+        lane, one, two, base = self.lane[:k], self.one[:k], self.two[:k], self.base[:k]
+        at1, at2 = base + one, self.slots[:k] + (two * 6_007 + one * 30_011 >> 3 & _SLOTS - 1)
+        held1, held2 = self.first.take(at1), self.second.take(at2)
+        sure1, sure2 = held1 & 15, held2 & 15
+        guess1, guess2 = held1 >> 4, held2 >> 4
+        guess = np.where(sure2 > 0, guess2, guess1)
+        where = np.empty((2, k), np.int64)
+        where[0] = sure2
+        where[1] = (sure1 << 1) + (guess1 == guess) + _CONF
         where *= self.n
         where += lane
         rate = self.rate.take(where)
-        signal = STRETCH.take(rate)
+        often = (self.count.take(base + guess).astype(np.int32) << 12) // (self.seen[:k] + (2 * step + 1)).astype(np.int32)
+        signal = np.empty((3, k), np.int32)
+        STRETCH.take(rate, out=signal[:2], mode="clip")
+        STRETCH.take(often, out=signal[2], mode="clip")
         dot = (self.weight[:, :k] * signal).sum(axis=0, dtype=np.int32) >> 16
-        return at, guess, sure, where, rate, signal, SQUASH.take(np.clip(dot, -2047, 2047) + 2048)
+        dot += 2048
+        return guess, SQUASH.take(dot, mode="clip"), (at1, at2, guess1, guess2, sure1, sure2, where, rate, signal)
 
-    def learn(self, k: int, x: np.ndarray, hit: np.ndarray, at: tuple, guess: list, sure: list, where: np.ndarray, rate: np.ndarray, signal: np.ndarray, chance: np.ndarray) -> None:
+    def learn(self, k: int, x: np.ndarray, hit: np.ndarray, chance: np.ndarray, known: tuple) -> None:
+        at1, at2, guess1, guess2, sure1, sure2, where, rate, signal = known
         target = hit.astype(np.int32) << 12
         weight = self.weight[:, :k]
-        weight += signal * ((target - chance) * 3) >> 9
-        np.clip(weight, -(1 << 18), 1 << 18, out=weight)
-        rate += (target - rate) >> 5
-        self.rate[where] = np.clip(rate, 1, 4094, out=rate)
-        self.recent[:k] = (self.recent[:k] << 1 | hit) & 3
-        fresh = x << 4 | 1
-        for table, a, g, c in zip(self.table, at, guess, sure, strict=True):
-            table[a] = np.where(g == x, x << 4 | np.minimum(c + 1, _CONF - 1), np.where(c > 1, g << 4 | c >> 1, fresh))
+        signal *= target - chance
+        signal >>= 10
+        weight += signal
+        np.minimum(weight, 1 << 18, out=weight)
+        np.maximum(weight, -(1 << 18), out=weight)
+        # Rounding down keeps rates within 0 and 4095.
+        rate += (target - rate) >> 4
+        self.rate[where] = rate
+        fresh = (x << 4 | 1).astype(np.int32)
+        again = fresh - 1
+        for table, at, guess, sure in ((self.first, at1, guess1, sure1), (self.second, at2, guess2, sure2)):
+            table[at] = np.where(guess == x, again + np.minimum(sure + 1, _CONF - 1), np.where(sure > 1, guess << 4 | sure >> 1, fresh))
         self.two[:k] = self.one[:k]
         self.one[:k] = x
 
-    def second_rate(self, place: np.ndarray, hit: np.ndarray, rate: np.ndarray) -> None:
-        self.second[place] = np.clip(rate + (((hit.astype(np.int32) << 12) - rate) >> 5), 16, 4080)
-
-    def count(self, k: int, rows: np.ndarray, which: np.ndarray) -> None:
-        """Raises the counts of what rows have seen; `below` holds running sums."""
-        seen = np.full(k, _RANGES + 1, np.int32)
-        seen[rows] = which
-        self.below[:, :k] += (self.rows > seen).view(np.int8) << 3
+    def add(self, k: int, x: np.ndarray, new: np.ndarray, step: int) -> None:
+        """Counts x; new: where it was unseen. Rows of ranks that no block has reached are filled in once one does."""
+        group = x >> 5
+        at = self.base[:k] + x
+        self.count[at] = self.count.take(at) + np.int16(2)
+        at = self.groups[:k] + group
+        self.row.view(_WHOLE)[at, 0] = (self.row.take(at, axis=0) + _BEHIND.take(x & _ROW - 1, axis=0)).view(_WHOLE)[:, 0]
+        if int(self.seen[:k].max()) >> 5 >= self.used - 1:
+            self.used += 1
+            self.top[self.used] = 2 * step
+        self.top[1 : self.used + 1, :k] += (self.rows[1 : self.used + 1] > group.astype(np.int16)).view(np.int8) << 1
+        self.seen[:k] += new
+
+    def count_range(self, rows: np.ndarray, which: np.ndarray) -> None:
+        self.below[:, rows] += (self.rows[: _RANGES + 1] > which.astype(np.int16)).view(np.int8) << 3
 
     def settle(self, k: int):
         """Rows whose top 16 bits are fixed, again and again; a range that is too small is cut so that they are."""
@@ -139,43 +167,55 @@ def flag(low: np.ndarray, span: np.ndarray, chance: np.ndarray, hit: np.ndarray)
     return np.where(hit, low, low + part), np.where(hit, part, span - part)
 
 
+def ranked(block: np.ndarray) -> np.ndarray:
+    """Ids by the order in which the block first holds them."""
+    place, rank = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+    order = np.arange(len(block), dtype=np.int32)
+    place[block[::-1]] = order[::-1]
+    first = block[place[block] == order]
+    rank[first] = np.arange(len(first), dtype=np.int32)
+    return rank[block]
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Blocks in descending order of length, ids under 2 ** 16."""
     n = len(blocks)
-    lanes, lengths = Lanes(n), np.array([len(b) for b in blocks], np.int64)
+    lengths = np.array([len(b) for b in blocks], np.int64)
     steps = int(lengths[0]) if n else 0
-    ids = np.zeros((steps, n), np.int32)
+    lanes = Lanes(n, steps)
+    ids, ranks = np.zeros((steps, n), np.uint16), np.zeros((steps, n), np.int16)
     for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
+        ids[: len(b), i], ranks[: len(b), i] = b, ranked(b)
     width = steps * 3 + 8
     out, pos = np.zeros(n * width, ">u2"), np.arange(n) * width
     starts, sizes = STARTS.astype(_U), SIZES.astype(_U)
     for step in range(steps):
         k = n if lengths[-1] > step else int(np.searchsorted(-lengths, -step))
-        x = ids[step, :k]
-        seen = lanes.predict(k)
-        guess, sure = seen[1], seen[2]
-        hit = guess[0] == x
-        low, span = flag(lanes.low[:k], lanes.range[:k], seen[6], hit)
-        rows = np.flatnonzero(~hit)
+        x, seen = ranks[step, :k].astype(np.int64), lanes.seen[:k]
+        guess, chance, known = lanes.predict(k, step)
+        new = x == seen
+        hit = (guess == x) & ~new
+        low, span = flag(lanes.low[:k], lanes.range[:k], chance, hit)
+        group, at = x >> 5, lanes.base[:k] + x
+        # The escape to unseen ids lies below all counts.
+        start = np.where(new, 0, lanes.top.ravel().take(group * n + lanes.lane[:k]) + lanes.row.ravel().take(at) + (seen + 1))
+        size = np.where(new, seen + 1, lanes.count.take(at))
+        unit = span // (seen + (2 * step + 1)).astype(_U)
+        low, span = np.where(hit, low, low + unit * start.astype(_U)), np.where(hit, span, unit * size.astype(_U))
+        rows = np.flatnonzero(new)
         if len(rows):
-            xr, lo, ra = x[rows], low[rows], span[rows]
-            place = sure[1][rows] * n + rows
-            rate = lanes.second.take(place)
-            again = guess[1][rows] == xr
-            lo, ra = flag(lo, ra, rate, again)
-            lanes.second_rate(place, again, rate)
+            xr = ids[step, rows]
             which = RANGE_OF.take(xr)
             cell = which * n + rows
             below, above = lanes.below.take(cell), lanes.below.take(cell + n)
-            unit = ra // lanes.below[_RANGES].take(rows).astype(_U)
-            unit_in = unit * (above - below).astype(_U) // sizes.take(which)
-            literal = ~again
-            low[rows] = np.where(literal, lo + unit * below.astype(_U) + unit_in * (xr.astype(_U) - starts.take(which)), lo)
-            span[rows] = np.where(literal, unit_in, ra)
-            lanes.count(k, rows[literal], which[literal])
+            unit = span[rows] // lanes.below[_RANGES].take(rows).astype(_U)
+            inner = unit * (above - below).astype(_U) // sizes.take(which)
+            low[rows] += unit * below.astype(_U) + inner * (xr.astype(_U) - starts.take(which))
+            span[rows] = inner
+            lanes.count_range(rows, which)
         lanes.low[:k], lanes.range[:k] = low, span
-        lanes.learn(k, x, hit, *seen)
+        lanes.learn(k, x, hit, chance, known)
+        lanes.add(k, x, new, step)
         for rows, low in lanes.settle(k):
             out[pos[rows]] = low >> _U(48)
             pos[rows] += 1
@@ -188,58 +228,65 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 def decode_blocks(coded: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
     """The inverse; lengths in descending order."""
     n = len(coded)
-    lanes, steps = Lanes(n), int(lengths[0]) if n else 0
+    steps = int(lengths[0]) if n else 0
+    lanes = Lanes(n, steps)
     width = max(map(len, coded), default=0) // 2 + 4
-    data = np.zeros((n, width), _U)
+    data = np.zeros((n, width), np.uint16)
     for i, b in enumerate(coded):
         data[i, : len(b) // 2] = np.frombuffer(b, ">u2")
     data, pos = data.ravel(), np.arange(n) * width + 4
     code = np.zeros(n, _U)
     for i in range(4):
-        code = code << _SHIFT | data[np.arange(n) * width + i]
+        code = code << _SHIFT | data[np.arange(n) * width + i].astype(_U)
     last = np.arange(1, n + 1) * width - 1
     starts, sizes = STARTS.astype(np.int32), SIZES.astype(_U)
-    out = np.zeros((steps, n), np.int32)
+    names, out = np.zeros(n * lanes.size, np.uint16), np.zeros((steps, n), np.uint16)
     for step in range(steps):
         k = n if lengths[-1] > step else int(np.searchsorted(-lengths, -step))
-        seen = lanes.predict(k)
-        guess, sure, chance = seen[1], seen[2], seen[6]
+        lane, seen, base = lanes.lane[:k], lanes.seen[:k], lanes.base[:k]
+        guess, chance, known = lanes.predict(k, step)
         low, span, now = lanes.low[:k], lanes.range[:k], code[:k]
-        hit = now - low < (span >> _U(12)) * chance.astype(_U)
-        low, span = flag(low, span, chance, hit)
-        x = guess[0].copy()
-        rows = np.flatnonzero(~hit)
+        part = (span >> _U(12)) * chance.astype(_U)
+        hit = now - low < part
+        low, span = np.where(hit, low, low + part), np.where(hit, part, span - part)
+        total = seen + (2 * step + 1)
+        unit = span // total.astype(_U)
+        value = np.minimum(((now - low) // unit).astype(np.int64), total - 1) - (seen + 1)
+        new = (value < 0) & ~hit
+        short = value.astype(np.int16)
+        group = (lanes.top[1 : lanes.used + 1, :k] <= short).sum(axis=0, dtype=np.int64)
+        above = lanes.top.ravel().take(group * n + lane)
+        row = lanes.row.take(lanes.groups[:k] + group, axis=0)
+        # The last place whose sum is not beyond; the first is 0, so none beyond reads as place 0.
+        place = (row <= (short - above)[:, None]).argmin(axis=1)
+        x = (group << 5) + (place - 1 & _ROW - 1)
+        x = np.where(hit, guess, np.where(new, seen, x))
+        at = base + x
+        start = np.where(new, 0, lanes.top.ravel().take((x >> 5) * n + lane) + lanes.row.ravel().take(at) + (seen + 1))
+        size = np.where(new, seen + 1, lanes.count.take(at))
+        low, span = np.where(hit, low, low + unit * start.astype(_U)), np.where(hit, span, unit * size.astype(_U))
+        rows = np.flatnonzero(new)
         if len(rows):
-            lo, ra, here = low[rows], span[rows], now[rows]
-            place = sure[1][rows] * n + rows
-            rate = lanes.second.take(place)
-            again = here - lo < (ra >> _U(12)) * rate.astype(_U)
-            lo, ra = flag(lo, ra, rate, again)
-            lanes.second_rate(place, again, rate)
-            xr = guess[1][rows]
-            lit = np.flatnonzero(~again)
-            at = rows[lit]
-            lo, ra, here = lo[lit], ra[lit], here[lit]
-            total = lanes.below[_RANGES].take(at)
-            unit = ra // total.astype(_U)
+            lo, here = low[rows], now[rows]
+            total = lanes.below[_RANGES].take(rows)
+            unit = span[rows] // total.astype(_U)
             value = np.minimum((here - lo) // unit, (total - 1).astype(_U)).astype(np.int32)
-            which = (lanes.below[1:_RANGES].take(at, axis=1) <= value).sum(axis=0, dtype=np.int32)
-            cell = which * n + at
+            which = (lanes.below[1:_RANGES].take(rows, axis=1) <= value).sum(axis=0, dtype=np.int32)
+            cell = which * n + rows
             below, above = lanes.below.take(cell), lanes.below.take(cell + n)
             lo = lo + unit * below.astype(_U)
             size = sizes.take(which)
             unit = unit * (above - below).astype(_U) // size
             value = np.minimum((here - lo) // unit, size - _U(1))
-            low[rows], span[rows] = flag(low[rows], span[rows], rate, again)
-            low[at], span[at] = lo + unit * value, unit
-            xr[lit] = starts.take(which) + value.astype(np.int32)
-            x[rows] = xr
-            lanes.count(k, at, which)
+            low[rows], span[rows] = lo + unit * value, unit
+            names[at[rows]] = starts.take(which) + value.astype(np.int32)
+            lanes.count_range(rows, which)
         lanes.low[:k], lanes.range[:k] = low, span
-        out[step, :k] = x
-        lanes.learn(k, x, hit, *seen)
+        out[step, :k] = names.take(at)
+        lanes.learn(k, x, hit, chance, known)
+        lanes.add(k, x, new, step)
         for rows, _ in lanes.settle(k):
-            code[rows] = code[rows] << _SHIFT | data[np.minimum(pos[rows], last[rows])]
+            code[rows] = code[rows] << _SHIFT | data[np.minimum(pos[rows], last[rows])].astype(_U)
             pos[rows] += 1
     return [out[: lengths[i], i].astype(np.int64) for i in range(n)]
 
@@ -287,7 +334,7 @@ def write(docs: DataFrame, path: str, id_col: str, text_col: str, end: int, toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
-        task, words, out = TaskContext.get(), WordIds(tokenizer), None
+        task, words, out = TaskContext.get(), shared_words(tokenizer), None
         name, tmp = f"{root}/part-{task.partitionId():06d}.ids", f"{root}/.{task.taskAttemptId()}.tmp"
         keys, held, size, n_docs, n_tokens = [], [], 0, 0, 0
 

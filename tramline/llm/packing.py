@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm.common import column, materialize, slices
-from tramline.llm.tokens import WordIds
+from tramline.llm.tokens import shared_words
 
 SIZE, WINDOWS, MERGE, END = 2048, 64, 64, 1
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, seq bigint, offset bigint, fill bigint, left_open boolean"
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, windows: int,
     tail = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, space, rows = WordIds(tokenizer), TaskContext.get().partitionId(), Windows(size, windows), []
+        ids, part, space, rows = shared_words(tokenizer), TaskContext.get().partitionId(), Windows(size, windows), []
         id_type = None
 
         def put(closed: list, left: bool = False) -> None:

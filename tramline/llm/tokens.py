@@ -1,12 +1,12 @@
 """Token ids by the tokenizers library, a word at a time.
 
 The tokenizer used here lower-cases, drops white space, never joins what stands on
-both sides of it and parts letters from what follows them. So a text's ids are its
-words' ids in a row, and each new word goes through the library once and is
-remembered. Words of plain lower-case Latin letters need no normalisation and go
-to the library's BPE model directly; all others, and whole texts that may spell a
-special token or hold combining accents, take its full path. `tests/llm` hold this against encoding whole
-texts.
+both sides of it and parts letters, single digits and runs of marks. So a text's ids
+are its words' ids in a row, a word's are its parts', and each new part goes through
+the library once and is remembered. Plain Latin letters need no normalisation but
+lower case and go to the library's BPE model directly; words that hold anything
+else, and whole texts that may spell a special token or hold combining accents, take
+its full path. `tests/llm` hold this against encoding whole texts.
 """
 
 from __future__ import annotations
@@ -14,12 +14,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import cache
 
 #: Words a worker remembers (about 230 bytes each); beyond that it starts anew.
 REMEMBERED = 700_000
 TOKENIZER = "word_bpe_49k.json"
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
-_ENDED = re.compile(rb"[a-z]+[.,]")
+#: Words that fall into letters, digits and marks; apostrophes begin endings of their own, so they are not among the marks.
+_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_MIXED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
 
 
 def resolve(path: str | None) -> str:
@@ -51,16 +54,15 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.remembered:
             self.clear()
-        if _ENDED.fullmatch(word):
-            found = self[word[:-1]] + self[word[-1:]]
+        text = word.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text):
+            if not text.isascii():
+                text = word.decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        elif _MIXED.fullmatch(text) and (parts := [p.lower().encode() for p in _PARTS.findall(text)]) != [word]:
+            found = b"".join([self[p] for p in parts])
         else:
-            text = word.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text):
-                if not text.isascii():
-                    text = word.decode("latin-1").translate(self.letters)
-                found = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-            else:
-                found = self._library(text)
+            found = self._library(text)
         self[word] = found
         return found
 
@@ -73,3 +75,9 @@ class WordIds(dict):
         if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
             return self._library(text.decode("utf-8", "replace"))
         return b"".join(map(self.__getitem__, text.lower().split()))
+
+
+@cache
+def shared_words(path: str | None = None) -> WordIds:
+    """One table a worker, which its tasks share."""
+    return WordIds(path)
