@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Shuffles behind a table go once it is written: nothing else reads them.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +29,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tramline/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df, written once to the shared folder and read back: survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, conf = path or fresh_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, *patterns: str) -> None:
+    """Deletes what lies under patterns in the shared folder, once nothing reads it any more."""
+    context = spark.sparkContext
+    for pattern in patterns:
+        path = context._jvm.org.apache.hadoop.fs.Path(pattern)
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        for found in store.globStatus(path) or ():
+            store.delete(found.getPath(), True)
