@@ -442,49 +442,80 @@ def test_language_model(docs):
     assert suffix_tree.score(docs.limit(0)).count() == 0
 
 
-def test_tree_sums_to_one_and_learns_contexts(spark):
-    docs = spark.createDataFrame([(i, "of the " + ("red fox " if i % 2 else "blue sky ") * 5 + f"w{i}") for i in range(300)], "doc_id long, text string")
-    _, head, tree, total, distinct = suffix_tree.grow(docs)
-    root = (head.counts + 0.5) / (total + 0.5 * (distinct + 1))
-    numbers, every = head.numbers(), np.arange(len(head.words))
-    assert numbers[b"red"] in tree.states and len(tree.states) > 2
-    for state in tree.states:
-        if state < tree.size:
-            log, _ = tree.lookup(np.full(len(every), state), every)
-            left = 10 ** tree.left[np.searchsorted(tree.states, state)]
-        else:
-            flat = np.array([x for w in every for x in (state // tree.size - 1, state % tree.size, w)])
-            log = tree.score(flat, np.arange(0, len(flat), 3), -1).reshape(-1, 3)[:, 2]
-            at, known = tree._at(tree.states, np.array([state % tree.size]))
-            left = 10 ** tree.left[np.searchsorted(tree.states, state)] * (10 ** tree.left[at[0]] if known[0] else 1)
-        assert (10**log).sum() + left * (1 - root.sum()) == pytest.approx(1)
-    got = suffix_tree.score(docs).agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > 0.5 * got[1]
-
-
-def test_scores_by_joins_are_those_of_the_whole_tree(spark):
-    """On under 1 / DEEP tokens the tree in arrays holds every context."""
+def plain_tree(docs, train, depth=suffix_tree.DEPTH, gain=suffix_tree.GAIN):
+    """(chance(words before, word), states) of a tree grown from dictionaries of word tuples; docs: lists of tokens."""
+    lined = [("\n", *t) for t, learned in zip(docs, train, strict=True) if learned]
+    counts = [collections.Counter(t[i - k : i + 1] for t in lined for i in range(max(1, k), len(t))) for k in range(depth + 1)]
+    total, distinct, states = sum(counts[0].values()), len(counts[0]), {}
+
+    def chance(context, word):
+        """By the longest suffix of the context that is a state."""
+        if not context:
+            return (counts[0][(word,)] + 0.5) / (total + 0.5 * (distinct + 1))
+        shorter = chance(context[1:], word)
+        if context not in states:
+            return shorter
+        n, left = states[context]
+        seen = counts[len(context)][(*context, word)]
+        return (max(seen - suffix_tree.DISCOUNT, 0) / n if seen >= suffix_tree.LEAST else 0) + left * shorter
+
+    for k in range(1, depth + 1):
+        after = collections.defaultdict(list)
+        for run, n in counts[k].items():
+            if n >= suffix_tree.LEAST:
+                after[run[:-1]].append((run[-1], n))
+        new = {}
+        for context, words in after.items():
+            n = sum(x for run, x in counts[k].items() if run[:-1] == context)
+            left = 1 - sum(x - suffix_tree.DISCOUNT for _, x in words) / n
+            gained = sum(x * math.log((x - suffix_tree.DISCOUNT) / n / chance(context[1:], w)) for w, x in words)
+            if gained + (n - sum(x for _, x in words)) * math.log(left) >= gain:
+                new[context] = n, left
+        states |= new
+    return chance, states, counts
+
+
+@pytest.mark.parametrize("chunk", [suffix_tree.CHUNK, 60])
+def test_scores_are_those_of_a_plain_tree(spark, monkeypatch, chunk):
+    """All texts in one chunk, and dealt over many; the buckets likewise."""
+    monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_tree, "BUCKET", 4 * chunk)
     rng = random.Random(11)
-    lines = ["red fox ran", "blue fox sat", "old fox hid"]
-    docs = spark.createDataFrame([(i, " ".join(rng.choice(lines) for _ in range(5)) + f" w{i % 7}") for i in range(30)] + [(90, None)], "doc_id long, text string")
-    _, head, tree, total, _ = suffix_tree.grow(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1"))
-    assert total < 1 / suffix_tree.DEEP and any(s >= tree.size for s in tree.states)
-    found, numbers = by_id(suffix_tree.score(docs)), head.numbers()
-    for i, text in docs.collect():
-        words = suffix_tree.tokens((text or "").encode())
-        flat = np.array([numbers.get(w, -1) for w in words])
-        if (flat >= 0).all():
-            assert found[i]["score"] == pytest.approx(tree.score(flat, np.array([0]), numbers[suffix_tree.END]).sum(), abs=1e-6)
-
-
-def test_contexts_seen_twice_are_learned_in_any_corpus(spark):
+    lines = ["red fox ran", "blue fox sat by the sea", "old fox hid", "the sea is old and the fox is red"]
+    docs = [(i, " ".join(rng.choice(lines) for _ in range(6)) + f" w{i % 7}") for i in range(40)] + [(90, None), (91, ""), (None, "Blue fox"), (None, "x"), (92, "unseen words here"), (93, "\x00é fox"), (93, "red fox ran")]
+    words = [[*plain_words(lower(t)), "\n"] for _, t in docs]
+    train = [i is None or zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in docs]
+    chance, states, counts = plain_tree(words, train)
+    assert {len(s) for s in states} >= {1, 2, 3} and not all(train)
+    want = []
+    for (i, _), t, learned in zip(docs, words, train, strict=True):
+        full = ("\n", *t)
+        want.append((i, not learned, len(t), sum(math.log10(chance(full[max(0, j - suffix_tree.DEPTH) : j], full[j])) for j in range(1, len(full)))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("chunk", F.lit(1))
+    got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["score"]) for r in suffix_tree.score(frame).collect()]
+    for ours, theirs in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True):
+        # Chances are held in 32 bits.
+        assert ours[:3] == theirs[:3] and ours[3] == pytest.approx(theirs[3], rel=1e-6)
+    every = list(counts[0])
+    for context in states:
+        unknown = (0.5 / (sum(counts[0].values()) + 0.5 * (len(every) + 1))) * math.prod(states[context[j:]][1] for j in range(len(context)) if context[j:] in states)
+        assert sum(chance(context, w) for (w,) in every) + unknown == pytest.approx(1)
+
+
+def test_documents_that_occur_twice_are_told_apart(spark):
     rng = random.Random(12)
-    twice = " ".join(f"rare{k}" for k in range(40))
     ids = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    twice = " ".join(f"n{rng.randrange(900)}" for _ in range(150))
     docs = [(i, twice if i in ids else " ".join(f"n{rng.randrange(900)}" for _ in range(150))) for i in range(500)]
     found = by_id(suffix_tree.score(spark.createDataFrame(docs, "doc_id long, text string")))
-    assert found[ids[0]]["train_tokens"] * suffix_tree.CONTEXT > 4
-    assert all(found[i]["score"] > 0.3 * found[i]["base_score"] for i in ids)
+    others = [r["score"] / r["base_score"] for i, r in found.items() if i not in ids]
+    assert all(found[i]["score"] / found[i]["base_score"] < 0.6 * min(others) for i in ids)
+
+
+def test_nothing_to_learn_from(spark):
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = suffix_tree.score(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")).collect()
+    assert len(rows) == len(ids) and all((r["held_out"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (True, 0, 0, 0.0, 0.0) for r in rows)
 
 
 # WARC.

@@ -9,10 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tramline.shared import fresh_path
+from tramline.shared import fresh_path, removed
 from tramline.shared import written as materialize
 
-__all__ = ["column", "fresh_path", "hashed_fold", "let", "materialize", "salt", "slices"]
+__all__ = ["column", "fresh_path", "hashed_fold", "let", "materialize", "removed", "salt", "slices"]
 
 #: Python-side working set: rows are handled in slices of about so many bytes of text.
 SLICE_BYTES = 4 << 20

@@ -336,13 +336,12 @@ def write(docs: DataFrame, path: str, id_col: str, text_col: str, end: int, toke
         store, root = fs.FileSystem.from_uri(path)
         task, words, out = TaskContext.get(), shared_words(tokenizer), None
         name, tmp = f"{root}/part-{task.partitionId():06d}.ids", f"{root}/.{task.taskAttemptId()}.tmp"
-        keys, held, size, n_docs, n_tokens = [], [], 0, 0, 0
+        # Documents (ids, tokens) of the segment that is filled, and of a full one that waits: a short rest joins it.
+        filled, full, size, n_docs, n_tokens = ([], []), ([], []), 0, 0, 0
 
-        def flush() -> None:
+        def flush(keys: list, held: list) -> None:
             table = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array([len(x) // 4 for x in held], pa.int64())], ["id", "n_tokens"])
             out.write(segment(np.frombuffer(b"".join(held), "<u4").astype(np.int64), table))
-            keys.clear()
-            held.clear()
 
         for part, texts in slices(batches, "text", 1 << 20):
             if out is None:
@@ -350,16 +349,21 @@ def write(docs: DataFrame, path: str, id_col: str, text_col: str, end: int, toke
                 out = store.open_output_stream(tmp, compression=None)
                 out.write(MAGIC)
             found = [words.encode(t) + tail for t in texts]
-            keys.append(column(part, "id"))
-            held += found
+            filled[0].append(column(part, "id"))
+            filled[1].extend(found)
             more = sum(map(len, found)) // 4
             size, n_docs, n_tokens = size + more, n_docs + len(found), n_tokens + more
             if size >= SEGMENT:
-                flush()
-                size = 0
+                if full[0]:
+                    flush(*full)
+                filled, full, size = ([], []), filled, 0
         if out is not None:
-            if held:
-                flush()
+            if full[0] and size < SEGMENT // 2:
+                flush(full[0] + filled[0], full[1] + filled[1])
+            else:
+                for kept in (full, filled):
+                    if kept[0]:
+                        flush(*kept)
             out.close()
             store.move(tmp, name)
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([n_docs]), pa.array([n_tokens])], ["part", "file", "docs", "tokens"])

@@ -1,60 +1,63 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The root is the smoothed word distribution of all training tokens. A context of
-one or two words becomes a state if it is frequent enough to be estimated and if
-its next words diverge from those of its shorter suffix: the log-likelihood that
-it gains over the suffix on its own occurrences must reach `GAIN`. A state keeps
-discounted probabilities of its frequent next words and gives the mass that is
-left to its suffix, renormalised, so every state's distribution sums to one. A
-token is scored in the state of the longest suffix of what precedes it.
-
-Counts are of all training documents, and the model grows with them: every context
-and next word that occurs twice is asked for its gain, whatever its share of the
-tokens. Contexts, states and their next words are written tables keyed by a 64-bit
-hash of the words (n-grams are compared by it), built and read by joins. As a
-state's log probabilities are sums, log p(w | a b) = root(w) + left(b) + more(b w)
-+ left(a b) + more(a b w), where what is not in the model is zero: so a document's
-score is the sum of one weight for each of its one- to three-word runs. Only words
-that hold at least a share `HEAD` of all tokens, at most 1 / HEAD, are broadcast,
-as a shortcut for their root probabilities; the others are joined.
-
-`grow` holds the same model in arrays, for words, contexts and next words that
-hold at least a share `HEAD`, `CONTEXT` or `DEEP`: on a few hundred tokens that is
-all of it, and tests hold the tables against it. Scores do not use it.
+The root is the smoothed word distribution of all training tokens. A context of one
+to `depth` words is a state of the tree if what follows it diverges from what
+follows its shorter suffix: the log-likelihood that its next words gain over the
+suffix, on all its occurrences in the corpus, must reach `GAIN`. A state gives each
+next word that is kept (seen `LEAST` times after it) its discounted share, and
+shares the mass that is left by its suffix's distribution, so every state's
+distribution sums to one. A token's probability is that of the longest suffix of
+the words before it that is a state. What is learned grows with the corpus: every
+context and next word that occurs twice is asked for its gain, whatever its share.
+
+Texts are held in chunks, each a file in the shared folder: word numbers, the words'
+64-bit hashes, and what is known of each place so far. Counting goes by length. A
+chunk asks for the corpus counts of its distinct runs of k + 1 words, by their
+hash, in as many buckets as the corpus needs; of equal runs it asks once, so no
+frequent run makes a hot bucket. A run that occurs twice holds two shorter ones
+that do, so only places where both are kept are asked for the next length, and the
+exchanges shrink. Of all chunks with a kept run one is told that it owns it, and
+notes the run's gain with its context; by the contexts' hash the gains are summed,
+and the chunks that hold the context learn whether it is a state and what it leaves
+to its suffix. Each exchange's answers are a written table; an older round's files
+and answers are removed once the next one stands.
 
 Nulls: a null text is an empty text, which is its end token alone. Null ids are
 trained on (they are in no held-out fold) and carried. Repeated rows count and are
-scored as often as they occur. With no training documents every count is zero and
+scored as often as they occur. Equal texts get equal scores; a text alone in a
+chunk may be of any length. With no training documents every count is zero and
 unknown words share all the mass. An empty table gives an empty result. Other
 columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import column, hashed_fold, materialize, slices
+from tramline.llm.common import column, fresh_path, hashed_fold, removed, slices
+from tramline.shared import written
 
-HEAD, CONTEXT, DEEP = 2e-6, 1e-4, 2e-3
-GAIN, DISCOUNT = 10.0, 0.5
-#: The end token: no word can hold a line break.
+#: Longest context, occurrences from which on a run is kept, least gain of a state in nats, and what is taken off a count.
+DEPTH, LEAST, GAIN, DISCOUNT = 5, 2, 6.0, 0.7
+#: The end token: no word can hold a line break. It also stands before a text.
 END = b"\n"
-#: Distinct words that a task counts before it passes them on, and whose hashes it remembers.
-COUNTED = 400_000
-#: Occurrences from which on a context's next word is kept, and runs of words that a task counts before it passes them on.
-LEAST, RUNS = 2, 2_000_000
+#: Distinct words whose hashes a task remembers, tokens of a chunk, and runs that a bucket is meant to hold.
+COUNTED, CHUNK, BUCKET = 400_000, 1 << 20, 1 << 21
 #: The hash of a run is that of all but its last word times STEP, plus its last word's.
 STEP = np.uint64(0x9E3779B97F4A7C15)
+RUN, CONTEXT, NOTHING = range(3)
+ASK = "kind int, bucket int, chunk bigint, n int, keys binary, data binary"
+ANSWER = "kind int, bucket int, chunk bigint, n int, data binary, found bigint, total bigint"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -63,169 +66,6 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-            found.clear()
-            return out
-
-        for _, texts in slices(batches, "text"):
-            for t in texts:
-                found.update(tokens(t))
-            if len(found) >= COUNTED:
-                yield batch()
-        yield batch()
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Head:
-    """Frequent words by number, in descending order of their counts."""
-
-    words: list[bytes]
-    counts: np.ndarray
-    total: int
-    contexts: int
-    deep: int
-
-    def numbers(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
-
-
-def coded(words: list[list[bytes]], numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' word numbers in a row (-1: not in the head), and where each text starts."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((i for w in words for i in map(numbers.get, w, repeat(-1))), np.int64, int(lengths.sum()))
-    return flat, np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-
-
-def before(flat: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the word before each token and of the one before that; `end` stands before a text, nothing (-1) before that."""
-    one, two = np.empty_like(flat), np.empty_like(flat)
-    one[1:], two[2:] = flat[:-1], flat[:-2]
-    one[starts] = end
-    two[starts] = -1
-    second = starts + 1
-    second = second[second < len(flat)]
-    second = second[~np.isin(second, starts)]
-    two[second] = end
-    return one, two
-
-
-def follower_counts(docs: DataFrame, head: Head, text_col: str = "text") -> DataFrame:
-    """(context, word, n): context is u for one word, (u2 + 1) * size + u for two (u2 before u); words by number."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = shared.value
-        numbers, size = h.numbers(), len(h.words)
-        end = numbers.get(END, -1)
-        held: list[np.ndarray] = []
-
-        def batch() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys // size), pa.array((keys % size).astype(np.int32)), pa.array(n)], ["context", "word", "n"])
-
-        for _, texts in slices(batches, "text"):
-            flat, starts = coded([tokens(t) for t in texts], numbers)
-            one, two = before(flat, starts, end)
-            a = (flat >= 0) & (one >= 0) & (one < h.contexts)
-            b = a & (one < h.deep) & (two >= 0) & (two < h.deep)
-            held += [one[a] * size + flat[a], ((two[b] + 1) * size + one[b]) * size + flat[b]]
-            if sum(map(len, held)) >= 4_000_000:
-                yield batch()
-        if held:
-            yield batch()
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "context bigint, word int, n bigint").groupBy("context", "word").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Tree:
-    """State s of two words: its own next words first, then its suffix's, then the root's. Sorted keys stand for tables."""
-
-    size: int
-    root: np.ndarray  # log10 probability of each head word
-    states: np.ndarray  # sorted contexts
-    left: np.ndarray  # log10 of what a state gives to its suffix
-    entries: np.ndarray  # sorted state * size + word
-    values: np.ndarray  # log10 probability
-
-    @classmethod
-    def build(cls, head: Head, root: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], gain: float = GAIN) -> Tree:
-        """found: (context, word, n), the frequent ones."""
-        size, (context, word, n) = len(head.words), found
-        tree = cls(size, np.log10(root), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
-        order = np.lexsort((word, context))
-        context, word, n = context[order], word[order], n[order]
-        counts = head.counts
-        deep_keys = {}
-        for deep in (False, True):
-            mine = (context >= size) == deep
-            c, w, k = context[mine], word[mine].astype(np.int64), n[mine].astype(np.float64)
-            if not len(c):
-                continue
-            if deep:
-                # A context's own count is that of its second word after its first.
-                first, second = c // size - 1, c % size
-                total = np.array([deep_keys.get((a, b), 0) for a, b in zip(first.tolist(), second.tolist(), strict=True)], np.float64)
-                parent = 10 ** tree.lookup(c % size, w)[0]
-            else:
-                total = counts[c].astype(np.float64)
-                parent = root[w]
-                deep_keys = dict(zip(zip(c.tolist(), w.tolist(), strict=True), k.tolist(), strict=True))
-            ok = total > 0
-            c, w, k, total, parent = c[ok], w[ok], k[ok], total[ok], parent[ok]
-            if not len(c):
-                continue
-            p = np.maximum(k - DISCOUNT, 1e-9) / np.maximum(total, k)
-            starts = np.concatenate([[0], np.nonzero(np.diff(c))[0] + 1])
-            sum_of = lambda x: np.add.reduceat(x, starts)  # noqa: E731,B023
-            mass, suffix = sum_of(p), np.minimum(sum_of(parent), 1 - 1e-9)
-            rest = np.maximum(1 - mass, 1e-9) / (1 - suffix)
-            others = np.maximum(total[starts] - sum_of(k), 0)
-            better = sum_of(k * np.log(p / parent)) + others * np.log(rest)
-            keep = better >= gain
-            state = c[starts][keep]
-            of = np.repeat(keep, np.diff(np.concatenate([starts, [len(c)]])))
-            tree = cls(size, tree.root, np.concatenate([tree.states, state]), np.concatenate([tree.left, np.log10(rest[keep])]), np.concatenate([tree.entries, c[of] * size + w[of]]), np.concatenate([tree.values, np.log10(p[of])]))
-        return tree
-
-    @staticmethod
-    def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return i, keys[i] == wanted
-
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability after a context of one word, without the root's for words under 0; and whether the root's was used."""
-        state, known = self._at(self.states, context)
-        out = np.where(known, self.left[state] if len(self.left) else 0.0, 0.0)
-        entry, explicit = self._at(self.entries, np.where(word >= 0, context * self.size + word, -1))
-        explicit &= known
-        root = np.where(word >= 0, self.root[np.maximum(word, 0)] if len(self.root) else 0.0, 0.0)
-        return np.where(explicit, self.values[entry] if len(self.values) else 0.0, out + root), known
-
-    def score(self, flat: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
-        """log10 probability of each token, without the root's for words outside the head."""
-        one, two = before(flat, starts, end)
-        shallow, _ = self.lookup(np.where(one >= 0, one, -2), flat)
-        deep = np.where((one >= 0) & (two >= 0), (two + 1) * self.size + one, -2)
-        state, known = self._at(self.states, deep)
-        if known.any():
-            entry, explicit = self._at(self.entries, np.where((flat >= 0) & known, deep * self.size + flat, -1))
-            shallow = np.where(known, np.where(explicit & known, self.values[entry], self.left[state] + shallow), shallow)
-        return shallow
-
-
 class Hashes(dict):
     """word -> its XXH64, as Spark's xxhash64 has it."""
 
@@ -236,158 +76,313 @@ class Hashes(dict):
         return found
 
 
-def runs(words: list[list[bytes]], hashes: Hashes) -> tuple[np.ndarray, ...]:
-    """(starts, w, u, u w, inner, t u, t u w) of the tokens w after t and u; the last two only where inner: not at a text's start."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    flat = np.fromiter((h for w in words for h in map(hashes.__getitem__, w)), np.uint64, int(lengths.sum()))
-    end = int(np.array([hashes[END]], np.uint64).view(np.int64)[0])
-    one, two = (x.view(np.uint64) for x in before(flat.view(np.int64), starts, end))
-    inner = np.ones(len(flat), bool)
-    inner[starts] = False
-    context = (two * STEP + one)[inner]
-    return starts, flat, one, one * STEP + flat, inner, context, context * STEP + flat[inner]
-
-
-def run_counts(docs: DataFrame, text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """(deep, run, context, rest, n) of all runs of two words and, deep, of three; rest is the last word's hash, or the last two words' run."""
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit values: marks of the rows whose first value is not zero, and their values by bytes of equal weight, without the high bytes that are zero throughout."""
+    some = columns[0] != 0
+    out = [np.packbits(some).tobytes()]
+    for x in columns:
+        raw = x[some].view(np.uint64)
+        n = -(-int(raw.max()).bit_length() // 8) if len(raw) else 0
+        out += [bytes([n]), np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()]
+    return b"".join(out)
+
+
+def unpacked(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    at = -(-n // 8)
+    some = np.unpackbits(np.frombuffer(data, np.uint8, at), count=n).view(bool)
+    rows, out = int(some.sum()), []
+    for kind in kinds:
+        wide, raw = data[at], np.zeros((rows, 8), np.uint8)
+        raw[:, :wide] = np.frombuffer(data, np.uint8, wide * rows, at + 1).reshape(wide, rows).T
+        out.append(np.zeros(n, kind))
+        out[-1][some] = raw.view(kind).ravel()
+        at += 1 + wide * rows
+    return out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, a place of each, which of them stands at each place)."""
+    order = np.argsort(keys)
+    lined = keys[order]
+    fresh = np.ones(len(keys), bool)
+    np.not_equal(lined[1:], lined[:-1], out=fresh[1:])
+    group = np.empty(len(keys), np.int64)
+    group[order] = np.cumsum(fresh) - 1
+    return lined[fresh], order[fresh], group
+
+
+def keep(folder: str, name: str, **arrays: np.ndarray) -> None:
+    """Writes arrays as a file that appears only when whole; one that stands already is as good."""
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    target, tmp = f"{root}/{name}", f"{root}/.{name}-{TaskContext.get().taskAttemptId()}.tmp"
+    with store.open_output_stream(tmp, compression="zstd") as out:
+        for key, x in arrays.items():
+            # Whole numbers are written as narrow as they are, and bytes of equal weight together.
+            narrow = x.astype(np.min_scalar_type(int(x.max(initial=0)))) if x.dtype.kind == "i" else np.ascontiguousarray(x)
+            out.write(f"{key} {x.dtype.str} {narrow.dtype.str} {len(x)}\n".encode())
+            out.write(np.ascontiguousarray(narrow.view(np.uint8).reshape(len(x), narrow.itemsize).T))
+    if store.get_file_info(target).type == fs.FileType.NotFound:
+        store.move(tmp, target)
+    else:
+        store.delete_file(tmp)
+
+
+def kept(folder: str, name: str) -> dict[str, np.ndarray]:
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{root}/{name}", compression="zstd") as source:
+        data = source.read()
+    out, at = {}, 0
+    while at < len(data):
+        end = data.index(b"\n", at)
+        key, kind, narrow, n = data[at:end].decode().split()
+        wide, n = np.dtype(narrow).itemsize, int(n)
+        raw = np.frombuffer(data, np.uint8, wide * n, end + 1).reshape(wide, n).T
+        out[key] = np.ascontiguousarray(raw).view(narrow).ravel().astype(kind, copy=False)
+        at = end + 1 + wide * n
+    return out
+
+
+class Chunk:
+    """Some texts in a row, each behind an end token: where a text starts nothing is predicted."""
+
+    def __init__(self, texts: dict[str, np.ndarray]):
+        self.words, lengths, self.ids = texts["words"], texts["lengths"], texts["ids"]
+        self.docs = len(lengths)
+        first = np.cumsum(lengths + 1) - lengths - 1
+        self.inside = np.ones(int(lengths.sum()) + self.docs, bool)
+        self.inside[first] = False
+        self.word = np.full(len(self.inside), int(np.flatnonzero(self.words == np.uint64(xxhash.xxh64_intdigest(END, 42)))[0]), np.int64)
+        self.word[self.inside] = texts["tokens"]
+        self.doc = np.repeat(np.arange(self.docs), lengths + 1)
+        self.train = texts["train"][self.doc]
+        self.lengths, self.held = lengths, ~texts["train"]
+        self.known: list[np.ndarray] = []
+
+    def runs(self, k: int) -> np.ndarray:
+        """The hash of the k + 1 words up to each place (of no use where a text starts within them)."""
+        while len(self.known) <= k:
+            self.known.append(before(self.known[-1]) * STEP + self.known[0] if self.known else self.words[self.word])
+        return self.known[k]
+
+    def open(self, counts: np.ndarray) -> np.ndarray:
+        """Places that have a kept context; counts: of the runs up to each place that are as long as the context."""
+        return np.flatnonzero(self.inside & (before(counts) >= LEAST))
+
+    def asked(self, counts: np.ndarray) -> np.ndarray:
+        """Places where a longer run may be kept."""
+        return np.flatnonzero(self.inside & (before(counts) >= LEAST) & (counts >= LEAST))
+
+    def sums(self, places: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc[places], values, self.docs)
+
+
+def before(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, x.dtype), x[:-1]])
+
+
+def asks(kind: int, chunk: int, buckets: int, keys: np.ndarray, *data: np.ndarray) -> Iterator[tuple]:
+    """A row a bucket: sorted keys fall into buckets by their high bits."""
+    cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        at = slice(cuts[b], cuts[b + 1])
+        mine = keys[at]
+        yield kind, b, chunk, len(mine), packed(np.diff(mine, prepend=np.uint64(0))), packed(*(x[at] for x in data))
+
+
+def answered(rows: pd.DataFrame, kind: int, *kinds: type) -> list[np.ndarray]:
+    """What was found for a chunk's sorted keys."""
+    mine = rows[rows["kind"] == kind].sort_values("bucket")
+    parts = [unpacked(d, n, *kinds) for d, n in zip(mine["data"], mine["n"], strict=True)]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in kinds]
+
+
+def answer(rows: pd.DataFrame, least: int, gain: float) -> pd.DataFrame:
+    """Sums over all chunks for a bucket's keys, sent back to each chunk that asked."""
+    kind = int(rows["kind"].iloc[0])
+    rows = rows.sort_values("chunk", kind="stable").reset_index(drop=True)
+    out = rows[["kind", "bucket", "chunk", "n"]].assign(data=b"", found=0, total=0)
+    if kind == NOTHING:
+        return out
+    sizes = rows["n"].tolist()
+    keys = np.concatenate([np.cumsum(unpacked(k, n, np.uint64)[0], dtype=np.uint64) for k, n in zip(rows["keys"], sizes, strict=True)])
+    order = np.argsort(keys, kind="stable")
+    fresh = np.concatenate([[True], np.diff(keys[order]) != 0])
+    starts, group = np.flatnonzero(fresh), np.empty(len(keys), np.int64)
+    group[order] = np.cumsum(fresh) - 1
+    if kind == RUN:
+        local = np.concatenate([unpacked(d, n, np.int64)[0] for d, n in zip(rows["data"], sizes, strict=True)])
+        count = np.add.reduceat(local[order], starts)
+        # Rows go by chunk and the sort is stable: the first of a key's chunks owns it.
+        owner = np.zeros(len(keys), np.int64)
+        owner[order[starts]] = 1
+        count = np.where(count >= least, count, 0)
+        values = 2 * count[group]
+        values += owner * (values > 0)
+        out.loc[0, ["found", "total"]] = int((count > 0).sum()), int(count.sum())
+    else:
+        kinds, whole, seen, own = (np.concatenate(x) for x in zip(*(unpacked(d, n, np.int64, np.int64, np.int64, np.float64) for d, n in zip(rows["data"], sizes, strict=True)), strict=True))
+        # Only chunks that own a run of a context tell how often it stands in the corpus.
+        whole = np.maximum(np.maximum.reduceat(whole[order], starts), 1)
+        seen, kinds, own = (np.add.reduceat(x[order], starts) for x in (seen, kinds, own))
+        left = np.maximum(1 - (seen - DISCOUNT * kinds) / whole, 1e-9)
+        better = own + (whole - seen) * np.log(left)
+        values = np.where((kinds > 0) & (better >= gain), left, 0.0).astype(np.float32).astype(np.float64)[group]
+    cuts = np.cumsum([0, *sizes])
+    out["data"] = [packed(values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
+def chunks(docs: DataFrame, folder: str, id_col: str, text_col: str, train: F.Column) -> DataFrame:
+    """(chunk, tokens): all texts, written to files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
-
-        def batch() -> pa.RecordBatch:
-            deep, key, context, rest = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            longs = [pa.array(x[first].view(np.int64)) for x in (key, context, rest)]
-            return pa.RecordBatch.from_arrays([pa.array(deep[first]), *longs, pa.array(n)], ["deep", "run", "context", "rest", "n"])
-
-        for _, texts in slices(batches, "text"):
-            _, w, u, uw, inner, tu, tuw = runs([tokens(t) for t in texts], hashes)
-            held += [(np.zeros(len(w), bool), uw, u, w), (np.ones(len(tu), bool), tuw, tu, uw[inner])]
-            size += len(w) + len(tu)
-            if size >= RUNS:
-                yield batch()
-                size = 0
-        if held:
-            yield batch()
-
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "deep boolean, run bigint, context bigint, rest bigint, n bigint")
-    return found.groupBy("deep", "run", "context", "rest").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-
-
-def _states(rows: DataFrame, gain: float) -> tuple[DataFrame, DataFrame]:
-    """(states, next words) of rows (run, context, n, total, parent: log10 of the suffix's probability): (context, left) and (run, parent, p, left)."""
-    rows = rows.withColumn("p", F.greatest(F.col("n") - DISCOUNT, F.lit(1e-9)) / F.greatest("total", "n"))
-    sums = rows.groupBy("context").agg(
-        F.sum("p").alias("mass"),
-        F.least(F.sum(F.pow(F.lit(10.0), "parent")), F.lit(1 - 1e-9)).alias("suffix"),
-        F.sum(F.col("n") * (F.log("p") - F.col("parent") * F.lit(float(np.log(10))))).alias("own"),
-        F.greatest(F.max("total") - F.sum("n"), F.lit(0)).alias("others"),
-    )
-    sums = sums.withColumn("rest", F.greatest(1 - F.col("mass"), F.lit(1e-9)) / (1 - F.col("suffix")))
-    states = sums.where(F.col("own") + F.col("others") * F.log("rest") >= gain).select("context", F.log10("rest").alias("left"))
-    return states, rows.join(states, "context", "left").select("run", "n", "parent", F.log10("p").alias("p"), "left")
-
-
-def weights(docs: DataFrame, counts: DataFrame, whole: float, text_col: str = "text", gain: float = GAIN) -> DataFrame:
-    """(run, weight): what each run of one to three words adds to a text's log10 probability besides its words' root probabilities."""
-    found = materialize(run_counts(docs, text_col), "op9-runs")
-    words = materialize(counts.select(F.xxhash64("word").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")), "op9-hashed")
-    root = words.select(F.col("word").alias("rest"), F.log10((F.col("n") + 0.5) / F.lit(whole)).alias("parent"))
-    of = words.select(F.col("word").alias("context"), F.col("n").alias("total"))
-    one = found.where("not deep").select("run", "context", "rest", "n").join(root, "rest").join(of, "context")
-    states, pairs = _states(materialize(one.select("run", "context", "n", "total", "parent"), "op9-pairs"), gain)
-    states, pairs = materialize(states, "op9-states"), materialize(pairs, "op9-next")
-    more = F.col("p") - F.col("left") - F.col("parent")
-    after = pairs.select(F.col("run").alias("rest"), F.coalesce(F.when(F.col("left").isNotNull(), F.col("p")), "parent").alias("parent"))
-    of = pairs.select(F.col("run").alias("context"), F.col("n").alias("total"))
-    two = found.where("deep").select("run", "context", "rest", "n").join(after, "rest").join(of, "context")
-    deep, triples = _states(materialize(two.select("run", "context", "n", "total", "parent"), "op9-triples"), gain)
-    parts = [states.select(F.col("context").alias("run"), F.col("left").alias("weight")), deep.select("context", "left"), *(x.where("left is not null").select("run", more) for x in (pairs, triples))]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("run").agg(F.sum("weight").alias("weight"))
-
-
-def heads(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Head, int, int]:
-    """(word counts, head, all tokens, distinct tokens) of the training rows."""
-    counts = materialize(word_counts(docs, text_col), "op9-words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # At most 1 / HEAD rows: each holds that share of all tokens.
-    top = counts.where(F.col("n") >= HEAD * total).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    n = top["n"].to_numpy(np.int64)
-    return counts, Head([bytes(w) for w in top["word"]], n, total, int((n >= CONTEXT * total).sum()), int((n >= DEEP * total).sum())), total, distinct
-
-
-def grow(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Head, Tree, int, int]:
-    """(word counts, head, tree of the head, all tokens, distinct tokens) of the training rows."""
-    counts, head, total, distinct = heads(docs, text_col)
-    root = (head.counts + 0.5) / (total + 0.5 * (distinct + 1))
-    if not len(head.words):
-        none = np.zeros(0, np.int64)
-        return counts, head, Tree.build(head, root, (none, none, none)), total, distinct
-    # Again at most 1 / HEAD rows for each length of context.
-    often = follower_counts(docs, head, text_col).where(F.col("n") >= max(2.0, HEAD * total)).toPandas()
-    return counts, head, Tree.build(head, root, tuple(often[c].to_numpy(np.int64) for c in ("context", "word", "n"))), total, distinct
-
-
-def text_runs(rows: DataFrame) -> DataFrame:
-    """(key, run, times) of the rows (key, text): each text's distinct runs of one to three words."""
+        hashes, number = Hashes(), TaskContext.get().partitionId() << 32
+        ids, train, lengths, flat, size = [], [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            table = pa.table({"id": pa.chunked_array(ids)})
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            words, _, place = distinct(np.concatenate(flat))
+            # Frequent words get small numbers.
+            order = np.argsort(-np.bincount(place), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            keep(folder, f"{number}.texts", words=words[order], tokens=rank[place], lengths=np.concatenate(lengths), train=np.concatenate(train), ids=np.frombuffer(sink.getvalue(), np.uint8))
+            for x in (ids, train, lengths, flat):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size])], ["chunk", "tokens"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for part, texts in slices(batches, "text", 1 << 20):
-            starts, w, _, uw, inner, _, tuw = runs([tokens(t) for t in texts], hashes)
-            text = np.repeat(np.arange(len(texts)), np.diff([*starts, len(w)]))
-            key, of = np.concatenate([w, uw, tuw]), np.concatenate([text, text, text[inner]])
-            order = np.lexsort((key, of))
-            key, of = key[order], of[order]
-            first = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))[0]
-            times = np.diff([*first, len(key)])
-            yield pa.RecordBatch.from_arrays([column(part, "key").take(pa.array(of[first])), pa.array(key[first].view(np.int64)), pa.array(times.astype(np.int32))], ["key", "run", "times"])
-
-    return rows.select("key", "text").mapInArrow(run, "key bigint, run bigint, times int")
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
+            words = [tokens(t) for t in texts]
+            lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
+            flat.append(np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(lengths[-1].sum())))
+            ids.append(column(part, "id"))
+            train.append(column(part, "train").to_numpy(zero_copy_only=False))
+            size += len(flat[-1])
+            if size >= CHUNK:
+                yield flush()
+                number, size = number + 1, 0
+        if flat:
+            yield flush()
+
+    source = docs.select(F.col(id_col).alias("id"), train.alias("train"), F.col(text_col).alias("text"))
+    return written(source.mapInArrow(run, "chunk bigint, tokens bigint"), "op9-chunks")
+
+
+def first_asks(folder: str, chunk: int, buckets: int) -> list[tuple]:
+    texts = kept(folder, f"{chunk}.texts")
+    here = np.bincount(texts["tokens"], np.repeat(texts["train"], texts["lengths"]), len(texts["words"]))
+    order = np.argsort(texts["words"])
+    return [*asks(RUN, chunk, buckets, texts["words"][order], here[order].astype(np.int64))]
+
+
+def advanced(folder: str, chunk: int, k: int, depth: int, buckets: int, whole: float, found: pd.DataFrame) -> tuple[list[tuple], tuple]:
+    """(asks, results): takes in the counts of runs of k + 1 words and the states of k - 1 words.
+
+    Results, once k is beyond the depth: ids, held-out marks, tokens, known tokens, base scores and scores of the chunk's documents.
+    """
+    c = Chunk(kept(folder, f"{chunk}.texts"))
+    if k == 0:
+        root = np.empty(len(c.words), np.int64)
+        root[np.argsort(c.words)] = answered(found, RUN, np.int64)[0] >> 1
+        count = root[c.word]
+        log = np.where(c.inside, np.log10((count + 0.5) / whole), 0.0)
+        base, known = (np.bincount(c.doc, x, c.docs) for x in (log, c.inside & (count > 0)))
+        live = c.open(count)
+        score = base - c.sums(live, log[live])
+        state = {"root": root}
+    else:
+        # Of runs up to each place `last` counts those of k words, `older` those of k - 1; chances are by contexts of k - 2.
+        state = kept(folder, f"{chunk}.{k - 1}")
+        base, known, score = (state[x] for x in ("base", "known", "score"))
+        last, older = (state[x] if x in state else state["root"][c.word] for x in ("last", "older"))
+        chance = np.zeros(len(c.inside), np.float32)
+        if k == 1:
+            live = c.open(last)
+            chance[live] = (last[live] + 0.5) / whole
+        else:
+            was = c.open(older)
+            chance[was] = state["chance"] if k > 2 else (older[was] + 0.5) / whole
+            group = distinct(c.runs(k - 2)[was - 1])[2]
+            left = answered(found, CONTEXT, np.float64)[0][group]
+            own = np.where(last[was] >= LEAST, last[was] - DISCOUNT, 0.0) / older[was - 1]
+            chance[was] = np.where(left > 0, own + left * chance[was], chance[was])
+            live = c.open(last) if k <= depth else was[:0]
+            over = np.zeros(len(c.inside), bool)
+            over[was] = True
+            over[live] = False
+            done = np.flatnonzero(over)
+            score = score + c.sums(done, np.log10(chance[done].astype(np.float64)))
+        if k > depth:
+            return [], (c.ids, c.held, c.lengths, known.astype(np.int64), base, score)
+        places = c.asked(last)
+        _, first, group = distinct(c.runs(k)[places])
+        answers = answered(found, RUN, np.int64)[0]
+        count = np.zeros_like(last)
+        count[places] = (answers >> 1)[group]
+        mine = places[first[(answers > 1) & (answers & 1 > 0)]]
+        state = {"last": count} | ({"root": state["root"]} if k == 1 else {"older": last, "chance": chance[live]})
+    keep(folder, f"{chunk}.{k}", base=base, known=known, score=score, **state)
+    out = [(NOTHING, chunk % buckets, chunk, 0, b"", b"")]
+    if k:
+        keys, first, group = distinct(c.runs(k - 1)[live - 1])
+        at = np.empty(len(c.inside), np.int64)
+        at[live] = group
+        of = at[mine]
+        gains = count[mine] * np.log((count[mine] - DISCOUNT) / last[mine - 1] / chance[mine].astype(np.float64))
+        kinds, seen, gained = (np.bincount(of, x, len(keys)) for x in (np.ones(len(mine)), count[mine], gains))
+        out += asks(CONTEXT, chunk, buckets, keys, kinds.astype(np.int64), last[live - 1][first].astype(np.int64), seen.astype(np.int64), gained.astype(np.float32).astype(np.float64))
+    if k < depth:
+        places = c.asked(count)
+        keys, _, group = distinct(c.runs(k + 1)[places])
+        out += asks(RUN, chunk, buckets, keys, np.bincount(group, c.train[places], len(keys)).astype(np.int64))
+    return out, ()
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, depth: int = DEPTH, gain: float = GAIN) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): learned from the rows outside fold `held`."""
-    in_fold = F.coalesce(hashed_fold(id_col, folds) == held, F.lit(False))
-    counts, head, total, distinct = heads(docs.where(~in_fold), text_col)
-    whole = total + 0.5 * (distinct + 1)
-    added = materialize(weights(docs.where(~in_fold), counts, whole, text_col), "op9-weights")
-    shared = docs.sparkSession.sparkContext.broadcast((head, np.log10((head.counts + 0.5) / whole)))
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind, text_kind = (source.schema[c].dataType.simpleString() for c in ("id", "text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, root = shared.value
-        numbers, at = h.numbers(), TaskContext.get().partitionId() << 33
-        for part, texts in slices(batches, "text", 1 << 20):
-            words = [tokens(x) for x in texts]
-            flat, starts = coded(words, numbers)
-            known = np.add.reduceat((flat >= 0).astype(np.int64), starts)
-            base = np.add.reduceat(np.where(flat >= 0, root[np.maximum(flat, 0)] if len(root) else 0.0, 0.0), starts)
-            rest, ends = [], np.concatenate([starts[1:], [len(flat)]])
-            for w, a, b in zip(words, starts, ends, strict=True):
-                rest.append([w[i] for i in np.nonzero(flat[a:b] < 0)[0]])
-            keys = pa.array(np.arange(at, at + len(texts)))
-            at += len(texts)
-            yield pa.RecordBatch.from_arrays([keys, column(part, "id"), column(part, "text"), pa.array(ends - starts), pa.array(known), pa.array(base), pa.array(rest, pa.list_(pa.binary()))], ["key", "id", "text", "n_tokens", "known", "base", "rest"])
-
-    rows = materialize(source.mapInArrow(run, f"key bigint, id {kind}, text {text_kind}, n_tokens bigint, known bigint, base double, rest array<binary>"), "op9-rows")
-    rare = counts.where(F.col("n") < HEAD * total)
-    rest = rows.select("key", F.explode("rest").alias("word")).join(rare, "word", "left")
-    rest = rest.groupBy("key").agg(F.count("n").alias("more_known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(whole))).alias("more"))
-    context = text_runs(rows).join(added, "run").groupBy("key").agg(F.sum(F.col("times") * F.col("weight")).alias("context"))
-    base = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return rows.drop("rest", "text").join(rest, "key", "left").join(context, "key", "left").select(
-        F.col("id").alias(id_col),
-        F.coalesce(hashed_fold("id", folds) == held, F.lit(False)).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.coalesce("context", F.lit(0.0))).alias("score"),
-    )
+    spark = docs.sparkSession
+    folder, kind = fresh_path(spark, "op9-texts"), docs.schema[id_col].dataType.simpleString()
+    listed = chunks(docs, folder, id_col, text_col, F.coalesce(hashed_fold(id_col, folds) != held, F.lit(True)))
+    pieces, size = listed.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    buckets, whole, total = max(1, -(-size // BUCKET)), 1.0, 0
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for chunk in batch["chunk"].tolist():
+                yield pd.DataFrame(first_asks(folder, chunk, buckets), columns=[x.split()[0] for x in ASK.split(", ")])
+
+    def exchanged(asked: DataFrame, least: int, at: str) -> DataFrame:
+        gathered = asked.repartition(buckets, "bucket").groupBy("kind", "bucket")
+        return written(gathered.applyInPandas(lambda rows: answer(rows, least, gain), ANSWER), "op9-answers", f"{folder}-answers-{at}")
+
+    def turn(k: int, whole: float):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            out, _ = advanced(folder, int(rows["chunk"].iloc[0]), k, depth, buckets, whole, rows)
+            return pd.DataFrame(out, columns=[x.split()[0] for x in ASK.split(", ")])
+
+        return run
+
+    def last(asked: pa.Table) -> pa.Table:
+        rows = asked.to_pandas()
+        _, (ids, *values) = advanced(folder, int(rows["chunk"].iloc[0]), depth + 1, depth, buckets, whole, rows)
+        with pa.ipc.open_stream(ids.tobytes()) as reader:
+            names = reader.read_all().column("id").combine_chunks()
+        return pa.table([names, *map(pa.array, values)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    answers = exchanged(listed.repartition(max(1, pieces), "chunk").mapInPandas(start, ASK), 1, "words")
+    found, total = answers.agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    whole, old = total + 0.5 * (found + 1), f"{folder}-answers-words"
+    for k in range(depth + 1):
+        answers = exchanged(answers.repartition(max(1, pieces), "chunk").groupBy("chunk").applyInPandas(turn(k, whole), ASK), LEAST, str(k))
+        removed(spark, old, f"{folder}/*.{k - 1}")
+        old = f"{folder}-answers-{k}"
+    out = written(answers.repartition(max(1, pieces), "chunk").groupBy("chunk").applyInArrow(last, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"), "op9-scores")
+    removed(spark, old, folder)
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
