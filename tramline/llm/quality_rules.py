@@ -7,10 +7,12 @@ Mahalanobis distances) describes what is usual there; a text whose distance to i
 is beyond `cut` is rejected, as are texts that fail the base rules.
 
 Every estimate is a grouped aggregate that Spark combines before it shuffles, so
-a source with a third of all rows costs no more than others; medians and the
-share of rows to concentrate on come from mergeable quantile sketches over all
-rows. Groups of fewer than `min_rows` rows are judged by the estimate of their
-language, and languages of fewer by that of all rows.
+a source with a third of all rows costs no more than others. Medians and the share
+of rows to concentrate on are exact quantiles of values on a grid, held as counts by
+value: the grid bounds their number whatever the rows, and no order of rows changes
+them. Steps go on until no estimate moves. Groups of fewer than `min_rows` rows are
+judged by the estimate of their language, and languages of fewer by that of all
+rows; the three levels are estimated side by side.
 
 Nulls: a null text has no words and fails the base rules; null languages and
 sources form groups of their own. Empty texts: likewise no words. Repeated rows
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +43,8 @@ FEATURES: dict[str, tuple[Callable[[], Column], float]] = {
 }
 # The median of the chi-squared distribution with as many degrees of freedom as there are features (5), and its 1 - 1e-7 quantile.
 CHI2_MEDIAN, CHI2_CUT = 4.35146, 40.8631
-STEPS, KEEP_SHARE, MIN_ROWS, ACCURACY = 3, 0.75, 40, 2_000
+#: Most concentration steps (they end by themselves before), share of rows to concentrate on, rows of a group judged by itself, and steps of the grid in a unit.
+STEPS, KEEP_SHARE, MIN_ROWS, GRID = 30, 0.75, 40, 1_024
 
 
 def _repeat_words(words: Column) -> Column:
@@ -107,22 +110,31 @@ def _cholesky(params: DataFrame, names: list[str], floors: list[float]) -> DataF
     return params
 
 
+def _on_grid(x: Column) -> Column:
+    return F.round(x * GRID).cast("bigint")
+
+
 def _estimates(rows: DataFrame, by: list[str], names: list[str], floors: list[float], steps: int, keep_share: float) -> DataFrame:
     """(by, m_i, l_i_j, scale, group_rows) of each group."""
-    at = f"op7-{len(by)}-{'-'.join(by).strip('_')}"
-    middle = lambda c, q=0.5: F.percentile_approx(c, F.lit(q), F.lit(ACCURACY))
-    start = rows.groupBy(*by).agg(F.count("*").alias("rows"), *(middle(n).alias(f"m_{i}") for i, n in enumerate(names)), *(((middle(n, 0.75) - middle(n, 0.25)) / 1.349).alias(f"s_{i}") for i, n in enumerate(names)))
-    start = start.select("*", *((F.col(f"s_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))))
-    params = materialize(_cholesky(start, names, floors), f"{at}-start")
-    for step in range(steps):
-        near = _distance(_joined(rows, params, by), names).select(*by, *names, "d2")
-        cuts = near.groupBy(*by).agg(middle("d2", keep_share).alias("cut"))
-        kept = _joined(near, cuts, by).where("d2 <= cut")
-        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-        moments = kept.groupBy(*by).agg(F.count("*").alias("rows"), *(F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i, j in pairs))
-        params = materialize(_cholesky(moments, names, floors), f"{at}-step{step}")
-    scale = _distance(_joined(rows, params, by), names).groupBy(*by).agg((middle("d2") / F.lit(CHI2_MEDIAN)).alias("scale"), F.count("*").alias("group_rows"))
-    return materialize(_joined(params.drop("rows"), scale, by), f"{at}-scale")
+    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    start = rows.groupBy(*by).agg(*(F.percentile(_on_grid(F.col(n)), q).alias(f"q_{i}") for i, n in enumerate(names)))
+    start = start.select(*by, *((F.col(f"q_{i}")[1] / GRID).alias(f"m_{i}") for i in range(len(names))), *((((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / GRID / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    found = [f"m_{i}" for i in range(len(names))] + [f"c_{i}_{j}" for i, j in pairs]
+    params = materialize(_cholesky(start, names, floors), "op7-start")
+    near = lambda: _distance(_joined(rows, params, by), names).select(*by, *names, _on_grid(F.log1p("d2")).alias("far"))
+    for _ in range(steps):
+        cuts = near().groupBy(*by).agg(F.percentile("far", F.lit(keep_share)).alias("cut"))
+        kept = _joined(near(), cuts, by).where("far <= cut")
+        moments = kept.groupBy(*by).agg(*(F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i, j in pairs))
+        newer = materialize(_cholesky(moments, names, floors), "op7-step")
+        old = params.select(*by, F.struct(*found).alias("old"))
+        moved = reduce(or_, (F.abs(F.col(c) - F.col(f"old.{c}")) > 1e-9 for c in found))
+        params, going = newer, _joined(newer, old, by).where(moved).limit(1).count()
+        if not going:
+            break
+    scale = near().groupBy(*by).agg((F.expm1(F.percentile("far", F.lit(0.5)) / GRID) / F.lit(CHI2_MEDIAN)).alias("scale"), F.count("*").alias("group_rows"))
+    return materialize(_joined(params, scale, by), "op7-scale")
 
 
 def outliers(stats: DataFrame, group: tuple[str, ...] = ("lang", "source"), steps: int = STEPS, keep_share: float = KEEP_SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -132,15 +144,21 @@ def outliers(stats: DataFrame, group: tuple[str, ...] = ("lang", "source"), step
     """
     names, floors = list(FEATURES), [f for _, f in FEATURES.values()]
     plain = stats.columns
-    rows = stats.select("*", *(f().alias(n) for n, (f, _) in FEATURES.items()), F.lit(0).alias("_all"))
-    levels = [list(group[:k]) for k in range(len(group), 0, -1)] + [["_all"]]
+    rows = stats.select("*", *(f().alias(n) for n, (f, _) in FEATURES.items()))
+    kinds = {g: stats.schema[g].dataType for g in group}
+    keys = ["_level", *(f"_{g}" for g in group)]
+    at = lambda k: F.struct(F.lit(k).alias("_level"), *((F.col(g) if i < len(group) - k else F.lit(None).cast(kinds[g])).alias(f"_{g}") for i, g in enumerate(group)))
+    levels = [at(k) for k in range(len(group) + 1)]
+    every = rows.select(*names, F.explode(F.array(*levels)).alias("_at")).select("_at.*", *names)
+    params = _estimates(every, keys, names, floors, steps, keep_share)
     out = rows
-    for k, by in enumerate(levels):
-        params = _estimates(rows, by, names, floors, steps, keep_share)
+    for k in range(len(levels)):
+        mine = params.where(F.col("_level") == k)
         # A group more concentrated than a normal one is not stretched: small departures there stay small.
         distance = F.col("d2") / F.greatest(F.col("scale"), F.lit(1.0))
-        enough = F.lit(True) if by == ["_all"] else F.col("group_rows") >= min_rows
-        out = _distance(_joined(out, params, by), names).select(*out.columns, F.when(enough, distance).alias(f"distance_{k}"))
+        enough = F.lit(True) if k == len(group) else F.col("group_rows") >= min_rows
+        placed = _joined(out.select("*", levels[k].alias("_at")).select("*", "_at.*").drop("_at"), mine, keys)
+        out = _distance(placed, names).select(*out.columns, F.when(enough, distance).alias(f"distance_{k}"))
     return out.select(*plain, F.coalesce(*(f"distance_{k}" for k in range(len(levels)))).alias("distance"))
 
 
