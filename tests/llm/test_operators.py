@@ -179,13 +179,18 @@ def test_outlier_distances_match_numpy(spark):
         d = x - m
         return np.einsum("ij,jk,ik->i", d, np.linalg.inv(c + np.diag(floors**2)), d)
 
+    best = None
     for steps in range(quality_rules.STEPS):
-        far = np.rint(np.log1p(distances(middle, cov)) * quality_rules.GRID)
-        near = x[far <= np.quantile(far, quality_rules.KEEP_SHARE)]
-        old, middle, cov = middle, near.mean(axis=0), np.cov(near.T, bias=True)
-        if np.allclose(old, middle, rtol=0, atol=1e-12):
+        ring = np.floor(np.log1p(distances(middle, cov)) * quality_rules.RINGS)
+        near = x[ring <= np.sort(ring)[math.ceil(quality_rules.KEEP_SHARE * len(ring)) - 1]]
+        new = near.mean(axis=0), np.cov(near.T, bias=True)
+        spread = 0.5 * np.linalg.slogdet(new[1] + np.diag(floors**2))[1]
+        fall = math.inf if best is None else best - spread
+        if fall > 0:
+            (middle, cov), best = new, spread
+        if fall <= quality_rules.STILL:
             break
-    assert 1 < steps < quality_rules.STEPS - 1
+    assert 0 < steps < quality_rules.STEPS - 1
     d = distances(middle, cov)
     half = math.expm1(np.median(np.rint(np.log1p(d) * quality_rules.GRID)) / quality_rules.GRID)
     assert np.allclose(got["distance"], d / max(1.0, half / quality_rules.CHI2_MEDIAN), rtol=1e-6)

@@ -8,9 +8,10 @@ is beyond `cut` is rejected, as are texts that fail the base rules.
 
 Every estimate is a grouped aggregate that Spark combines before it shuffles, so
 a source with a third of all rows costs no more than others. Medians and the share
-of rows to concentrate on are exact quantiles of values on a grid, held as counts by
-value: the grid bounds their number whatever the rows, and no order of rows changes
-them. Steps go on until no estimate moves. Groups of fewer than `min_rows` rows are
+of rows to concentrate on are exact quantiles of values on a grid, held as counts and
+sums by value: the grid bounds their number whatever the rows, and no order of rows
+changes them. Steps go on until no group's determinant falls any more; a group keeps
+the estimate with its smallest. Groups of fewer than `min_rows` rows are
 judged by the estimate of their language, and languages of fewer by that of all
 rows; the three levels are estimated side by side.
 
@@ -26,10 +27,10 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.common import let, materialize
+from tramline.llm.common import fresh_path, let, materialize, removed
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -43,8 +44,12 @@ FEATURES: dict[str, tuple[Callable[[], Column], float]] = {
 }
 # The median of the chi-squared distribution with as many degrees of freedom as there are features (5), and its 1 - 1e-7 quantile.
 CHI2_MEDIAN, CHI2_CUT = 4.35146, 40.8631
-#: Most concentration steps (they end by themselves before), share of rows to concentrate on, rows of a group judged by itself, and steps of the grid in a unit.
-STEPS, KEEP_SHARE, MIN_ROWS, GRID = 30, 0.75, 40, 1_024
+#: Most concentration steps (they end by themselves before), share of rows to concentrate on, and rows of a group judged by itself.
+STEPS, KEEP_SHARE, MIN_ROWS = 40, 0.75, 40
+#: Steps of the grid in a unit: of statistics, and of the logarithm of distances.
+GRID, RINGS = 1_024, 64
+#: The fall of a determinant's logarithm under which an estimate stands.
+STILL = 1e-3
 
 
 def _repeat_words(words: Column) -> Column:
@@ -120,20 +125,35 @@ def _estimates(rows: DataFrame, by: list[str], names: list[str], floors: list[fl
     start = rows.groupBy(*by).agg(*(F.percentile(_on_grid(F.col(n)), q).alias(f"q_{i}") for i, n in enumerate(names)))
     start = start.select(*by, *((F.col(f"q_{i}")[1] / GRID).alias(f"m_{i}") for i in range(len(names))), *((((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / GRID / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))))
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    found = [f"m_{i}" for i in range(len(names))] + [f"c_{i}_{j}" for i, j in pairs]
-    params = materialize(_cholesky(start, names, floors), "op7-start")
-    near = lambda: _distance(_joined(rows, params, by), names).select(*by, *names, _on_grid(F.log1p("d2")).alias("far"))
-    for _ in range(steps):
-        cuts = near().groupBy(*by).agg(F.percentile("far", F.lit(keep_share)).alias("cut"))
-        kept = _joined(near(), cuts, by).where("far <= cut")
-        moments = kept.groupBy(*by).agg(*(F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i, j in pairs))
-        newer = materialize(_cholesky(moments, names, floors), "op7-step")
-        old = params.select(*by, F.struct(*found).alias("old"))
-        moved = reduce(or_, (F.abs(F.col(c) - F.col(f"old.{c}")) > 1e-9 for c in found))
-        params, going = newer, _joined(newer, old, by).where(moved).limit(1).count()
+    path = fresh_path(rows.sparkSession, "op7-estimates")
+    params, old = materialize(_cholesky(start, names, floors), "", f"{path}-start"), f"{path}-start"
+    upto = Window.partitionBy(*by).orderBy("ring")
+    for step in range(steps):
+        # Rows by rings around the centre: the inner ones, up to the share to concentrate on, give the next estimate.
+        far = _distance(_joined(rows, params, by), names).select(*by, *names, F.floor(F.log1p("d2") * RINGS).alias("ring"))
+        sums = [F.sum(n).alias(f"s_{i}") for i, n in enumerate(names)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p_{i}_{j}") for i, j in pairs]
+        rings = far.groupBy(*by, "ring").agg(F.count("*").alias("n"), *sums)
+        before = F.sum("n").over(upto) - F.col("n")
+        inner = rings.withColumns({"_before": before, "_all": F.sum("n").over(Window.partitionBy(*by))}).where(F.col("_before") < keep_share * F.col("_all"))
+        whole = inner.groupBy(*by).agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in (*(f"s_{i}" for i in range(len(names))), *(f"p_{i}_{j}" for i, j in pairs))))
+        mean = [(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(len(names))]
+        moments = whole.select(*by, *mean, *((F.col(f"p_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * F.col(f"s_{j}") / F.col("n")).alias(f"c_{i}_{j}") for i, j in pairs))
+        newer = _cholesky(moments, names, floors).withColumn("spread", sum((F.log(f"l_{i}_{i}") for i in range(1, len(names))), F.log("l_0_0")))
+        if step:
+            # Of a group whose spread does not fall the estimate stays.
+            held = [c for c in newer.columns if c not in by]
+            both = _joined(newer, params.select(*by, F.struct(*held).alias("old")), by)
+            best = F.when(F.col("spread") < F.col("old.spread"), F.struct(*held)).otherwise(F.col("old"))
+            newer = both.select(*by, best.alias("best"), F.coalesce(F.col("old.spread") - F.col("spread") > STILL, F.lit(False)).alias("falls")).select(*by, "best.*", "falls")
+        params = materialize(newer, "", f"{path}-{step}")
+        going = not step or params.where("falls").limit(1).count()
+        params = params.drop("falls")
+        removed(rows.sparkSession, old)
+        old = f"{path}-{step}"
         if not going:
             break
-    scale = near().groupBy(*by).agg((F.expm1(F.percentile("far", F.lit(0.5)) / GRID) / F.lit(CHI2_MEDIAN)).alias("scale"), F.count("*").alias("group_rows"))
+    far = _distance(_joined(rows, params, by), names).select(*by, _on_grid(F.log1p("d2")).alias("far"))
+    scale = far.groupBy(*by).agg((F.expm1(F.percentile("far", F.lit(0.5)) / GRID) / F.lit(CHI2_MEDIAN)).alias("scale"), F.count("*").alias("group_rows"))
     return materialize(_joined(params, scale, by), "op7-scale")
 
 
