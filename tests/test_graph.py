@@ -1,4 +1,7 @@
+import itertools
+import math
 import random
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,8 +68,8 @@ def test_wrong_way(spark):
 
 
 def test_turns():
-    assert not graph.turn_allowed("negative", [(1, 2)], (1, 2)) and graph.turn_allowed("negative", [(1, 2)], (1, 3))
-    assert graph.turn_allowed("positive", [(1, 2)], (1, 2)) and not graph.turn_allowed("positive", [(1, 2)], (1, 3)) and graph.turn_allowed("positive", [(1, 2)], (4, 3))
+    assert not routing.allowed("negative", [(1, 2)], (1, 2)) and routing.allowed("negative", [(1, 2)], (1, 3))
+    assert routing.allowed("positive", [(1, 2)], (1, 2)) and not routing.allowed("positive", [(1, 2)], (1, 3)) and routing.allowed("positive", [(1, 2)], (4, 3))
 
 
 def random_network(rng, n=14, modes=8):
@@ -99,12 +102,14 @@ def test_search_is_cheapest(seed):
     d = all_pairs(net, costs)
     ids = sorted(net.edges)
     start = ids[0]
-    best, _ = routing.search(costs, {start: 0}, set(), 10**9)
-    assert {j: best[j][0] for j in best} == {j: d[start, j] for j in ids if d[start, j] < float("inf")}
+    best = routing.search(costs, {start: 0}, set(), 10**9).cost
+    assert best == {j: d[start, j] for j in ids if d[start, j] < float("inf")}
     for target in ids[1:6]:
-        _, path = routing.search(costs, {start: 0}, {target}, 10**9, until=target)
-        assert (path is None) == (d[start, target] == float("inf"))
-        if path:
+        found = routing.search(costs, {start: 0}, {target}, 10**9)
+        assert (target not in found.cost) == (d[start, target] == float("inf"))
+        if target in found.cost:
+            path = found.path(target)
+            assert found.cost[target] == d[start, target]
             assert sum(costs.edge(a) + costs.turn(a, b) for a, b in zip(path, path[1:], strict=False)) >= d[start, target]
             assert path[0] == start and path[-1] == target
 
@@ -179,10 +184,66 @@ def test_route_fallbacks():
 
 def test_same_edge_only_forwards():
     net = line_network(2)
-    r, costs = Router(net, Options()), routing.Costs(line_network(2), "", Options())
+    r = Router(net, Options())
     a, b = [Candidate(0, 0.0, 0.2)], [Candidate(0, 0.0, 0.7)]
-    assert r.reachable(costs, a, b, [0.0], 5000, {}) == [(0, 0, 200)]
-    assert r.reachable(costs, b, a, [0.0], 5000, {}) == []
+    assert r.matrix("", a, b, 5000) == {(0, 0): 200} and r.matrix("", b, a, 5000) == {}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_routes_are_cheapest(seed):
+    """Against every choice of candidates, over costs between all pairs of edges; two components, so that some hops have no way."""
+    rng = random.Random(100 + seed)
+    net = random_network(rng)
+    far = {n + 50: (x + 0.01, y) for n, (x, y) in net.places.items()}
+    other = random_network(rng)
+    shifted = {i + 500: Edge(e.src + 50, e.dst + 50, e.cost, [far[e.src + 50], far[e.dst + 50]], modes=8) for i, e in other.edges.items()}
+    net = Network(net.edges | shifted, net.places | far, dict.fromkeys(net.places, 1) | dict.fromkeys(far, 2))
+    options = Options()
+    costs, ids = routing.Costs(net, "", options), sorted(net.edges)
+    d = all_pairs(net, costs)
+    stops = [(rng.random() * 0.05, rng.random() * 0.05) for _ in range(4)]
+    # No edge serves two stops: an end on a start's own edge is reached from there alone.
+    some = rng.sample(ids, 20)
+    groups = [[Candidate(None, point=s), *(Candidate(e, rng.random(), rng.random()) for e in some[5 * i : 5 * i + 5])] for i, s in enumerate(stops)]
+    times = [5000.0 * i for i in range(len(stops))]
+    hops, cost = Router(net, options).route("", stops, groups, times, times)
+
+    def step(a, b):
+        if a.edge is None or b.edge is None:
+            return math.inf
+        off, on = int(costs.edge(a.edge) * a.progr), int(costs.edge(b.edge) * b.progr)
+        if a.edge == b.edge:
+            return on - off if a.progr <= b.progr else math.inf
+        return max(0, d[a.edge, b.edge] - off) + on
+
+    best = math.inf
+    for choice in itertools.product(*groups):
+        price = sum(c.pen for c in choice) + sum(c.pen for c in choice[1:-1]) + sum(options.transition * step(a, b) / 10 for a, b in pairwise(choice))
+        best = min(best, price)
+    # Starts are ranked in whole tenths of a second.
+    assert best < math.inf and cost == pytest.approx(best, abs=len(hops) * 0.001) and len(hops) == 3
+    for hop in hops:
+        assert hop["edges"][0] == hop["start_edge"] and hop["edges"][-1] == hop["end_edge"]
+        assert all(net.edges[a].dst == net.edges[b].src for a, b in pairwise(hop["edges"]))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_collapse_is_an_ascending_pass(seed):
+    """Against nodes taken out one by one, smallest first, wherever that puts no two edges between the same nodes."""
+    rng = random.Random(seed)
+    pairs = sorted({tuple(rng.sample(range(8), 2)) for _ in range(rng.randrange(2, 12))})
+    rows = [{"src": a, "dst": b, "edge_id": 100 * a + b, "geometry": [(a, 0), (100 * a + b, 1), (b, 0)], "cost": rng.randrange(1, 50), "osmid": 7, "oneway": 0, "is_reverse": False} for a, b in pairs]
+    links = [(frozenset(p), r["cost"]) for p, r in zip(pairs, rows, strict=True)]
+    plain = {n for n in range(8) if sum(n in p for p, _ in links) == 2 and len({*(m for p, _ in links if n in p for m in p)}) == 3}
+    for n in sorted(plain):
+        mine = [x for x in links if n in x[0]]
+        ends = frozenset(m for p, _ in mine for m in p if m != n)
+        if len(ends) == 2 and not any(p == ends for p, _ in links):
+            links = [x for x in links if n not in x[0]] + [(ends, sum(c for _, c in mine))]
+    found = graph.collapse(rows, plain)
+    assert sorted((sorted(p), c) for p, c in links) == sorted((sorted({e["src"], e["dst"]}), e["cost"]) for e in found)
+    for e in found:
+        assert e["geometry"][0] == (e["src"], 0) and e["geometry"][-1] == (e["dst"], 0) and len(set(e["geometry"])) == len(e["geometry"]) >= 3
 
 
 def test_costs():

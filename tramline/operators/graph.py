@@ -181,45 +181,79 @@ def joints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.join(flagged, "node", "left_anti").select("node", F.col("a.edge_id").alias("a"), F.col("b.edge_id").alias("b"))
 
 
+def walk(edges: list[dict], met: dict[int, list[int]], joint: set[int], first: int) -> tuple[list[int], list[int]]:
+    """(nodes, edges) of the chain through an edge, from one end that is no joint to the other; round a ring, from its smallest node."""
+    nodes, chain = [edges[first]["src"], edges[first]["dst"]], [first]
+    for _ in range(2):
+        while nodes[-1] in joint and nodes[-1] != nodes[0]:
+            i, j = met[nodes[-1]]
+            chain.append(j if chain[-1] == i else i)
+            e = edges[chain[-1]]
+            nodes.append(e["dst"] if e["src"] == nodes[-1] else e["src"])
+        nodes.reverse()
+        chain.reverse()
+    if nodes[0] == nodes[-1] and (others := [n for n in nodes[1:] if n not in joint] or [min(nodes)]) and others[0] != nodes[0]:
+        k = nodes.index(others[0])
+        nodes, chain = nodes[k:] + nodes[1 : k + 1], chain[k:] + chain[:k]
+    return nodes, chain
+
+
+def joined(run: list[dict], nodes: list[int]) -> dict:
+    """One edge for a run of edges between neighbouring nodes.
+
+    One-way runs keep their direction, others start at the smaller of their end edges, which lends what is not summed up.
+    """
+    if run[-1]["oneway"] and run[0]["src"] != nodes[0] or not run[0]["oneway"] and [run[-1][k] for k in ("src", "dst", "edge_id")] < [run[0][k] for k in ("src", "dst", "edge_id")]:
+        run, nodes = run[::-1], nodes[::-1]
+    points: list = []
+    for e, start in zip(run, nodes, strict=False):
+        line = e["geometry"] if e["src"] == start else e["geometry"][::-1]
+        points += line[1:] if points and points[-1] == line[0] else line
+    ways = {e["osmid"] for e in run}
+    return run[0] | {"src": nodes[0], "dst": nodes[-1], "geometry": points, "cost": min(sum(e["cost"] for e in run), tags.INFINITE), "osmid": ways.pop() if len(ways) == 1 else 0, "is_reverse": False}
+
+
 def collapse(edges: list[dict], plain: set[int]) -> list[dict]:
-    """Joins edges at plain nodes, in one pass over them in ascending order.
+    """Joins edges at plain nodes, chain by chain, so that no two edges come to stand between the same nodes.
 
-    A node stays if its neighbours are joined already. Joined edges can be joined again at later nodes. Costs add up; osmid
-    stays where both agree and is 0 otherwise.
+    A chain between two nodes becomes one edge; if an edge stands between them, the chain's largest inner node stays. Of chains
+    between the same nodes the one with the smallest such node is first. A ring that hangs on a node keeps its two largest
+    nodes besides, and a ring of its own the three largest. Costs add up; osmid stays where all agree and is 0 otherwise.
     """
-    live, at = dict(enumerate(edges)), {}
-    for i, e in live.items():
-        for node in (e["src"], e["dst"]):
-            at.setdefault(node, {})[i] = None
-    fresh = len(live)
-    for node in sorted(plain & at.keys()):
-        here = list(at[node])
-        if len(here) != 2:
+    met: dict[int, list[int]] = {}
+    for i, e in enumerate(edges):
+        for node in {e["src"], e["dst"]}:
+            met.setdefault(node, []).append(i)
+    joint = {n for n in plain & met.keys() if len(met[n]) == 2}
+    seen, chains, pairs, out = set(), [], set(), []
+    for i, e in enumerate(edges):
+        if i in seen:
             continue
-        a, b = (live[i] for i in here)
-        ends = [e["dst"] if e["src"] == node else e["src"] for e in (a, b)]
-        if ends[0] == ends[1] or any({live[i]["src"], live[i]["dst"]} == set(ends) for i in at[ends[0]]):
+        if not joint & {e["src"], e["dst"]}:
+            pairs.add(frozenset((e["src"], e["dst"])))
+            out.append(e)
             continue
-        if a["oneway"] != 0 and a["dst"] != node:
-            a, b, ends = b, a, ends[::-1]
-        left = a["geometry"] if a["dst"] == node else a["geometry"][::-1]
-        right = b["geometry"] if b["src"] == node else b["geometry"][::-1]
-        live[fresh] = a | {
-            "src": ends[0],
-            "dst": ends[1],
-            "geometry": left + (right[1:] if left[-1] == right[0] else right),
-            "cost": min(a["cost"] + b["cost"], tags.INFINITE),
-            "osmid": a["osmid"] if a["osmid"] == b["osmid"] else 0,
-            "is_reverse": False,
-        }
-        for i in here:
-            for end in (live[i]["src"], live[i]["dst"]):
-                at[end].pop(i, None)
-            del live[i]
-        for end in ends:
-            at[end][fresh] = None
-        fresh += 1
-    return list(live.values())
+        nodes, chain = walk(edges, met, joint, i)
+        seen.update(chain)
+        chains.append((max(nodes[1:-1], default=0), nodes, chain))
+    for largest, nodes, chain in sorted(chains):
+        ends, inner = frozenset((nodes[0], nodes[-1])), sorted(nodes[1:-1])
+        if len(ends) == 2:
+            stay = {largest} if ends in pairs else set()
+            pairs.add(ends)
+        else:
+            # Round its ends a ring already has neighbours joined: the last nodes of an ascending pass stay.
+            stay = set(sorted({*inner, nodes[0]})[-3:]) if nodes[0] in joint else set(inner[-2:])
+        cuts = [0, *(k for k in range(1, len(nodes) - 1) if nodes[k] in stay), len(nodes) - 1]
+        if nodes[0] == nodes[-1] and nodes[0] in joint and nodes[0] not in stay:
+            # A ring of its own is cut at a node that stays.
+            k = cuts[1]
+            nodes, chain = nodes[k:] + nodes[1 : k + 1], chain[k:] + chain[:k]
+            cuts = [0, *(k for k in range(1, len(nodes) - 1) if nodes[k] in stay), len(nodes) - 1]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            run = [edges[k] for k in chain[a:b]]
+            out.append(joined(run, nodes[a : b + 1]) if len(run) > 1 else run[0])
+    return out
 
 
 def collapsed(edges: DataFrame, nodes: DataFrame, profile: str | None = None) -> DataFrame:
@@ -288,14 +322,6 @@ def network(nodes: DataFrame, ways: DataFrame, relations: DataFrame, profile: st
     return points, with_wrong_way(with_reverse(edges), profile)
 
 
-def turn_allowed(kind: str, listed: list[tuple[int, int]], turn: tuple[int, int]) -> bool:
-    """Whether restrictions at a node allow a turn (from, to): listed turns are forbidden, or the only ones from their way."""
-    if kind == "negative":
-        return turn not in listed
-    only = [to for start, to in listed if start == turn[0]]
-    return not only or turn[1] in only
-
-
 def attributes() -> Column:
     """An edge row as a map of text, for looking at."""
     line = lambda x: F.concat(x["short_name"], F.when((x["from_str"] != "") | (x["to_str"] != ""), F.concat(F.lit("("), x["from_str"], F.lit("->"), x["to_str"], F.lit(")"))).otherwise(""))
