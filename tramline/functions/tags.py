@@ -27,9 +27,15 @@ ACCESS_DENIED = ("no",)
 BUS_DROP = (("area", YES), ("type", ("multipolygon",)), ("railway", ("platform", "station")), ("highway", ("proposed", "footway", "construction")), ("building", ("yes", "train_station")), ("leisure", ("garden", "park")))
 BUS_WAY_DROP = (*BUS_DROP, ("public_transport", ("stop_area",)))
 BUS_RELATION_DROP = (*BUS_DROP, ("train", YES))
-_ROADS = ("motorway", "trunk", "primary", "secondary", "tertiary", "residential")
 BUS_KEEP = (
-    ("highway", (*_ROADS, *(f"{r}_link" for r in _ROADS), "living_street", "unclassified", "bus_guideway", "bus_stop")),
+    (
+        "highway",
+        (
+            *("motorway", "trunk", "primary", "secondary", "tertiary", "residential"),
+            *("motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link", "residential_link"),
+            *("living_street", "unclassified", "bus_guideway", "bus_stop"),
+        ),
+    ),
     ("way", ("primary", "seconday", "bus_guideway")),
     ("busway", ANY),
     *((k, ("yes", "designated")) for k in ("psv", "bus", "minibus")),
@@ -92,10 +98,6 @@ STATION_NODE = {
 TURN_NODE = (("highway", ("turning_circle", "turning_loop", "mini_roundabout")), ("junction", ("roundabout",)))
 
 
-def _linked(*roads: str) -> tuple[str, ...]:
-    return tuple(x for r in roads for x in (r, f"{r}_link"))
-
-
 # Road and track levels; the first match decides, 0 where none matches.
 _RAIL_1 = (("usage", ("branch",)),)
 _RAIL_2 = (("railway", ("tram",)), ("service", ("siding",)))
@@ -103,19 +105,19 @@ _RAIL_3 = (("service", ("crossover", "yard")),)
 _RAIL_5 = (("usage", ("industrial", "military", "test")), ("service", ("spur",)), ("railway:traffic_mode", ("freight",)))
 LEVELS = {
     "Bus": (
-        (1, (("highway", _linked("trunk", "primary")),)),
-        (2, (("highway", _linked("secondary")), *((k, ("yes", "designated")) for k in ("bus", "minibus", "psv")), ("access", ("psv", "bus")), *((k, YES) for k in ("trolley_wire", "trolleywire", "trolleybus", "trolley_bus")))),
-        (3, (("highway", _linked("tertiary")),)),
+        (1, (("highway", ("trunk", "trunk_link", "primary", "primary_link")),)),
+        (2, (("highway", ("secondary", "secondary_link")), *((k, ("yes", "designated")) for k in ("bus", "minibus", "psv")), ("access", ("psv", "bus")), *((k, YES) for k in ("trolley_wire", "trolleywire", "trolleybus", "trolley_bus")))),
+        (3, (("highway", ("tertiary", "tertiary_link")),)),
         (4, (("highway", ("unclassified", "residential", "road")),)),
         (5, (("highway", ("living_street", "pedestrian", "service")), ("psv", ("no",)))),
         (6, (("bus", ("no",)), ("service", ("siding", "parking_aisle")), ("access", ("permissive", "private", "no")), ("highway", ("footway", "track")))),
     ),
     "Coach": (
-        (0, (("highway", _linked("motorway")),)),
-        (1, (("highway", _linked("trunk")),)),
-        (2, (("highway", _linked("primary")),)),
-        (3, (("highway", _linked("secondary")),)),
-        (4, (("highway", _linked("tertiary")),)),
+        (0, (("highway", ("motorway", "motorway_link")),)),
+        (1, (("highway", ("trunk", "trunk_link")),)),
+        (2, (("highway", ("primary", "primary_link")),)),
+        (3, (("highway", ("secondary", "secondary_link")),)),
+        (4, (("highway", ("tertiary", "tertiary_link")),)),
         (5, (("highway", ("unclassified", "residential", "road", "service")),)),
         (6, (("highway", ("living_street", "pedestrian")), ("psv", ("no",)))),
         (7, (("bus", ("no",)), ("service", ("siding", "parking_aisle")), ("access", ("permissive", "private", "no")), ("highway", ("footway",)))),

@@ -90,11 +90,11 @@ def segments(way_nodes: DataFrame, located: DataFrame | None = None, bridge: boo
     return rows.groupBy("src", "dst").agg(F.min(F.struct("way_id", "pos")).alias("first")).select("first.way_id", "first.pos", "src", "dst")
 
 
-def build_edges(ways: DataFrame, nodes: DataFrame, relations: DataFrame, profile: str, bridge: bool = True, mask: int = 0) -> DataFrame:
-    """Forward edges of kept ways; geometry is the two ends."""
-    tag = F.col("tags")
+def build_edges(ways: DataFrame, nodes: DataFrame, relations: DataFrame, profile: str, bridge: bool = True, mask: int = 0, road: str | None = None) -> DataFrame:
+    """Forward edges of kept ways; geometry is the two ends. Levels and speeds are those of `road`, if it is not the profile itself."""
+    tag, road = F.col("tags"), road or profile
     bits = F.lit(mask) if mask else tags.mode_bits(tag)
-    rules = ways.select(F.col("id").alias("way_id"), tags.level(tag, profile).alias("level"), tags.oneway(tag, profile).alias("oneway"), tags.preferred_direction(tag).alias("preferred_direction"), bits.alias("allowed_modes"))
+    rules = ways.select(F.col("id").alias("way_id"), tags.level(tag, road).alias("level"), tags.oneway(tag, profile).alias("oneway"), tags.preferred_direction(tag).alias("preferred_direction"), bits.alias("allowed_modes"))
     places = ways.select(F.col("id").alias("way_id"), F.posexplode("refs").alias("pos", "node_id"))
     turns = restrictions(relations)
     turn_ways = turns.select(F.explode(F.array("from_way", "to_way")).alias("way_id")).distinct().withColumn("_turn", F.lit(True))
@@ -111,7 +111,7 @@ def build_edges(ways: DataFrame, nodes: DataFrame, relations: DataFrame, profile
         F.array("src_at", "dst_at").alias("geometry"),
         F.coalesce("lines", none).alias("lines"),
         "oneway",
-        tags.cost(length, tags.speed(F.col("level"), profile)).alias("cost"),
+        tags.cost(length, tags.speed(F.col("level"), road)).alias("cost"),
         "level",
         (F.coalesce("_turn", F.lit(False)) & (F.col("src_via") | F.col("dst_via"))).alias("restriction"),
         F.lit(False).alias("is_reverse"),
@@ -303,10 +303,11 @@ def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(used, "node_id", "left_semi").unionByName(nodes.where(F.col("flags").bitwiseAND(tags.STATION) != 0).join(used, "node_id", "left_anti"))
 
 
-def network(nodes: DataFrame, ways: DataFrame, relations: DataFrame, profile: str, mask: int, *, bridge: bool = True, skip_small: bool = False, box: tuple[float, float, float, float] | None = None) -> tuple[DataFrame, DataFrame]:
+def network(nodes: DataFrame, ways: DataFrame, relations: DataFrame, profile: str, mask: int, *, bridge: bool = True, skip_small: bool = False, box: tuple[float, float, float, float] | None = None, road: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a profile, ready for routing: chains joined, ways back added, the wrong way made dearer.
 
-    nodes: (id, lon, lat, tags); ways: (id, refs, tags); relations: (id, tags, members).
+    nodes: (id, lon, lat, tags); ways: (id, refs, tags); relations: (id, tags, members). road: whose levels and speeds
+    count, where coaches run on the bus network.
     """
     ways = kept_ways(ways, relations, profile, mask, skip_small)
     via = restrictions(relations).select(F.col("via_node").alias("node_id")).distinct().withColumn("_via", F.lit(tags.RESTRICTION))
@@ -315,11 +316,11 @@ def network(nodes: DataFrame, ways: DataFrame, relations: DataFrame, profile: st
         points = points.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
     if profile in ("Bus", "Generic"):
         points = points.join(via, "node_id", "left").withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("_via", F.lit(0)))).drop("_via")
-    edges = written(build_edges(ways, points, relations, profile, bridge, mask), "edges")
-    edges = written(collapsed(edges, points, profile), "collapsed")
+    edges = written(build_edges(ways, points, relations, profile, bridge, mask, road), "edges")
+    edges = written(collapsed(edges, points, road or profile), "collapsed")
     parts = components(edges)
     points = without_isolated(points, edges).join(parts.select(F.col("node").alias("node_id"), F.col("component").alias("comp_id")), "node_id", "left")
-    return points, with_wrong_way(with_reverse(edges), profile)
+    return points, with_wrong_way(with_reverse(edges), road or profile)
 
 
 def attributes() -> Column:
