@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tramline.llm import near_copies, quality_classifier, quality_rules, queries, simhash, stages
@@ -83,6 +84,28 @@ def test_near_copies_are_found_down_to_a_similarity_of_four_fifths(spark, monkey
     assert near_copies.near_copies(frame.limit(0)).count() == 0
 
 
+def test_stages_take_odd_rows_and_clashing_columns(spark, folder):
+    """Null ids, empty and very long texts, repeated rows, further columns under names that stages use, and no rows at all."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(n))
+    long = prose(40_000)
+    rows = [(None, prose(80)), (None, None), (7, ""), (8, long), (9, long), (10, "x" * 50_000), (11, None), (12, prose(90)), (12, prose(95))]
+    names = ["_score", "score", "kept", "_kept", "text_", "component_id", "_level", "tokens"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").unionByName(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"))
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    columns, left, empty = docs.columns, docs, docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left, empty = stage(spark, left, folder), stage(spark, empty, folder)
+        assert left.columns == columns == empty.columns and empty.count() == 0
+        assert [left.select(n).distinct().collect() for n in names] == [[(k,)] for k in range(len(names))]
+        left = spark.createDataFrame(left.collect(), docs.schema)
+    kept = [r["doc_id"] for r in left.select("doc_id").collect()]
+    assert len(kept) > 100 and not {9, 7, 10, 11, None} & set(kept)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, left, folder)
+    assert {r["doc_id"] for r in pieces.collect()} == set(kept) and corpus_pipeline.STAGES[-1][1](spark, empty, folder).count() == 0
+
+
 def test_registry():
     found = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))

@@ -16,7 +16,7 @@ the arrays of all blocks. A file holds segments; a segment holds a table of its
 documents and its blocks. Files appear under their final name only when whole.
 
 Nulls: a null text is an empty text, which is its end id alone; a null id sorts
-first and is carried. Rows that repeat an id keep the order of their texts. Very
+first and is carried. Rows that repeat an id are in the order of a hash of their texts. Very
 long texts span blocks. An empty table gives no files and an empty result. Other
 columns are ignored.
 """
@@ -329,7 +329,9 @@ def segments(source: object) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
 
 def write(docs: DataFrame, path: str, id_col: str, text_col: str, end: int, tokenizer: str | None) -> DataFrame:
     """(part, file, docs, tokens), one row a file; files in ascending order of ids."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    # Rows that repeat an id are parted by a hash of their texts, so that no id is more than one task's.
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_order"))
+    source = source.repartitionByRange("id", "_order").sortWithinPartitions("id", "_order", "text").drop("_order")
     tail = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +392,7 @@ def read(files: DataFrame, path: str, kind: str = "bigint") -> DataFrame:
                         start += int(ends[-1])
 
     n = max(1, files.count())
-    return files.select("file", before.cast("bigint").alias("start")).repartition(n, "file").mapInArrow(run, f"id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.select("file", before.cast("bigint").alias("start")).repartitionByRange(n, "start").mapInArrow(run, f"id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end: int = END, tokenizer: str | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,8 @@ from tramline.llm.common import hashed_fold, materialize, slices
 
 DIM, BUCKETS, SHAPES = 32, 1 << 15, 1 << 12
 SAMPLE, WINDOW, HIDDEN, EPOCHS = 3_000, 2, 24, 40
+#: Bytes of text that each class is learned from at most: labelled rows in the order of the sample, as many as fit.
+SAMPLE_BYTES = 32 << 20
 THRESHOLD = 0.3
 #: Words whose buckets a worker remembers.
 REMEMBERED = 400_000
@@ -171,7 +173,7 @@ def fit(texts: list[bytes], label: np.ndarray, share: float, seed: int = 5) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows of docs outside fold 0; collects at most 2 * sample texts."""
+    """Learns from labelled rows of docs outside fold 0; collects at most 2 * sample texts, one an id, of 2 * SAMPLE_BYTES."""
     there = docs.select(F.col(id_col).alias("id"))
     seen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (hashed_fold("id", folds) != 0)).join(there, "id", "left_semi")
     seen = materialize(seen, "op2-labels")
@@ -181,8 +183,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64("id", F.lit("sample"))
     chosen = [seen.where(F.col("label") == k).orderBy(order, "id").limit(sample) for k in (0, 1)]
     # At most 2 * sample rows of 12 bytes: small enough to send to every executor.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "id").select("id", "label", F.coalesce("text", F.lit("")).alias("text"))
-    pdf = rows.toPandas().sort_values(["id", "label", "text"])
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "id")
+    rows = materialize(rows.groupBy("id", "label").agg(F.min("text").alias("text")), "op2-sample")
+    upto = Window.partitionBy("label").orderBy(order, "id")
+    fits = rows.select("id", "label", F.sum(F.octet_length("text")).over(upto).alias("_bytes")).where(F.col("_bytes") <= SAMPLE_BYTES)
+    pdf = rows.join(F.broadcast(fits.drop("_bytes")), ["id", "label"]).toPandas().sort_values(["id", "label", "text"])
     return fit([t.encode() for t in pdf["text"]], pdf["label"].to_numpy(int), count.get(1, 0) / sum(count.values()))
 
 
