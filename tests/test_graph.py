@@ -178,6 +178,9 @@ def test_route_fallbacks():
     alone = [[Candidate(None, point=s)] for s in stops]
     hops, _ = Router(net, Options()).route("", stops, alone, [0, 60], [0, 60])
     assert geometry.shape_points(hops, {}) == [(0.0, 0.005), (0.0, 0.025)]
+    # A pattern of a named line where no edge is near.
+    hops, _ = Router(Network({}, {}), Options()).route("7", stops, alone, [0, 60], [0, 60])
+    assert geometry.shape_points(hops, {}) == [(0.0, 0.005), (0.0, 0.025)]
     three = [*alone, [Candidate(None, point=(0.03, 0.0))]]
     assert Router(net, Options()).route("", [*stops, (0.03, 0.0)], three, [0, 100, 200], [0, 50, 200]) == ([], routing.FAR)
 
