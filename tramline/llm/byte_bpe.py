@@ -40,7 +40,7 @@ from tramline.llm.common import column, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that a worker remembers in each of two generations (about 220 bytes each), and pairs of tokens; beyond those it starts anew.
-REMEMBERED, PAIRS = 500_000, 1_000_000
+REMEMBERED, PAIRS = 250_000, 300_000
 #: Pieces of a text in hand at a time.
 PIECES = 100_000
 
