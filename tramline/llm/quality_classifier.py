@@ -10,8 +10,9 @@ temperature, fitted on documents that the weights have not seen, calibrates it.
 
 The network and the word vectors are fitted on the driver from at most
 `sample` labelled rows of each class (a documented bound; those with the smallest
-keyed hash of their id); the class shares come from all labelled rows whose document is
-among docs. The model
+keyed hash of their id, texts over TEXT_BYTES behind all others) that hold SAMPLE_BYTES
+together; a long text thus takes no other's place, and a class always keeps at least one
+row. The class shares come from all labelled rows whose document is among docs. The model
 is a few arrays of fixed size, whatever the corpus.
 
 Nulls: a null text is an empty text; empty texts get a score like any other (that
@@ -41,6 +42,8 @@ DIM, BUCKETS, SHAPES = 32, 1 << 15, 1 << 12
 SAMPLE, WINDOW, HIDDEN, EPOCHS = 3_000, 2, 24, 40
 #: Bytes of text that each class is learned from at most: labelled rows in the order of the sample, as many as fit.
 SAMPLE_BYTES = 32 << 20
+#: A longer text is learned from only where the shorter ones of its class leave room.
+TEXT_BYTES = 1 << 20
 THRESHOLD = 0.3
 #: Words whose buckets a worker remembers.
 REMEMBERED = 400_000
@@ -173,21 +176,22 @@ def fit(texts: list[bytes], label: np.ndarray, share: float, seed: int = 5) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows of docs outside fold 0; collects at most 2 * sample texts, one an id, of 2 * SAMPLE_BYTES."""
-    there = docs.select(F.col(id_col).alias("id"))
-    seen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (hashed_fold("id", folds) != 0)).join(there, "id", "left_semi")
+    """Learns from labelled rows of docs outside fold 0; collects at most 2 * sample texts, one an id, of 2 * SAMPLE_BYTES (or one text a class, if its shortest is longer)."""
+    sizes = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("bytes")).groupBy("id").agg(F.max("bytes").alias("bytes"))
+    seen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (hashed_fold("id", folds) != 0)).join(sizes, "id")
     seen = materialize(seen, "op2-labels")
     count = {r["label"]: r["count"] for r in seen.groupBy("label").count().collect()}
     if not count:
         return fit([], np.zeros(0, int), 0.5)
-    order = F.xxhash64("id", F.lit("sample"))
-    chosen = [seen.where(F.col("label") == k).orderBy(order, "id").limit(sample) for k in (0, 1)]
+    # Texts of ordinary length in the order of a keyed hash; longer ones come behind them all, the shorter first.
+    order = [F.greatest("bytes", F.lit(TEXT_BYTES)), F.xxhash64("id", F.lit("sample")), F.col("id")]
+    chosen = [seen.where(F.col("label") == k).orderBy(*order).limit(sample) for k in (0, 1)]
+    upto = Window.partitionBy("label").orderBy(*order)
+    fits = (F.sum("bytes").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)) <= SAMPLE_BYTES) | (F.row_number().over(upto) == 1)
     # At most 2 * sample rows of 12 bytes: small enough to send to every executor.
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "id")
-    rows = materialize(rows.groupBy("id", "label").agg(F.min("text").alias("text")), "op2-sample")
-    upto = Window.partitionBy("label").orderBy(order, "id")
-    fits = rows.select("id", "label", F.sum(F.octet_length("text")).over(upto).alias("_bytes")).where(F.col("_bytes") <= SAMPLE_BYTES)
-    pdf = rows.join(F.broadcast(fits.drop("_bytes")), ["id", "label"]).toPandas().sort_values(["id", "label", "text"])
+    picked = chosen[0].union(chosen[1]).withColumn("_fits", fits).where("_fits").select("id", "label").distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    pdf = rows.groupBy("id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["id", "label", "text"])
     return fit([t.encode() for t in pdf["text"]], pdf["label"].to_numpy(int), count.get(1, 0) / sum(count.values()))
 
 

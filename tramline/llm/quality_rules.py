@@ -11,9 +11,11 @@ a source with a third of all rows costs no more than others. Medians and the sha
 of rows to concentrate on are exact quantiles of values on a grid, held as counts and
 sums by value: the grid bounds their number whatever the rows, and no order of rows
 changes them. Steps go on until no group's determinant falls any more; a group keeps
-the estimate with its smallest. Groups of fewer than `min_rows` rows are
-judged by the estimate of their language, and languages of fewer by that of all
-rows; the three levels are estimated side by side.
+the estimate with its smallest. Groups, languages and all rows are estimated side by
+side, and each estimate is then drawn towards the next wider one: a group of n rows has a
+share of n / (n + `prior_rows`) in the centre and scatter that judge it. So a
+single row is judged by its language, a large group by itself, and no number of rows is a
+threshold between the two.
 
 Nulls: a null text has no words and fails the base rules; null languages and
 sources form groups of their own. Empty texts: likewise no words. Repeated rows
@@ -44,8 +46,8 @@ FEATURES: dict[str, tuple[Callable[[], Column], float]] = {
 }
 # The median of the chi-squared distribution with as many degrees of freedom as there are features (5), and its 1 - 1e-7 quantile.
 CHI2_MEDIAN, CHI2_CUT = 4.35146, 40.8631
-#: Most concentration steps (they end by themselves before), share of rows to concentrate on, and rows of a group judged by itself.
-STEPS, KEEP_SHARE, MIN_ROWS = 40, 0.75, 40
+#: Most concentration steps (they end by themselves before), share of rows to concentrate on, and rows that the wider estimate counts for.
+STEPS, KEEP_SHARE, PRIOR_ROWS = 40, 0.75, 40
 #: Steps of the grid in a unit: of statistics, and of the logarithm of distances.
 GRID, RINGS = 1_024, 64
 #: The fall of a determinant's logarithm under which an estimate stands.
@@ -120,7 +122,7 @@ def _on_grid(x: Column) -> Column:
 
 
 def _estimates(rows: DataFrame, by: list[str], names: list[str], floors: list[float], steps: int, keep_share: float) -> DataFrame:
-    """(by, m_i, l_i_j, scale, group_rows) of each group."""
+    """(by, m_i, l_i_j, group_rows) of each group."""
     q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     start = rows.groupBy(*by).agg(*(F.percentile(_on_grid(F.col(n)), q).alias(f"q_{i}") for i, n in enumerate(names)))
     start = start.select(*by, *((F.col(f"q_{i}")[1] / GRID).alias(f"m_{i}") for i in range(len(names))), *((((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / GRID / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))))
@@ -152,15 +154,41 @@ def _estimates(rows: DataFrame, by: list[str], names: list[str], floors: list[fl
         old = f"{path}-{step}"
         if not going:
             break
-    far = _distance(_joined(rows, params, by), names).select(*by, _on_grid(F.log1p("d2")).alias("far"))
-    scale = far.groupBy(*by).agg((F.expm1(F.percentile("far", F.lit(0.5)) / GRID) / F.lit(CHI2_MEDIAN)).alias("scale"), F.count("*").alias("group_rows"))
-    return materialize(_joined(params, scale, by), "op7-scale")
+    return materialize(_joined(params, rows.groupBy(*by).agg(F.count("*").alias("group_rows")), by), "op7-levels")
 
 
-def outliers(stats: DataFrame, group: tuple[str, ...] = ("lang", "source"), steps: int = STEPS, keep_share: float = KEEP_SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
+def _drawn(params: DataFrame, keys: list[str], names: list[str], floors: list[float], prior_rows: int) -> DataFrame:
+    """(keys, m_i, l_i_j, own): each group's centre and scatter mixed with the next wider level's, which was mixed before; own is the group's share.
+
+    How far the centres lie apart adds nothing to the scatter, or a few strange rows would make themselves usual.
+    """
+    n, wide = len(names), None
+    # What the factor was made of: without the floors, which come on again at the end.
+    scatter = lambda i, j: sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j + 1)), F.lit(-(floors[i] ** 2) if i == j else 0.0))
+    plain = params.select(*keys, "group_rows", *(f"m_{i}" for i in range(n)), *(scatter(i, j).alias(f"c_{j}_{i}") for i in range(n) for j in range(i + 1)))
+    out = None
+    for level in range(len(keys) - 1, -1, -1):
+        mine = plain.where(F.col("_level") == level)
+        if wide is None:
+            mixed = mine.withColumn("own", F.lit(1.0))
+        else:
+            # The wider group is that of one column fewer.
+            up = wide.select(F.struct(*(c for c in wide.columns if c not in keys)).alias("w"), *keys[1:]).select("w", *(F.col(c).alias(f"_up{c}") for c in keys[1:]))
+            shared = keys[1 : len(keys) - level - 1]
+            on = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_up{c}")) for c in shared), F.lit(True))
+            own = F.col("group_rows") / (F.col("group_rows") + F.lit(prior_rows))
+            both = mine.join(up if shared else F.broadcast(up), on, "left").withColumn("own", own)
+            mix = lambda c: F.col("own") * F.col(c) + (1 - F.col("own")) * F.col(f"w.{c}")
+            mixed = both.select(*keys, "group_rows", "own", *(mix(f"m_{i}").alias(f"m_{i}") for i in range(n)), *(mix(f"c_{j}_{i}").alias(f"c_{j}_{i}") for i in range(n) for j in range(i + 1)))
+        wide = mixed
+        out = mixed if out is None else out.unionByName(mixed)
+    return _cholesky(out, names, floors).select(*keys, "own", *(f"m_{i}" for i in range(n)), *(f"l_{i}_{j}" for i in range(n) for j in range(i + 1)))
+
+
+def outliers(stats: DataFrame, group: tuple[str, ...] = ("lang", "source"), steps: int = STEPS, keep_share: float = KEEP_SHARE, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """stats with distance (double): the squared Mahalanobis distance, scaled to a chi-squared median.
 
-    A group of fewer than min_rows rows is judged by the estimate of the next wider one: without the last group column, and so on to all rows.
+    The wider estimate that a group is mixed with is the one without its last column, and so on to all rows.
     """
     names, floors = list(FEATURES), [f for _, f in FEATURES.values()]
     plain = stats.columns
@@ -170,16 +198,22 @@ def outliers(stats: DataFrame, group: tuple[str, ...] = ("lang", "source"), step
     at = lambda k: F.struct(F.lit(k).alias("_level"), *((F.col(g) if i < len(group) - k else F.lit(None).cast(kinds[g])).alias(f"_{g}") for i, g in enumerate(group)))
     levels = [at(k) for k in range(len(group) + 1)]
     every = rows.select(*names, F.explode(F.array(*levels)).alias("_at")).select("_at.*", *names)
-    params = _estimates(every, keys, names, floors, steps, keep_share)
+    drawn = materialize(_drawn(_estimates(every, keys, names, floors, steps, keep_share), keys, names, floors, prior_rows), "op7-drawn")
+    far = _distance(_joined(every, drawn, keys), names).select(*keys, _on_grid(F.log1p("d2")).alias("far"))
+    # A group more concentrated than a normal one is not stretched: small departures there stay small.
+    stretch = F.greatest(F.expm1(F.percentile("far", F.lit(0.5)) / GRID) / F.lit(CHI2_MEDIAN), F.lit(1.0))
+    scales = materialize(_joined(drawn.select(*keys, "own"), far.groupBy(*keys).agg(stretch.alias("scale")), keys), "op7-scale")
     out = rows
     for k in range(len(levels)):
-        mine = params.where(F.col("_level") == k)
-        # A group more concentrated than a normal one is not stretched: small departures there stay small.
-        distance = F.col("d2") / F.greatest(F.col("scale"), F.lit(1.0))
-        enough = F.lit(True) if k == len(group) else F.col("group_rows") >= min_rows
-        placed = _joined(out.select("*", levels[k].alias("_at")).select("*", "_at.*").drop("_at"), mine, keys)
-        out = _distance(placed, names).select(*out.columns, F.when(enough, distance).alias(f"distance_{k}"))
-    return out.select(*plain, F.coalesce(*(f"distance_{k}" for k in range(len(levels)))).alias("distance"))
+        mine = scales.where(F.col("_level") == k).select(*keys, F.col("own").alias(f"own_{k}"), F.col("scale").alias(f"scale_{k}"))
+        if not k:
+            mine = _joined(mine, drawn.drop("own"), keys)
+        out = _joined(out.select("*", levels[k].alias("_at")).select("*", "_at.*").drop("_at"), mine, keys).drop(*keys)
+    # Scales are mixed by their logarithms: a small group of strange rows has a very large one.
+    scale = F.log(f"scale_{len(group)}")
+    for k in range(len(group) - 1, -1, -1):
+        scale = F.col(f"own_{k}") * F.log(f"scale_{k}") + (1 - F.col(f"own_{k}")) * scale
+    return _distance(out, names).select(*plain, (F.col("d2") / F.exp(scale)).alias("distance"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: tuple[str, ...] = ("lang", "source"), cut: float = CHI2_CUT) -> DataFrame:
