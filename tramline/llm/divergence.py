@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from tramline.llm.common import column, materialize, slices
 
 LEAST_DOCS, TOP, SMOOTH, UNIT = 30, 50, 5, 1_000_000_000
-#: Counted rows a shard holds on average, and counts a task keeps before it hands them on.
-SHARD_ROWS, HELD = 400_000, 1_000_000
+#: Counted rows a shard holds on average, before and after rare terms are gone, and counts a task keeps before it hands them on.
+SHARD_ROWS, KEPT_ROWS, HELD = 400_000, 50_000, 1_000_000
 #: Bytes of a text that are parted into terms at a time.
 BLOCK = 1 << 20
 #: A-Z lower-cased; ASCII other than letters becomes a space.
@@ -159,16 +159,13 @@ def shard_parts(kept: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank)."""
-    spark = docs.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = lambda df: max(least, df.count() // SHARD_ROWS + 1)
     partial = materialize(partial_counts(docs, text_col, lang_col, source_col), "op12-partial")
-    kept = materialize(kept_counts(partial, shards(partial)), "op12-kept")
+    kept = materialize(kept_counts(partial, partial.count() // SHARD_ROWS + 1), "op12-kept")
     found = docs.select(*_groups(lang_col, source_col)).distinct()
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum(F.col("leads").cast("bigint")).alias("terms"))
     groups = materialize(found.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "lang_total", "terms"]), "op12-groups")
-    parts = materialize(shard_parts(kept, groups, shards(kept)), "op12-parts")
+    parts = materialize(shard_parts(kept, groups, kept.count() // KEPT_ROWS + 1), "op12-parts")
     half = parts.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     both = half.union(half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
     # Every pair of a language's sources is a row of the result, whether or not it has terms.
