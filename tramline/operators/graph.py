@@ -12,8 +12,11 @@ from operator import and_
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tramline.functions import geo, tags
+from tramline.operators import tiles
+from tramline.operators.components import components
 from tramline.shared import written
 
 #: Edges that a task joins into chains.
@@ -72,8 +75,8 @@ def needed_nodes(ways: DataFrame) -> DataFrame:
     return ways.select(F.explode("refs").alias("node_id")).distinct()
 
 
-def segments(way_nodes: DataFrame, located: DataFrame | None = None, bridge: bool = True) -> DataFrame:
-    """(way_id, pos, src, dst): directed segments of ways, without loops; of a pair, the first way and place counts.
+def segments(way_nodes: DataFrame, located: DataFrame | None = None, bridge: bool = True, once: bool = True) -> DataFrame:
+    """(way_id, pos, src, dst): directed segments of ways, without loops; of a pair, the first way and place counts (once), or all.
 
     way_nodes: (way_id, pos, node_id). With located nodes (node_id), segments run over missing nodes (bridge), or a missing
     node breaks the way.
@@ -87,33 +90,44 @@ def segments(way_nodes: DataFrame, located: DataFrame | None = None, bridge: boo
     if located is not None and not bridge:
         rows = rows.withColumn("_next", F.lead("_there").over(after)).where("_there and _next")
     rows = rows.where("dst is not null and dst <> node_id").select("way_id", "pos", F.col("node_id").alias("src"), "dst")
+    if not once:
+        return rows
     return rows.groupBy("src", "dst").agg(F.min(F.struct("way_id", "pos")).alias("first")).select("first.way_id", "first.pos", "src", "dst")
 
 
-def build_edges(ways: DataFrame, nodes: DataFrame, relations: DataFrame, profile: str, bridge: bool = True, mask: int = 0, road: str | None = None) -> DataFrame:
-    """Forward edges of kept ways; geometry is the two ends. Levels and speeds are those of `road`, if it is not the profile itself."""
-    tag, road = F.col("tags"), road or profile
+NO_LINES = "array<struct<short_name:string,from_str:string,to_str:string>>"
+
+
+def way_segments(ways: DataFrame, nodes: DataFrame, relations: DataFrame, profile: str, roads: dict[str, str], bridge: bool = True, mask: int = 0, once: bool = True) -> DataFrame:
+    """Segments of kept ways with what edges are made of: geometry (the two ends), lines, rules, and a level for each profile of roads (name: profile)."""
+    tag = F.col("tags")
     bits = F.lit(mask) if mask else tags.mode_bits(tag)
-    rules = ways.select(F.col("id").alias("way_id"), tags.level(tag, road).alias("level"), tags.oneway(tag, profile).alias("oneway"), tags.preferred_direction(tag).alias("preferred_direction"), bits.alias("allowed_modes"))
+    rules = ways.select(F.col("id").alias("way_id"), *(tags.level(tag, road).alias(name) for name, road in roads.items()), tags.oneway(tag, profile).alias("oneway"), tags.preferred_direction(tag).alias("preferred_direction"), bits.alias("allowed_modes"))
     places = ways.select(F.col("id").alias("way_id"), F.posexplode("refs").alias("pos", "node_id"))
     turns = restrictions(relations)
     turn_ways = turns.select(F.explode(F.array("from_way", "to_way")).alias("way_id")).distinct().withColumn("_turn", F.lit(True))
     via = turns.select(F.col("via_node").alias("node_id")).distinct().withColumn("_via", F.lit(True))
     at = nodes.select("node_id", geo.point(F.col("lon"), F.col("lat")).alias("at"))
     side = lambda c: at.join(via, "node_id", "left").select(F.col("node_id").alias(c), F.col("at").alias(f"{c}_at"), F.coalesce("_via", F.lit(False)).alias(f"{c}_via"))
-    rows = segments(places, nodes, bridge).join(rules, "way_id").join(side("src"), "src").join(side("dst"), "dst").join(way_lines(relations, profile), "way_id", "left").join(turn_ways, "way_id", "left")
-    length = geo.between(F.col("src_at"), F.col("dst_at"))
-    none = F.array().cast("array<struct<short_name:string,from_str:string,to_str:string>>")
+    rows = segments(places, nodes, bridge, once).join(rules, "way_id").join(side("src"), "src").join(side("dst"), "dst").join(way_lines(relations, profile), "way_id", "left").join(turn_ways, "way_id", "left")
+    turned = F.coalesce("_turn", F.lit(False)) & (F.col("src_via") | F.col("dst_via"))
+    return rows.select("way_id", "pos", "src", "dst", F.array("src_at", "dst_at").alias("geometry"), F.coalesce("lines", F.array().cast(NO_LINES)).alias("lines"), "oneway", *roads, turned.alias("restriction"), "allowed_modes", "preferred_direction")
+
+
+def edges_of(rows: DataFrame, road: str, level: str = "level", *keys: str) -> DataFrame:
+    """Forward edges from segments, at the levels and speeds of `road`; keys are columns to keep in front."""
+    length = geo.between(F.get("geometry", 0), F.get("geometry", 1))
     return rows.select(
+        *keys,
         F.xxhash64("src", "dst", F.lit(False)).alias("edge_id"),
         "src",
         "dst",
-        F.array("src_at", "dst_at").alias("geometry"),
-        F.coalesce("lines", none).alias("lines"),
+        "geometry",
+        "lines",
         "oneway",
-        tags.cost(length, tags.speed(F.col("level"), road)).alias("cost"),
-        "level",
-        (F.coalesce("_turn", F.lit(False)) & (F.col("src_via") | F.col("dst_via"))).alias("restriction"),
+        tags.cost(length, tags.speed(F.col(level), road)).alias("cost"),
+        F.col(level).alias("level"),
+        "restriction",
         F.lit(False).alias("is_reverse"),
         "allowed_modes",
         F.col("way_id").alias("osmid"),
@@ -121,12 +135,18 @@ def build_edges(ways: DataFrame, nodes: DataFrame, relations: DataFrame, profile
     )
 
 
-def with_reverse(edges: DataFrame) -> DataFrame:
-    """edges and, where no edge runs back, a copy that does; it reads its geometry backwards."""
+def build_edges(ways: DataFrame, nodes: DataFrame, relations: DataFrame, profile: str, bridge: bool = True, mask: int = 0, road: str | None = None) -> DataFrame:
+    """Forward edges of kept ways. Levels and speeds are those of `road`, if it is not the profile itself."""
+    road = road or profile
+    return edges_of(way_segments(ways, nodes, relations, profile, {"level": road}, bridge, mask), road)
+
+
+def with_reverse(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """edges and, where no edge (of the same group) runs back, a copy that does; it reads its geometry backwards."""
     flipped = F.when(F.col("oneway") == 1, 2).when(F.col("oneway") == 2, 1).otherwise(F.col("oneway"))
-    there = edges.select("src", "dst")
+    there = edges.select(*by, "src", "dst")
     back = edges.withColumns({"src": F.col("dst"), "dst": F.col("src"), "oneway": flipped, "is_reverse": F.lit(True), "edge_id": F.xxhash64("dst", "src", "osmid", F.lit(True))})
-    return edges.unionByName(back.join(there, ["src", "dst"], "left_anti").select(*edges.columns))
+    return edges.unionByName(back.join(there, [*by, "src", "dst"], "left_anti").select(*edges.columns))
 
 
 def with_wrong_way(edges: DataFrame, profile: str) -> DataFrame:
@@ -139,30 +159,6 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that is connected, whatever the edges' direction.
-
-    Large-star and small-star rounds; each is written to the shared folder and takes a constant number of shuffles.
-    """
-    links = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
-    loops = links.where("a = b").select(F.col("a").alias("node"))
-    links, seen = written(links.where("a <> b"), "links"), None
-    while True:
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a"), F.col("low").alias("b"))))
-        links = written(large.join(low, "a").select(pairs.alias("x")).select("x.*").where("a <> b").distinct(), "links")
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    found = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    roots = found.select(F.col("component").alias("node")).union(loops).distinct().join(found, "node", "left_anti")
-    return found.unionByName(roots.select("node", F.col("node").alias("component")))
-
-
 def similar(a: Column, b: Column, node: Column) -> Column:
     """Whether two edges that meet at a node may become one."""
     alike = reduce(and_, (a[k] == b[k] for k in ("level", "allowed_modes", "lines")))
@@ -170,15 +166,15 @@ def similar(a: Column, b: Column, node: Column) -> Column:
     return ((a["oneway"] != 0) == (b["oneway"] != 0)) & ~a["restriction"] & ~b["restriction"] & alike & ((a["oneway"] == 0) | head_to_tail)
 
 
-def joints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, a, b): plain nodes with two edges that may become one, and the edges' ids."""
+def joints(edges: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node, a, b): plain nodes with two edges (of the same group) that may become one, and the edges' ids."""
     fields = ("edge_id", "src", "dst", "oneway", "restriction", "level", "allowed_modes", "lines")
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), F.struct(*fields).alias("e"))
-    met = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("e").alias("a"), F.max("e").alias("b")).where("n = 2 and a.edge_id <> b.edge_id")
+    ends = edges.select(*by, F.explode(F.array("src", "dst")).alias("node"), F.struct(*fields).alias("e"))
+    met = ends.groupBy(*by, "node").agg(F.count("*").alias("n"), F.min("e").alias("a"), F.max("e").alias("b")).where("n = 2 and a.edge_id <> b.edge_id")
     flagged = nodes.where("flags <> 0").select(F.col("node_id").alias("node"))
     far = lambda e: F.when(F.col(f"{e}.src") == F.col("node"), F.col(f"{e}.dst")).otherwise(F.col(f"{e}.src"))
     met = met.where((far("a") != far("b")) & similar(F.col("a"), F.col("b"), F.col("node")))
-    return met.join(flagged, "node", "left_anti").select("node", F.col("a.edge_id").alias("a"), F.col("b.edge_id").alias("b"))
+    return met.join(flagged, "node", "left_anti").select(*by, "node", F.col("a.edge_id").alias("a"), F.col("b.edge_id").alias("b"))
 
 
 def walk(edges: list[dict], met: dict[int, list[int]], joint: set[int], first: int) -> tuple[list[int], list[int]]:
@@ -256,42 +252,44 @@ def collapse(edges: list[dict], plain: set[int]) -> list[dict]:
     return out
 
 
-def collapsed(edges: DataFrame, nodes: DataFrame, profile: str | None = None) -> DataFrame:
-    """edges with chains joined; with a profile, costs are recomputed from geometry and level.
+def collapsed(edges: DataFrame, nodes: DataFrame, profile: str | None = None, by: str | None = None) -> DataFrame:
+    """edges with chains joined; with a profile, costs are recomputed from geometry and level; with `by`, each group of that column is a network of its own.
 
     Chains are components of edges that share a joint. Chains and edges between the same two ends can stand in each other's
-    way, so they form one group and are joined in one pass; groups are as small as a stretch of road, whatever the network.
+    way, so they form one set and are joined in one pass; sets are as small as a stretch of road, whatever the network.
     """
-    spark = edges.sparkSession
-    found = written(joints(edges, nodes), "joints")
-    chain = components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("edge_id"), F.col("component").alias("chain"))
-    rows = edges.join(chain, "edge_id", "left")
-    inner = found.select("node").withColumn("_plain", F.lit(True))
-    ends = rows.where("chain is not null").select("chain", F.explode(F.array("src", "dst")).alias("node")).join(inner.select("node"), "node", "left_anti")
-    ends = ends.groupBy("chain").agg(F.array_sort(F.collect_set("node")).alias("ends"))
+    spark, keys = edges.sparkSession, [by] if by else []
+    found = written(joints(edges, nodes, tuple(keys)), "joints")
+    chain = components(found.select(*keys, F.col("a").alias("src"), F.col("b").alias("dst")), by).select(*keys, F.col("node").alias("edge_id"), F.col("component").alias("_chain"))
+    rows = edges.join(chain, [*keys, "edge_id"], "left")
+    inner = found.select(*keys, "node").withColumn("_plain", F.lit(True))
+    ends = rows.where("_chain is not null").select(*keys, "_chain", F.explode(F.array("src", "dst")).alias("node")).join(inner.select(*keys, "node"), [*keys, "node"], "left_anti")
+    ends = ends.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_set("node")).alias("_ends"))
     pair = F.array_sort(F.array("src", "dst"))
-    keyed = rows.join(ends, "chain", "left").withColumn("group", F.when(F.col("chain").isNull(), pair).when(F.size("ends") == 2, F.col("ends")).otherwise(F.array("chain")))
-    busy = keyed.where("chain is not null").select("group").distinct()
+    keyed = rows.join(ends, [*keys, "_chain"], "left").withColumn("_set", F.when(F.col("_chain").isNull(), pair).when(F.size("_ends") == 2, F.col("_ends")).otherwise(F.array("_chain")))
+    busy = keyed.where("_chain is not null").select(*keys, "_set").distinct()
     mark = lambda c: inner.withColumnsRenamed({"node": c, "_plain": f"_{c}"})
-    work = keyed.join(busy, "group", "left_semi").join(mark("src"), "src", "left").join(mark("dst"), "dst", "left")
+    work = keyed.join(busy, [*keys, "_set"], "left_semi").join(mark("src"), [*keys, "src"], "left").join(mark("dst"), [*keys, "dst"], "left")
 
     columns = edges.columns
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        plain = {int(n) for c in ("src", "dst") for n in table.loc[table[f"_{c}"].notna(), c]}
-        groups: dict[tuple, list[dict]] = {}
-        table = table.sort_values(["src", "dst", "edge_id"])
-        for key, r in zip(table["group"], table[columns].to_dict("records"), strict=True):
+        sets: dict[tuple, tuple[list[dict], set[int]]] = {}
+        table = table.sort_values([*keys, "src", "dst", "edge_id"])
+        marks = zip(table["_set"], table["_src"].notna(), table["_dst"].notna(), table[columns].to_dict("records"), strict=True)
+        for key, src, dst, r in marks:
             r["geometry"] = [(p["lon"], p["lat"]) for p in r["geometry"]]
-            groups.setdefault(tuple(key), []).append(r)
-        out = pd.DataFrame([e for kept in groups.values() for e in collapse(kept, plain)], columns=columns)
+            members, plain = sets.setdefault((*(r[k] for k in keys), *key), ([], set()))
+            members.append(r)
+            plain.update(int(r[c]) for c, is_plain in (("src", src), ("dst", dst)) if is_plain)
+        out = pd.DataFrame([e for members, plain in sets.values() for e in collapse(members, plain)], columns=columns)
         out["geometry"] = [[{"lon": x, "lat": y} for x, y in g] for g in out["geometry"]]
         return out
 
-    # Groups are small, so a task takes many of them, about TASK_EDGES edges.
+    # Sets are small, so a task takes many of them, about TASK_EDGES edges.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // TASK_EDGES))
-    joined = work.groupBy(F.pmod(F.xxhash64("group"), F.lit(tasks)).alias("task")).applyInPandas(run, edges.schema)
-    out = joined.unionByName(keyed.join(busy, "group", "left_anti").select(*edges.columns)).withColumn("edge_id", F.xxhash64("src", "dst", "osmid", F.lit(False)))
+    joined = work.groupBy(F.pmod(F.xxhash64(*keys, "_set"), F.lit(tasks)).alias("task")).applyInPandas(run, edges.schema)
+    out = joined.unionByName(keyed.join(busy, [*keys, "_set"], "left_anti").select(*edges.columns)).withColumn("edge_id", F.xxhash64("src", "dst", "osmid", F.lit(False)))
     if profile is not None:
         out = out.withColumn("cost", tags.cost(geo.total(geo.lengths(F.col("geometry"))), tags.speed(F.col("level"), profile)))
     return out
@@ -303,6 +301,15 @@ def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(used, "node_id", "left_semi").unionByName(nodes.where(F.col("flags").bitwiseAND(tags.STATION) != 0).join(used, "node_id", "left_anti"))
 
 
+def road_nodes(nodes: DataFrame, ways: DataFrame, relations: DataFrame, profile: str) -> DataFrame:
+    """(node_id, lon, lat, flags) of the nodes that kept ways need."""
+    points = nodes.select(F.col("id").alias("node_id"), "lon", "lat", tags.node_flags(F.col("tags"), profile).alias("flags")).join(needed_nodes(ways), "node_id", "left_semi")
+    if profile in ("Bus", "Generic"):
+        via = restrictions(relations).select(F.col("via_node").alias("node_id")).distinct().withColumn("_via", F.lit(tags.RESTRICTION))
+        points = points.join(via, "node_id", "left").withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("_via", F.lit(0)))).drop("_via")
+    return points
+
+
 def network(nodes: DataFrame, ways: DataFrame, relations: DataFrame, profile: str, mask: int, *, bridge: bool = True, skip_small: bool = False, box: tuple[float, float, float, float] | None = None, road: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a profile, ready for routing: chains joined, ways back added, the wrong way made dearer.
 
@@ -310,12 +317,9 @@ def network(nodes: DataFrame, ways: DataFrame, relations: DataFrame, profile: st
     count, where coaches run on the bus network.
     """
     ways = kept_ways(ways, relations, profile, mask, skip_small)
-    via = restrictions(relations).select(F.col("via_node").alias("node_id")).distinct().withColumn("_via", F.lit(tags.RESTRICTION))
-    points = nodes.select(F.col("id").alias("node_id"), "lon", "lat", tags.node_flags(F.col("tags"), profile).alias("flags")).join(needed_nodes(ways), "node_id", "left_semi")
+    points = road_nodes(nodes, ways, relations, profile)
     if box is not None:
         points = points.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
-    if profile in ("Bus", "Generic"):
-        points = points.join(via, "node_id", "left").withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("_via", F.lit(0)))).drop("_via")
     edges = written(build_edges(ways, points, relations, profile, bridge, mask, road), "edges")
     edges = written(collapsed(edges, points, road or profile), "collapsed")
     parts = components(edges)
@@ -323,6 +327,32 @@ def network(nodes: DataFrame, ways: DataFrame, relations: DataFrame, profile: st
     return points, with_wrong_way(with_reverse(edges), road or profile)
 
 
+#: Profiles whose levels a road's segments are stored with.
+ROADS = {"bus_level": "Bus", "coach_level": "Coach"}
+
+
+def stored_roads(nodes: DataFrame, ways: DataFrame, relations: DataFrame, mask: int, path: str, skip_small: bool = False) -> tuple[DataFrame, T.StructType]:
+    """Writes the segments of all roads by tile under path: the flagged nodes, and the schema to read tiles with.
+
+    This is all that the whole map goes through: no chain is joined, no component found before a group has its tiles.
+    """
+    ways = written(kept_ways(ways, relations, "Bus", mask, skip_small), "roads")
+    points = written(road_nodes(nodes, ways, relations, "Bus"), "road-nodes")
+    places = ways.select(F.col("id").alias("way_id"), F.explode("refs").alias("node_id"))
+    rows = tiles.tiled_segments(way_segments(ways, points, relations, "Bus", ROADS, False, mask, once=False), tiles.way_tiles(places, points))
+    tiles.write_tiles(rows, path)
+    return points.where("flags <> 0").select("node_id", "flags"), rows.schema
+
+
+def group_network(rows: DataFrame, flagged: DataFrame, road: str, by: str = "group") -> DataFrame:
+    """Edges of each group, ready for routing, from the segments of its tiles: chains joined, components found, ways back added, all within the group."""
+    level = {v: k for k, v in ROADS.items()}[road]
+    edges = written(edges_of(tiles.united(rows, by), road, level, by), "group-edges")
+    edges = written(collapsed(edges, flagged, road, by), "group-collapsed")
+    parts = components(edges, by).withColumnsRenamed({"node": "src", "component": "comp_id"})
+    return with_wrong_way(with_reverse(edges, (by,)), road).join(parts, [by, "src"])
+
+
 def attributes() -> Column:
     """An edge row as a map of text, for looking at."""
     line = lambda x: F.concat(x["short_name"], F.when((x["from_str"] != "") | (x["to_str"] != ""), F.concat(F.lit("("), x["from_str"], F.lit("->"), x["to_str"], F.lit(")"))).otherwise(""))
