@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.functions import tags
-from tramline.operators import graph, tiles
+from tramline.operators import components, graph, tiles
 from tramline.plans.fixtures import query, table, tag_map
+from tramline.shared import fresh_path
 
 ALLOWED = "('yes', 'designated', 'permissive', 'private', 'destination', 'delivery', 'customers', 'permit', 'bus', 'psv')"
 ACCESS = "coalesce(" + ", ".join(f"case when {k} = 'no' then 'deny' when {k} in {ALLOWED} then 'allow' end" for k in ("bus", "motor_vehicle", "access")) + ")"
@@ -254,6 +255,18 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(rows)
 
 
+@query("""with recursive e as (select c_custkey as src, c_custkey // 2 as dst from customer where c_acctbal > 1000 union select a.c_custkey, a.c_custkey // 4 from customer a join customer b on b.c_custkey = a.c_custkey // 2 where a.c_acctbal > 1000 and b.c_acctbal > 1000),
+  n as (select src as node from e union select dst from e), up as (select c_custkey as node from customer where c_acctbal > 1000 and c_custkey > 0),
+  r as (select node, node as top from n union all select r.node, top // 2 from r where top in (select node from up))
+  select node, min(top) as component from r group by node""")
+def forked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees that fork everywhere, with links past every parent that close rings, and a node linked to itself."""
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 1000").select("c_custkey")
+    half = F.floor(F.col("c_custkey") / 2).cast("bigint")
+    past = rich.join(rich.select(F.col("c_custkey").alias("_half")), half == F.col("_half")).select(F.col("c_custkey").alias("src"), F.floor(F.col("c_custkey") / 4).cast("bigint").alias("dst"))
+    return components.components(rich.select(F.col("c_custkey").alias("src"), half.alias("dst")).union(past), task_links=2_000)
+
+
 def chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Rows of the grid alone, with a level that changes now and then and flags on some nodes."""
     none = F.array().cast("array<struct<short_name:string,from_str:string,to_str:string>>")
@@ -292,3 +305,19 @@ def ghost_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_tile_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "fx_way_nodes").select("node_id", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), (F.col("way_id") % 8).cast("int").alias("flags"))
     return tiles.merged_nodes(rows).select("node_id", "flags")
+
+
+@query(f"""with n as (select stop_id as node_id, cast(floor(lon * 3 / 0.2::double) as int) as tile_x, cast(floor(lat * 2 / 0.2::double) as int) as tile_y from fx_stops),
+  t as (select distinct way_id, tile_x, tile_y from fx_way_nodes join n using (node_id)), {FORWARD},
+  u as (select distinct tile_x % 3 as grp, way_id, pos, src, dst from t join s using (way_id) where dst is not null and dst <> src),
+  k as (select *, row_number() over (partition by grp, src, dst order by way_id, pos) as n from u)
+  select grp, way_id, pos, src, dst from k where n = 1""")
+def tile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of three groups of tiles, stored by tile and read back: ways whole, each pair of nodes once a group."""
+    nodes = table(spark, sf_dir, "fx_stops").select(F.col("stop_id").alias("node_id"), (F.col("lon") * 3).alias("lon"), (F.col("lat") * 2).alias("lat"))
+    places = table(spark, sf_dir, "fx_way_nodes")
+    rows = tiles.tiled_segments(graph.segments(places, nodes, bridge=False, once=False), tiles.way_tiles(places, nodes))
+    path = fresh_path(spark, "tile-edges")
+    tiles.write_tiles(rows, path)
+    wanted = rows.select("tile_x", "tile_y", (F.col("tile_x") % 3).alias("group")).distinct()
+    return tiles.united(tiles.read_tiles(spark, path, wanted, rows.schema)).select(F.col("group").alias("grp"), "way_id", "pos", "src", "dst")
