@@ -3,10 +3,10 @@
 A payload is cut into access units, each a packetised elementary packet with a
 presentation timestamp, dealt over 188-byte transport packets on one PID behind a
 program association and a program map table. Every few units the first packet
-carries a clock reference and the random-access mark. The parser finds the stream
-through the tables, checks every continuity counter and table checksum,
-reassembles the packets and returns the payload with its timestamps and
-random-access points.
+carries a clock reference and the random-access mark. The parser (`demux`) reads any
+stream by the standard: it finds programs and their streams through the tables, checks
+every continuity counter and table checksum, reassembles the packets and returns the
+payloads with their timestamps and random-access points.
 
 Texts are stored in UTF-8, padded with spaces to a positive multiple of `unit`.
 Nulls: a null text is an empty text, that is one unit of spaces; null ids are
@@ -22,7 +22,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm.common import column, materialize, slices
+from tramline.llm.demux import PACKET, PAT_PID, SYNC, crc_mpeg, demux
 
 # Fixed values of the transport stream standard.
-PACKET, SYNC, PAT_PID, STREAM_PRIVATE, PRIVATE_1, CLOCK = 188, 0x47, 0, 0x06, 0xBD, 90_000
+STREAM_PRIVATE, PRIVATE_1, CLOCK = 0x06, 0xBD, 90_000
 #: Own choices: table and stream PIDs, bytes of an access unit, units a second, units from one random-access point to the next.
 PMT_PID, ES_PID, UNIT_BYTES, RATE, RANDOM_ACCESS = 0x1000, 0x0100, 12_288, 25, 4
 UNIT = 192
@@ -42,17 +42,6 @@ def padded(text: bytes, unit: int = UNIT) -> bytes:
     return text + b" " * (-len(text) % unit if text else unit)
 
 
-@lru_cache(256)
-def crc_mpeg(data: bytes) -> int:
-    """CRC-32 as tables carry it: polynomial 0x04C11DB7, most significant bit first, no final inversion."""
-    crc = 0xFFFFFFFF
-    for byte in data:
-        crc ^= byte << 24
-        for _ in range(8):
-            crc = ((crc << 1) ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
-    return crc
-
-
 def section(table: int, number: int, body: bytes) -> bytes:
     """A table section in one packet's payload, behind its pointer field."""
     data = struct.pack(">BHHBBB", table, 0xB000 | (len(body) + 9), number, 0xC1, 0, 0) + body
@@ -122,51 +111,41 @@ class Stream:
     packets: int
 
 
-def table(packets: np.ndarray, pid: int, kind: int) -> bytes:
-    """The body of the first section of a PID, behind a checked checksum."""
-    pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    at = np.nonzero((pids == pid) & (packets[:, 1] & 0x40 > 0))[0]
-    if not len(at):
-        raise ValueError(f"no table on PID {pid}")
-    data = packets[at[0]].tobytes()[4:]
-    data = data[1 + data[0] :]
-    size = 3 + (struct.unpack_from(">H", data, 1)[0] & 0x0FFF)
-    if data[0] != kind or crc_mpeg(data[:size]):
-        raise ValueError(f"the table on PID {pid} is damaged")
-    return data[8 : size - 4]
-
-
 def decode(media: bytes) -> Stream:
-    if len(media) % PACKET:
-        raise ValueError("not a whole number of transport packets")
-    packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if (packets[:, 0] != SYNC).any():
-        raise ValueError("lost synchronisation")
-    programs = table(packets, PAT_PID, 0)
-    pmt = struct.unpack_from(">H", programs, 2)[0] & 0x1FFF
-    body = table(packets, pmt, 2)
-    at = 4 + (struct.unpack_from(">H", body, 2)[0] & 0x0FFF)
-    stream = struct.unpack_from(">H", body, at + 1)[0] & 0x1FFF
-    pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    mine = packets[pids == stream]
-    counters = mine[:, 3] & 15
-    if (np.diff(counters) & 15 != 1).any():
-        raise ValueError("the continuity counter jumps: packets are missing or repeated")
-    extra = mine[:, 3] & 0x20 > 0
-    offset = np.where(extra, 5 + mine[:, 4].astype(np.int32), 4)
-    data = mine[np.arange(PACKET) >= offset[:, None]].tobytes()
-    ends = np.cumsum(PACKET - offset)
-    first = np.nonzero(mine[:, 1] & 0x40)[0]
-    marked = extra[first] & (mine[first, 4] > 0) & (mine[first, 5] & 0x40 > 0)
-    starts = [int(ends[i] - (PACKET - offset[i])) for i in first]
-    parts, times = [], []
-    for a, b in zip(starts, [*starts[1:], len(data)], strict=True):
-        if data[a : a + 3] != b"\0\0\1" or struct.unpack_from(">H", data, a + 4)[0] != b - a - 6:
-            raise ValueError("an elementary packet is damaged")
-        x, y, z = struct.unpack_from(">BHH", data, a + 9)
-        times.append((x >> 1 & 7) << 30 | (y >> 1) << 15 | z >> 1)
-        parts.append(data[a + 9 + data[a + 8] : b])
-    return Stream(b"".join(parts), times, [t for t, m in zip(times, marked, strict=True) if m], len(packets))
+    """The first stream of the first program, as `encode` writes it; `demux` reads all streams of any."""
+    found = demux(media)
+    if not found.streams:
+        raise ValueError("no stream in any program")
+    s = found.streams[0]
+    if None in s.presented:
+        raise ValueError("an elementary packet has no timestamp")
+    return Stream(s.payload, s.presented, [t for t, m in zip(s.presented, s.random_access, strict=True) if m], found.packets)
+
+
+def elementary_streams(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """(id, program, pid, stream_type, payload, timestamps, decode_times, random_access, clocks): a row an elementary stream of each value; null media have none.
+
+    timestamps and decode_times are in 90 kHz, null where a packet has none; clocks are the references on the stream's PID, in 27 MHz.
+    """
+    source = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).where("media is not null")
+    kind = source.schema["id"].dataType.simpleString()
+    names = ["program", "pid", "stream_type", "payload", "timestamps", "decode_times", "random_access", "clocks"]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, streams in slices(batches, "media"):
+            rows, owner = [], []
+            for k, data in enumerate(streams):
+                found = demux(data)
+                for s in found.streams:
+                    owner.append(k)
+                    rows.append((s.program, s.pid, s.kind, s.payload, s.presented, s.decoded, [t for t, m in zip(s.presented, s.random_access, strict=True) if m], found.clocks.get(s.pid, [])))
+            if rows:
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([column(part, "id").take(pa.array(owner)), *cols], ["id", *names])
+
+    schema = f"id {kind}, program int, pid int, stream_type int, payload binary, timestamps array<bigint>, decode_times array<bigint>, random_access array<bigint>, clocks array<bigint>"
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
