@@ -548,15 +548,70 @@ def test_licences(docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
-def test_notices_are_found_edited_or_not():
+def plain_labels(text):
+    """Every start of every template tried, without an index."""
+    w, found = licenses.words(text), set()
+    for t in licenses.TEMPLATES:
+        keys = all(any(w[i : i + len(k)] == k for i in range(len(w))) for k in t.keys)
+        if keys and any(t.share(w[max(0, i - t.shift) : i + len(t.words) + t.shift]) >= licenses.COVERED for i in range(-t.shift, len(w))):
+            found.add(t.label)
+    return found
+
+
+def licence_texts():
+    return [(label, text) for held in (licenses.NOTICES, licenses.TEXTS) for label, (text, _) in held.items()]
+
+
+def edited(rng, text, share, keep):
+    """Words put in, left out and exchanged, but for those of the key phrases."""
+    out = []
+    for w in text.split():
+        kind = rng.random() / share if not any(x.decode() in keep for x in licenses.words(w.encode())) else 1.0
+        out += [] if kind < 0.34 else [w, "filler"] if kind < 0.67 else ["exchanged"] if kind < 1 else [w]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("share", [1e-9, 0.05])
+def test_licence_texts_are_found_as_an_aligner_finds_them(share):
+    rng = random.Random(21)
     index = licenses.Index.build({}, 10)
-    for label, (notice, must) in licenses.NOTICES.items():
-        assert label in index.scan(("lead in " + notice.upper() + " tail").encode())[2]
-        edited = notice.split()
-        edited.insert(2, "new")
-        assert label in index.scan(" ".join(edited).encode())[2], label
-        assert label not in index.scan(notice.lower().replace(must.split()[0], "no", 9).encode())[2]
-    assert index.scan(b"permission of this software to any person")[2] == {}
+    keys = {w for held in (licenses.NOTICES, licenses.TEXTS) for _, ks in held.values() for k in ks for w in k.split()}
+    for label, text in licence_texts():
+        for whole in (text.upper(), "lead in words " * 30 + text + " tail " * 50):
+            body = edited(rng, whole, share, keys).encode()
+            found = set(index.scan(body)[2])
+            assert label in found and found == plain_labels(body), label
+        must = next(t for t in licenses.TEMPLATES if t.label == label).keys[0][0].decode()
+        assert label not in index.scan(re.sub(rf"(?i)\b{must}\b", "no", text).encode())[2]
+
+
+def test_several_licences_in_one_file_and_none_in_others():
+    rng = random.Random(22)
+    index = licenses.Index.build({w: 5 for w in list(licenses.VOCABULARY)[::3]}, 10)
+    texts = dict(licence_texts())
+    mixed = prose(rng, 500) + texts["mit"] + prose(rng, 300) + texts["zlib"] + " " + texts["gpl"]
+    assert set(index.scan(mixed.encode())[2]) == plain_labels(mixed.encode()) == {"mit", "zlib", "gpl"}
+    scattered = [w for t in texts.values() for w in t.split()]
+    rng.shuffle(scattered)
+    for text in ("permission of this software to any person", " ".join(scattered), "the software " * 3000, "free of charge associated documentation files " * 200):
+        assert set(index.scan(text.encode())[2]) == plain_labels(text.encode())
+    assert index.scan(" ".join(scattered).encode())[2] == {}
+
+
+def test_base_columns_as_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    table = [(i, t) for i, t, *_ in rows() if t is None or "\x00" not in t]
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", table)
+    want = con.sql(r"""with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+      p as (select unnest(['gnu general public license', 'apache license', 'cc by', 'mit license']) as phrase, unnest(['gpl', 'apache', 'cc-by', 'mit']) as label),
+      g as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w), h as (select doc_id, i - 1 as place, label from g, p where list_slice(w, i, i + len(string_split(phrase, ' ')) - 1) = string_split(phrase, ' '))
+      select doc_id, len(w) as n_words, count(label) as n_base, min(place) as first_word, max(place) as last_word, coalesce(string_agg(distinct label, ',' order by label), '') as base_labels
+      from w left join h using (doc_id) group by doc_id, w order by doc_id""")
+    got = licenses.scan(spark.createDataFrame(table, "doc_id long, text string")).select(*want.columns).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want.fetchall()
 
 
 # Language model.
