@@ -173,11 +173,10 @@ def _drawn(params: DataFrame, keys: list[str], names: list[str], floors: list[fl
             mixed = mine.withColumn("own", F.lit(1.0))
         else:
             # The wider group is that of one column fewer.
-            up = wide.select(F.struct(*(c for c in wide.columns if c not in keys)).alias("w"), *keys[1:]).select("w", *(F.col(c).alias(f"_up{c}") for c in keys[1:]))
-            shared = keys[1 : len(keys) - level - 1]
-            on = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_up{c}")) for c in shared), F.lit(True))
+            up = wide.select(F.struct(*(c for c in wide.columns if c not in keys)).alias("w"), *keys).select("w", *(F.col(c).alias(f"_up{c}") for c in keys))
+            on = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_up{c}")) for c in keys[1 : len(keys) - level - 1]), F.col("_level") + 1 == F.col("_up_level"))
             own = F.col("group_rows") / (F.col("group_rows") + F.lit(prior_rows))
-            both = mine.join(up if shared else F.broadcast(up), on, "left").withColumn("own", own)
+            both = mine.join(up, on, "left").withColumn("own", own)
             mix = lambda c: F.col("own") * F.col(c) + (1 - F.col("own")) * F.col(f"w.{c}")
             mixed = both.select(*keys, "group_rows", "own", *(mix(f"m_{i}").alias(f"m_{i}") for i in range(n)), *(mix(f"c_{j}_{i}").alias(f"c_{j}_{i}") for i in range(n) for j in range(i + 1)))
         wide = mixed
