@@ -84,6 +84,20 @@ def test_near_copies_are_found_down_to_a_similarity_of_four_fifths(spark, monkey
     assert near_copies.near_copies(frame.limit(0)).count() == 0
 
 
+def test_a_large_chained_part_meets_by_bands(spark, monkeypatch):
+    """Ninety texts, each near to the next alone, and as many that share no more than a passage: one component and many, however small the blocks."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(1200)]
+    chain = [(i, " ".join(words[4 * i : 4 * i + 150])) for i in range(90)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    apart = [(1000 + i, passage + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(60))) for i in range(90)]
+    docs = spark.createDataFrame(chain + apart, "doc_id long, text string")
+    want = {(i, 0) for i, _ in chain} | {(i, i) for i, _ in apart}
+    for chunk in (4096, 16, 3):
+        monkeypatch.setattr(near_copies, "CHUNK", chunk)
+        assert {tuple(r) for r in near_copies.near_copies(docs).collect()} == want
+
+
 def test_stages_take_odd_rows_and_clashing_columns(spark, folder):
     """Null ids, empty and very long texts, repeated rows, further columns under names that stages use, and no rows at all."""
     rng = random.Random(21)
@@ -108,5 +122,5 @@ def test_stages_take_odd_rows_and_clashing_columns(spark, folder):
 
 def test_registry():
     found = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(found)
