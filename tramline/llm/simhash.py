@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm.common import column, materialize, salt, slices
+from tramline.operators import components as connected
 
 HALVES = 2
 #: The tree is laid out from about so many fingerprints (8 bytes each), at most this share of all.
@@ -179,22 +180,9 @@ def links(reps: DataFrame, radius: int = 3, n: int | None = None) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable from every node that has an edge (a, b).
-
-    Alternates the large-star and small-star steps; each round is written to the shared folder.
-    """
-    edges, seen = materialize(edges, "op1-edges"), None
-    while True:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a"), F.col("low").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        edges = materialize(small, "op1-edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
-            return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-        seen = now
+    """(node, root): the smallest node reachable from every node that has an edge (a, b) and is not the smallest itself."""
+    found = connected.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return found.where("node <> component").select("node", F.col("component").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:

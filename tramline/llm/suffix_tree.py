@@ -237,7 +237,8 @@ def chunks(docs: DataFrame, folder: str, id_col: str, text_col: str, train: F.Co
     """(chunk, tokens): all texts, written to files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, number = Hashes(), TaskContext.get().partitionId() << 32
+        # Numbered by attempt: an attempt that meets its rows in another order writes files of its own.
+        hashes, number = Hashes(), TaskContext.get().taskAttemptId() << 24
         ids, train, lengths, flat, size = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
