@@ -57,7 +57,9 @@ def test_line_names(spark, a, b, same):
     assert alike(a, b) is same
 
 
-@pytest.mark.parametrize(("css", "back", "front"), [("#FF0000", "FF0000", "000000"), ("white", "FFFFFF", "000000"), ("black", "000000", "FFFFFF"), ("#abc", "AABBCC", "000000"), ("rgb(1, 2, 300)", "0102FF", "FFFFFF"), ("no colour", None, None)])
+@pytest.mark.parametrize(("css", "back", "front"), [("#FF0000", "FF0000", "000000"), ("white", "FFFFFF", "000000"), ("black", "000000", "FFFFFF"), ("#abc", "AABBCC", "000000"), ("rgb(1, 2, 300)", "0102FF", "FFFFFF"), ("no colour", None, None), ("chocolate", "D2691E", "000000"), (" RebeccaPurple ", "663399", "FFFFFF"),
+    ("rgb(50%, 0%, 100.0%)", "8000FF", "FFFFFF"), ("rgba(1 2 3 / 40%)", "010203", "FFFFFF"), ("rgb(1.5, -4, .5)", "020001", "FFFFFF"), ("hsl(120, 100%, 25%)", "008000", "FFFFFF"), ("hsl(-.5turn 100% 50%)", "00FFFF", "000000"), ("hsla(200grad, 100%, 50%, 0.2)", "00FFFF", "000000"),
+    ("hsl(3.14159265358979rad 100% 50%)", "00FFFF", "000000"), ("hwb(0 0% 0%)", "FF0000", "000000"), ("hwb(90deg 80% 80%)", "808080", "000000"), ("hwb(240 20% 40%)", "333399", "FFFFFF"), ("hsl(1, 2, 3)", None, None), ("rgb(1, 2)", None, None), ("rgb(1, 2, x)", None, None), ("rgb()", None, None), ("#12345", None, None)])
 def test_colours(spark, css, back, front):
     assert value(spark, colours.hex_colour(F.lit(css))) == back
     assert value(spark, colours.text_colour(colours.hex_colour(F.lit(css)))) == front

@@ -1,3 +1,4 @@
+import heapq
 import itertools
 import math
 import random
@@ -140,6 +141,55 @@ def test_path_modes_and_lines():
     assert routing.cheapest_path(Network(detour, places), 0, 1, 8, box=(-1, -1, 1, 0.001)) == (1_000_000.0, [1])
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_paths_from_both_ends_are_cheapest(seed):
+    """Against a plain search, with networks to fall back on, a line's two names and a box."""
+    rng = random.Random(300 + seed)
+    names = ("", "5", "Line 5", "Ring", "7")
+    side = 14
+    places = {i: (0.01 * (i % side) + rng.random() * 0.002, 0.01 * (i // side) + rng.random() * 0.002) for i in range(side * side)}
+    pairs = [(i, j) for i in places for j in (i + 1, i + side, i - 1, i - side) if j in places and abs(i % side - j % side) <= 1]
+    edges = {k: Edge(a, b, int(routing.metres_between(places[a], places[b]) * rng.uniform(0.3, 0.6)), [], ((rng.choice(names), "", ""),), modes=rng.choice((8, 8, 8, 1, 2))) for k, (a, b) in enumerate(pairs)}
+    net = Network(edges, places)
+    for line, long_name, box in (("", "", None), ("5", "", None), ("bus 5", "ring road", None), ("", "RING", (0.0, 0.0, 0.09, 0.09))):
+        inside = lambda n: box is None or (places[n][0] <= box[2] and places[n][1] <= box[3])  # noqa: B023, E731
+        best, queue = {0: 0.0}, [(0.0, 0)]
+        while queue:
+            d, n = heapq.heappop(queue)
+            if d > best[n]:
+                continue
+            for i in net.out.get(n, ()):
+                price = routing.node_costs(net, i, 8, 1, line, long_name)
+                if price is not None and inside(edges[i].dst) and d + price < best.get(edges[i].dst, math.inf):
+                    best[edges[i].dst] = d + price
+                    heapq.heappush(queue, (d + price, edges[i].dst))
+        for target in (5, 100, 137, side * side - 1):
+            found = routing.meet_in_the_middle(net, 0, target, 8, 1, line, long_name, box)
+            assert (found is None) == (target not in best)
+            if found is not None:
+                cost, path, _ = found
+                assert cost == pytest.approx(best[target]) == pytest.approx(sum(routing.node_costs(net, i, 8, 1, line, long_name) for i in path))
+                assert edges[path[0]].src == 0 and edges[path[-1]].dst == target and all(edges[a].dst == edges[b].src for a, b in pairwise(path)) and all(inside(edges[i].dst) for i in path)
+
+
+def test_potentials_keep_searches_between_their_ends():
+    """From corner to corner of the middle of a large even grid: a third of the nodes that two plain searches would settle, and the same cost."""
+    side = 60
+    places = {i: (0.001 * (i % side), 0.001 * (i // side)) for i in range(side * side)}
+    pairs = [(i, j) for i in places for j in (i + 1, i + side, i - 1, i - side) if j in places and abs(i % side - j % side) <= 1]
+    rng = random.Random(5)
+    edges = {k: Edge(a, b, 60 + rng.randrange(4), [], modes=8) for k, (a, b) in enumerate(pairs)}
+    start, end = 30 * side + 20, 30 * side + 40
+    guided, plain = (routing.meet_in_the_middle(Network(edges, p), start, end, 8, 0, "", "", None) for p in (places, {}))
+    assert guided[0] == plain[0] and guided[2] < plain[2] / 3
+
+
+def test_names_fit_in_both_directions():
+    of = lambda name: Network({1: Edge(0, 1, 100, [], ((name, "", ""),), modes=8)}, {})
+    cost = lambda name, *line: routing.node_costs(of(name), 1, 8, 0, *line)
+    assert cost("Bus 100", "100") == cost("100", "bus 100") == cost("RING", "x", "Ring Road") == 20.0 and cost("7", "5", "Ring") == 100.0 and cost("5", "") == 100.0
+
+
 def test_best_sequence():
     net = Network({1: Edge(2, 3, 5, [], modes=8), 2: Edge(3, 4, 5, [], modes=8)}, {})
     groups = [[(0, 0.0), (2, 0.0)], [(1, 0.0), (3, 0.0)], [(4, 0.0)]]

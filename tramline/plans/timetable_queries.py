@@ -149,18 +149,43 @@ def routes_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.rewritten(routes, "route_id", routes.where("agency_id = 2").select("route_id", red.alias("route_color"), colours.text_colour(red).alias("route_text_color")))
 
 
-@query("""with c as (select distinct colour from (select split_part(p_name, ' ', 1) as colour from part union all select '#' || lower(lpad(hex(p_partkey * 7919 % 16777216), 6, '0')) from part)),
-  h as (select colour, case when starts_with(colour, '#') then upper(substr(colour, 2)) else case colour when 'red' then 'FF0000' when 'blue' then '0000FF' when 'green' then '008000' when 'yellow' then 'FFFF00' when 'black' then '000000' when 'white' then 'FFFFFF'
-      when 'orange' then 'FFA500' when 'purple' then '800080' when 'pink' then 'FFC0CB' when 'brown' then 'A52A2A' when 'gray' then '808080' when 'grey' then '808080' when 'cyan' then '00FFFF' when 'magenta' then 'FF00FF' when 'gold' then 'FFD700' when 'silver' then 'C0C0C0' end end as bg from c),
+def _toned(n: int, saturation: str, lightness: str) -> str:
+    """A channel of a hue in degrees."""
+    k = f"({n} + hue / 30.0 - floor(({n} + hue / 30.0) / 12.0) * 12.0)"
+    return f"({lightness} - {saturation} * least({lightness}, 1 - {lightness}) * greatest(-1.0, least({k} - 3, 9 - {k}, 1.0)))"
+
+
+def _digits(*channels: str) -> str:
+    return " || ".join(f"lpad(hex(cast(floor(({c}) * 255 + 0.5) as bigint)), 2, '0')" for c in channels)
+
+
+_NAMES = "case colour " + " ".join(f"when '{n}' then '{v}'" for n, v in colours.NAMED.items()) + " end"
+_MIXED = [f"(case when w + k >= 1 then w / (w + k) else {_toned(n, '1.0::double', '0.5::double')} * (1 - w - k) + w end)" for n in (0, 8, 4)]
+
+
+@query(f"""with n as (select p_partkey as p, cast(p_partkey * 37 % 720 as double) as turn, cast(p_partkey % 101 as double) as a, cast(p_partkey * 7 % 101 as double) as b from part),
+  f as (select *, turn - floor(turn / 360.0::double) * 360.0::double as hue, a / 100.0::double as w, b / 100.0::double as k from n),
+  c as (select distinct colour, case when starts_with(colour, '#') then upper(substr(colour, 2)) else {_NAMES} end as bg from (select split_part(p_name, ' ', 1) as colour from part union all select '#' || lower(lpad(hex(p_partkey * 7919 % 16777216), 6, '0')) from part)
+    union all select 'hsl(' || cast(turn as int) || ', ' || cast(a as int) || '%, ' || cast(b as int) || '%)', {_digits(*(_toned(n, "w", "k") for n in (0, 8, 4)))} from f
+    union all select 'HWB(' || cast(turn as int) || 'deg ' || cast(a as int) || '% ' || cast(b as int) || '% / 0.5)', {_digits(*_MIXED)} from f
+    union all select 'rgb(' || cast(a as int) || '% ' || cast(b as int) || '% ' || cast(turn as int) || '%)', {_digits("w", "k", "least(turn / 100.0::double, 1.0::double)")} from f),
+  h as (select distinct colour, bg from c),
   ch as (select colour, bg, cast('0x' || substr(bg, 1, 2) as int) / 255.0 as r, cast('0x' || substr(bg, 3, 2) as int) / 255.0 as g, cast('0x' || substr(bg, 5, 2) as int) / 255.0 as b from h where bg is not null),
   l as (select colour, bg, 0.2126 * case when r <= 0.03928 then r / 12.92 else pow((r + 0.055) / 1.055, 2.4) end + 0.7152 * case when g <= 0.03928 then g / 12.92 else pow((g + 0.055) / 1.055, 2.4) end
       + 0.0722 * case when b <= 0.03928 then b / 12.92 else pow((b + 0.055) / 1.055, 2.4) end as lum from ch)
   select colour, bg as background, case when 1.05 / (lum + 0.05) > (lum + 0.05) / 0.05 then 'FFFFFF' else '000000' end as foreground from l""")
 def css_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, hex digits, and the three functional forms with commas, spaces, angles and percentages."""
     part = table(spark, sf_dir, "part")
-    named = part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("colour"))
-    hexed = part.select(F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.col("p_partkey") * 7919 % 16777216), 6, "0"))).alias("colour"))
-    rows = named.union(hexed).distinct().withColumn("background", colours.hex_colour(F.col("colour")))
+    turn, a, b = (x.cast("int").cast("string") for x in (F.col("p_partkey") * 37 % 720, F.col("p_partkey") % 101, F.col("p_partkey") * 7 % 101))
+    forms = [
+        F.split_part("p_name", F.lit(" "), F.lit(1)),
+        F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.col("p_partkey") * 7919 % 16777216), 6, "0"))),
+        F.concat(F.lit("hsl("), turn, F.lit(", "), a, F.lit("%, "), b, F.lit("%)")),
+        F.concat(F.lit("HWB("), turn, F.lit("deg "), a, F.lit("% "), b, F.lit("% / 0.5)")),
+        F.concat(F.lit("rgb("), a, F.lit("% "), b, F.lit("% "), turn, F.lit("%)")),
+    ]
+    rows = part.select(F.explode(F.array(*forms)).alias("colour")).distinct().withColumn("background", colours.hex_colour(F.col("colour")))
     return rows.where("background is not null").select("colour", "background", colours.text_colour(F.col("background")).alias("foreground"))
 
 
