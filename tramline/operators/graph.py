@@ -317,9 +317,10 @@ def network(nodes: DataFrame, ways: DataFrame, relations: DataFrame, profile: st
     count, where coaches run on the bus network.
     """
     ways = kept_ways(ways, relations, profile, mask, skip_small)
-    points = road_nodes(nodes, ways, relations, profile)
     if box is not None:
-        points = points.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+        # Straight on the scan, which can step over what lies elsewhere.
+        nodes = nodes.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+    points = road_nodes(nodes, ways, relations, profile)
     edges = written(build_edges(ways, points, relations, profile, bridge, mask, road), "edges")
     edges = written(collapsed(edges, points, road or profile), "collapsed")
     parts = components(edges)
