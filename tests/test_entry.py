@@ -11,6 +11,27 @@ import pytest
 import tramline
 
 ROOT = Path(tramline.__file__).resolve().parent.parent
+
+
+def test_shared_folders_are_asked_for_beyond_one_machine():
+    from tramline import shared
+
+    assert all(shared.on_one_machine(m) for m in ("local", "local[4]", "local[*]")) and not any(map(shared.on_one_machine, ("local-cluster[3,2,1024]", "yarn", "spark://host:7077", "k8s://host")))
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "yarn"
+
+            class getConf:
+                get = staticmethod(lambda key: None)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Far)
+
+
 PROBE = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(sum(n.startswith('op') or n == 'pipeline' for n in q), 'stop_patterns' in q)"
 
 

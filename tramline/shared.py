@@ -12,10 +12,16 @@ _own: dict[str, str] = {}
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def on_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir as a full URI; where it is unset (tests), a temporary folder of this machine."""
+    """The session's spark.checkpoint.dir as a full URI; where it is unset and all runs on this machine (tests), a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not on_one_machine(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         application = spark.sparkContext.applicationId
         if application not in _own:
             _own[application] = "file://" + tempfile.mkdtemp(prefix="tramline-")
