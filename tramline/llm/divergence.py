@@ -6,13 +6,13 @@ with those of the whole language (`term`: the terms that the source has more of)
 arithmetic is on whole numbers.
 
 Texts are parted and counted batch by batch; what leaves a task is one row a (language,
-source, term) and flush. Rows are then dealt into shards by a hash of language and term, so
-that all sources' rows of a term meet in one shard whose size is bounded by the number of
-shards, which grows with the counted rows. DuckDB holds one shard at a time in a task: a
+source, term) and flush, which Spark adds up. Rows are then dealt into shards by a hash of
+language and term, so that all sources' rows of a term, at most one each, meet in one shard; the
+number of shards grows with the counted rows. DuckDB holds one shard at a time in a task: a
 first query sums counts and leaves the terms that are in enough documents; after Spark has
 added up the totals of groups and languages, a second gives the shard's part of every
 pair's sum and its best terms. Spark adds up these parts and ranks. A source with a third of
-all rows is as many rows a term as any other by then.
+all documents is one row a term like any other by then.
 
 Terms are `[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. Nulls: a null
 text, language or source is an empty one; ids are not needed. Empty texts have no terms,
@@ -159,8 +159,10 @@ def shard_parts(kept: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank)."""
-    partial = materialize(partial_counts(docs, text_col, lang_col, source_col), "op12-partial")
-    kept = materialize(kept_counts(partial, partial.count() // SHARD_ROWS + 1), "op12-kept")
+    partial = partial_counts(docs, text_col, lang_col, source_col)
+    # From here on a term has a row a source, however many tasks counted it.
+    counted = materialize(partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "op12-counts")
+    kept = materialize(kept_counts(counted, counted.count() // SHARD_ROWS + 1), "op12-kept")
     found = docs.select(*_groups(lang_col, source_col)).distinct()
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum(F.col("leads").cast("bigint")).alias("terms"))
