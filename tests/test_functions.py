@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,22 @@ def test_modes():
     with pytest.raises(ValueError, match="other"):
         modes.parse_modes("other")
     assert modes.profile_of_set({"Tram"}) == "TramSubway" and modes.profile_of_set({"Tram", "Rail"}) == "Generic" and modes.profile_of_set(set()) == "Generic"
+
+
+def test_a_long_corridor_has_each_tile_once(spark):
+    """Sets of tiles are kept as numbers, whatever their signs; 60 hops of 900 tiles take no pairwise comparison."""
+    rows = [(i, (-7.5 + i * 0.01, -60.0), (8.0, 119.0 - i)) for i in range(60)]
+    hops = spark.createDataFrame(rows, "i int, a struct<lon:double,lat:double>, b struct<lon:double,lat:double>")
+    for (i, a, b), found in zip(rows, hops.select("i", geo.corridor(F.col("a"), F.col("b")).alias("t"), geo.route_tiles(F.array("a", "b")).alias("r")).orderBy("i").collect(), strict=True):
+        tile = lambda v: math.floor(v / 0.2)
+        steps = (max(abs(tile(b[0]) - tile(a[0])), abs(tile(b[1]) - tile(a[1]))) + 1) * 2
+        along = {(tile(a[0] + k / steps * (b[0] - a[0])), tile(a[1] + k / steps * (b[1] - a[1]))) for k in range(steps + 1)}
+        plain = {(x + dx, y + dy) for x, y in along for dx, dy in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))}
+        assert {tuple(t) for t in found["t"]} == plain and len(found["t"]) == len(plain) and [tuple(t) for t in found["r"]] == sorted(plain)
+
+
+def test_hops_are_dealt_over_tasks_by_their_number(spark, tmp_path):
+    from tramline.plans import timetable_queries as t
+
+    spark.range(1000).select(F.col("id").alias("s_suppkey"), F.lit(1.0).alias("s_acctbal")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert t.hops(spark, str(tmp_path)).rdd.getNumPartitions() == 4

@@ -247,8 +247,13 @@ CORRIDOR = f"""s as (select *, (greatest(abs(bx - ax), abs(byy - ay)) + 1) * 2 a
   corridor as (select distinct stop_id, cast(tx + dx as int) as x, cast(ty + dy as int) as y from along, {CROSS})"""
 
 
+#: Hops of a task: a hop leads through as many tiles as it is long, and a small file of stops would be one task.
+TASK_HOPS = 250
+
+
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "fx_stops")
+    rows = rows.repartition(max(1, -(-rows.count() // TASK_HOPS)), "stop_id")
     lon = F.lit(7.3) + (F.col("stop_id") * 37 % 100).cast("double") * F.lit(0.0131)
     lat = F.lit(47.7) + (F.col("stop_id") * 53 % 100).cast("double") * F.lit(0.0117)
     return rows.select("stop_id", geo.point(F.col("lon"), F.col("lat")).alias("a"), geo.point(lon, lat).alias("b"))
