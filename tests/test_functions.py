@@ -115,3 +115,11 @@ def test_hops_are_dealt_over_tasks_by_their_number(spark, tmp_path):
 
     spark.range(1000).select(F.col("id").alias("s_suppkey"), F.lit(1.0).alias("s_acctbal")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     assert t.hops(spark, str(tmp_path)).rdd.getNumPartitions() == 4
+
+
+def test_colours_are_dealt_over_tasks_by_their_number(spark, tmp_path):
+    from tramline.plans import timetable_queries as t
+
+    spark.range(25_000).select(F.col("id").alias("p_partkey"), F.lit("red x").alias("p_name")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = t.css_colours(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 3 and found.where("colour = 'red'").count() == 1

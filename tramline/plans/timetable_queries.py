@@ -185,7 +185,9 @@ def css_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("HWB("), turn, F.lit("deg "), a, F.lit("% "), b, F.lit("% / 0.5)")),
         F.concat(F.lit("rgb("), a, F.lit("% "), b, F.lit("% "), turn, F.lit("%)")),
     ]
-    rows = part.select(F.explode(F.array(*forms)).alias("colour")).distinct().withColumn("background", colours.hex_colour(F.col("colour")))
+    # Short texts that take long to read: tasks by their number, not by their bytes.
+    tasks = max(1, -(-part.count() // TASK_PARTS))
+    rows = part.select(F.explode(F.array(*forms)).alias("colour")).repartition(tasks, "colour").distinct().withColumn("background", colours.hex_colour(F.col("colour")))
     return rows.where("background is not null").select("colour", "background", colours.text_colour(F.col("background")).alias("foreground"))
 
 
@@ -249,6 +251,8 @@ CORRIDOR = f"""s as (select *, (greatest(abs(bx - ax), abs(byy - ay)) + 1) * 2 a
 
 #: Hops of a task: a hop leads through as many tiles as it is long, and a small file of stops would be one task.
 TASK_HOPS = 250
+#: Parts whose colours a task reads.
+TASK_PARTS = 10_000
 
 
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
