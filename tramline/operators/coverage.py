@@ -10,9 +10,11 @@ from tramline.shared import written
 
 #: How many nodes count as near a stop, and the share of stops that a relation must cover.
 NEAREST, COVERED = 50, 0.5
+#: Pairs of a point and a node that a task ranks.
+TASK_PAIRS = 1_000_000
 
 
-def nearest(points: DataFrame, nodes: DataFrame, k: int = NEAREST, size: float = 0.01) -> DataFrame:
+def nearest(points: DataFrame, nodes: DataFrame, k: int = NEAREST, size: float = 0.01, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """(point_id, node_id, rank): the k nodes nearest in degrees, the smaller id first in a tie (to 1e-12).
 
     Points meet the nodes of the 3 x 3 grid cells around them. Those whose k-th node is farther than a cell may have missed
@@ -29,7 +31,11 @@ def nearest(points: DataFrame, nodes: DataFrame, k: int = NEAREST, size: float =
         around = F.explode(F.array(*(F.struct((cell("lon") + dx).alias("x"), (cell("lat") + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
         there = nodes.select("node_id", F.col("lon").alias("x"), F.col("lat").alias("y"), F.struct(cell("lon").alias("x"), cell("lat").alias("y")).alias("cell"))
         square = (F.col("lon") - F.col("x")) ** 2 + (F.col("lat") - F.col("y")) ** 2
-        found = left.withColumn("cell", around).join(there, "cell").withColumn("d", F.round(square, 12)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        # Pairs of a round are counted by cell first; as many tasks as they ask for meet and rank them, so a task's share stays the same.
+        asked, full = (x.groupBy("cell").agg(F.count("*").alias(n)) for x, n in ((left.withColumn("cell", around), "a"), (there, "b")))
+        tasks = max(1, -(-(asked.join(full, "cell").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0) // task_pairs))
+        met = left.withColumn("cell", around).repartition(tasks, "cell").join(there.repartition(tasks, "cell"), "cell").select("point_id", "node_id", F.round(square, 12).alias("d"))
+        found = met.repartition(tasks, "point_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         found = written(found.select("point_id", "node_id", "rank", "d"), "nearest")
         if size > span:
             done = found
