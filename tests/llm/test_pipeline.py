@@ -98,6 +98,38 @@ def test_a_large_chained_part_meets_by_bands(spark, monkeypatch):
         assert {tuple(r) for r in near_copies.near_copies(docs).collect()} == want
 
 
+def test_candidates_come_through_the_trees(spark, monkeypatch):
+    """Fingerprints are SimHashes, and those within the radius of each other, equal or not, are linked by op1's trees."""
+    rng = random.Random(12)
+    docs = []
+    for base in range(30):
+        words = [f"w{rng.randrange(9000)}" for _ in range(1500)]
+        docs.append((base, " ".join(words)))
+        words[rng.randrange(1500)] = "other"
+        docs.append((100 + base, " ".join(words)))
+    sets = [near_copies.shingles(t.encode(), near_copies.Hashes()) for _, t in docs]
+    fps = near_copies.prints(sets)
+    for found, fp in zip(sets[:4], fps, strict=False):
+        plain = sum(1 << b for b in range(64) if sum(int(h) >> b & 1 for h in found) * 2 > len(found))
+        assert int(fp.view("u8")[0] ^ near_copies._KIND[0]).bit_count() == plain.bit_count()
+    seen, real = [], near_copies.near_prints
+
+    def watched(reps, radius, **more):
+        found = real(reps, radius, **more)
+        seen.append((radius, {(r["a"], r["b"]) for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(near_copies, "near_prints", watched)
+    got = {tuple(r) for r in near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(i, i % 100) for i, _ in docs}
+    assert [r for r, _ in seen] == [near_copies.RADIUS, near_copies.SAMPLE_RADIUS]
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    for k, (radius, links) in enumerate(seen):
+        near = {(max(a, b), min(a, b)) for c in (range(1) if k == 0 else range(1, fps.shape[1])) for a in fps[:, c].tolist() for b in fps[:, c].tolist() if 0 < apart(a, b) <= radius}
+        assert near == links
+    assert len(seen[0][1]) > 10
+
+
 def test_stages_take_odd_rows_and_clashing_columns(spark, folder):
     """Null ids, empty and very long texts, repeated rows, further columns under names that stages use, and no rows at all."""
     rng = random.Random(21)

@@ -1,14 +1,21 @@
 """Near copies by word shingles: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with equal sets are one class. Each class has a min-hash signature, cut into
-bands; classes that agree in a band are candidates (at 0.8 a pair has none in
-common with a probability of 1 in 10,000, less above). All links are inside the
-connected parts of the candidates, so the sets of a part meet, and similarity is
-taken exactly. In a part over CHUNK classes, such as passages chain together that many
-texts share, only those meet that agree in a band: a set is in as many rows as it has
-shared bands, whatever the part, and only a band of over CHUNK classes is dealt out as pairs of
-blocks. Every task returns a spanning forest of its links, never all pairs. Shingles are
-compared by a 64-bit hash of their words.
+Candidates come by op1's method. Texts with equal sets are one class. Each class has
+several 64-bit SimHash fingerprints: one over all its shingles, the others each over a
+sample of TAKEN of them, drawn alike for all texts (those of the smallest keyed hashes).
+One over all shingles strays too far at 0.8 for triangle bounds to prune, one over a
+sample is the same in two texts whose samples are: at 0.8 a pair agrees in none of the
+SAMPLES with a probability of 1 in 10,000, less above. Equal fingerprints are one, and
+distinct ones go through op1's vantage-point trees, those over all shingles within
+RADIUS bits, those over samples within SAMPLE_RADIUS.
+
+All links are inside the connected parts of the candidates, so the sets of a part meet,
+and similarity is taken exactly. In a part over CHUNK classes, such as passages chain
+together that many texts share, only those meet whose fingerprints of a kind are
+connected: a set is in as many rows as it has kinds in which it is a candidate, whatever the part, and
+only a group of over CHUNK classes is dealt out as pairs of blocks. Every task returns a
+spanning forest of its links, never all pairs. Shingles are compared by a 64-bit hash of
+their words.
 
 A text under five words is one shingle; null, empty and blank texts are one class.
 A row with a null id gets the component of its class, but names none and links none
@@ -29,15 +36,19 @@ from pyspark.sql import functions as F
 
 from tramline.llm.common import column, materialize, salt, slices
 from tramline.llm.simhash import components
+from tramline.llm.simhash import links as near_prints
 from tramline.llm.suffix_tree import STEP, Hashes
 
 WIDTH, LEAST = 5, 0.8
-BANDS, ROWS = 24, 5
+#: Fingerprints over samples, shingles of a sample, and bits within which fingerprints over all shingles and over samples are candidates.
+SAMPLES, TAKEN, RADIUS, SAMPLE_RADIUS = 24, 5, 3, 1
 #: Classes of a block; a task compares two blocks.
 CHUNK = 4_096
 _RNG = np.random.default_rng(13)
-_TIMES = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_PLUS = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64)
+_TIMES = _RNG.integers(0, 2**64, SAMPLES * TAKEN, np.uint64) | np.uint64(1)
+_PLUS = _RNG.integers(0, 2**64, SAMPLES * TAKEN, np.uint64)
+#: Fingerprints of each kind are turned by a constant of their own, which leaves their distances alone and tells the kinds apart.
+_KIND = _RNG.integers(0, 2**64, SAMPLES + 1, np.uint64)
 
 
 def shingles(text: bytes, hashes: Hashes, width: int = WIDTH) -> np.ndarray:
@@ -59,15 +70,37 @@ def digest(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 5) - (1 << 63)
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A hash of each band of the signature."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), 2_048):
-        low = np.minimum(low, (_TIMES[:, None] * found[i : i + 2_048] + _PLUS[:, None]).min(axis=1))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for part in low.reshape(BANDS, ROWS).T:
-        key = (key ^ (key >> np.uint64(29))) * STEP + part
-    return key.view(np.int64)
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """SimHash over the last axis: a bit is 1 if it is set in over half of the hashes."""
+    bits = np.unpackbits(hashes[..., None].view(np.uint8), axis=-1)
+    ones = bits.sum(axis=-2, dtype=np.uint8 if hashes.shape[-1] < 256 else np.int64)
+    return np.packbits(ones > hashes.shape[-1] // 2, axis=-1).view(np.uint64)[..., 0]
+
+
+def whole_print(found: np.ndarray) -> np.uint64:
+    """The SimHash of all shingles, in stretches that a byte can count."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(found), 255):
+        ones += np.unpackbits(found[i : i + 255, None].view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(found)).view(np.uint64)[0]
+
+
+def prints(sets: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints of each set, a row a set: over all shingles, then over every sample."""
+    out = np.zeros((len(sets), SAMPLES + 1), np.uint64)
+    for start in range(0, len(sets), 500):
+        some = sets[start : start + 500]
+        low = np.full((len(some), SAMPLES * TAKEN), np.iinfo(np.uint64).max, np.uint64)
+        for row, found in zip(low, some, strict=True):
+            for i in range(0, len(found), 2_048):
+                np.minimum(row, (_TIMES[:, None] * found[i : i + 2_048] + _PLUS[:, None]).min(axis=1), out=row)
+        # The smallest keyed hash stands for its shingle; its bits are mixed, as its high ones are all 0.
+        low = (low ^ (low >> np.uint64(29))) * STEP
+        low = (low ^ (low >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        low ^= low >> np.uint64(31)
+        out[start : start + len(some), 0] = [whole_print(s) for s in some]
+        out[start : start + len(some), 1:] = majority(low.reshape(len(some), SAMPLES, TAKEN))
+    return (out ^ _KIND).view(np.int64)
 
 
 def similar(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
@@ -105,14 +138,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hashes = Hashes()
         for part, texts in slices(batches, "text"):
             sets = [shingles(t, hashes) for t in texts]
-            yield pa.RecordBatch.from_arrays([column(part, "id"), pa.array([digest(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["id", "class", "bands"])
-
-    rows = materialize(source.mapInArrow(sign, f"id {kind}, class bigint, bands array<bigint>"), "copies-rows").withColumn("salt", salt("id"))
-    salted = rows.groupBy("class", "salt").agg(F.min("id").alias("rep"), F.min("bands").alias("bands"))
-    classes = materialize(salted.groupBy("class").agg(F.min("rep").alias("rep"), F.min("bands").alias("bands")), "copies-classes")
-    banded = classes.where("rep is not null").select("class", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("class").alias("b"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(shared, "band").where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
+            yield pa.RecordBatch.from_arrays([column(part, "id"), pa.array([digest(s) for s in sets], pa.int64()), pa.array(list(prints(sets)), pa.list_(pa.int64()))], ["id", "class", "prints"])
+
+    rows = materialize(source.mapInArrow(sign, f"id {kind}, class bigint, prints array<bigint>"), "copies-rows").withColumn("salt", salt("id"))
+    salted = rows.groupBy("class", "salt").agg(F.min("id").alias("rep"), F.min("prints").alias("prints"))
+    classes = materialize(salted.groupBy("class").agg(F.min("rep").alias("rep"), F.min("prints").alias("prints")), "copies-classes")
+    printed = classes.where("rep is not null").select("class", F.posexplode("prints").alias("kind", "fp"))
+    distinct = materialize(printed.groupBy("kind", "fp").agg(F.min("class").alias("b"), F.count("*").alias("n")), "copies-prints")
+    reps = distinct.select("kind", "fp", F.col("fp").alias("rep"))
+    near = near_prints(reps.where("kind = 0"), RADIUS).union(near_prints(reps.where("kind > 0"), SAMPLE_RADIUS, by="kind", kinds=SAMPLES))
+    near = components(near).withColumnRenamed("node", "fp")
+    near = materialize(near.union(near.select(F.col("root").alias("fp"), "root").distinct()), "copies-near")
+    # Fingerprints that several classes have, or that a tree linked, by groups.
+    shared = materialize(distinct.join(near, "fp", "left").where("n > 1 or root is not null").select("fp", F.coalesce("root", "fp").alias("group"), "b"), "copies-shared")
+    shared = shared.select("fp", "group").join(shared.groupBy("group").agg(F.min("b").alias("b")), "group")
+    pairs = printed.join(shared, "fp").where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
     # A root names itself in no row of its own.
     parts = materialize(components(pairs), "copies-parts")
     parts = parts.select("root", F.col("node").alias("class")).union(parts.select("root", F.col("root").alias("class")).distinct())
@@ -128,17 +168,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sets = materialize(source.join(wanted, "id").select("root", "class", "text").mapInArrow(sets_of, "root bigint, class bigint, shingles binary"), "copies-sets")
     large = materialize(sets.groupBy("root").count().where(F.col("count") > CHUNK).select("root"), "copies-large")
-    whole = sets.join(large, "root", "left_anti").select("root", F.lit(0).cast("bigint").alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), "class", "shingles")
+    whole = sets.join(large, "root", "left_anti").select("root", F.lit(0).cast("bigint").alias("group"), F.lit(0).alias("i"), F.lit(0).alias("j"), "class", "shingles")
     spread = sets.join(large, "root", "left_semi")
-    met = spread.select("root", "class").join(banded, "class").join(shared.select("band"), "band")
-    blocks = met.groupBy("root", "band").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("blocks"))
+    met = spread.select("root", "class").join(printed, "class").join(shared.select("fp", "group"), "fp")
+    blocks = met.groupBy("root", "group").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("blocks"))
     dealt = (
-        met.join(blocks, ["root", "band"])
+        met.join(blocks, ["root", "group"])
         .withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("root", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "class")
+        .select("root", "group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "class")
         .join(spread.select("class", "shingles"), "class")
-        .select("root", "band", "i", "j", "class", "shingles")
+        .select("root", "group", "i", "j", "class", "shingles")
         .union(whole)
     )
 
@@ -148,7 +188,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         b = own[similar([np.frombuffer(s, np.uint64) for s in pdf["shingles"]], least)]
         return pd.DataFrame({"a": own[own != b], "b": b[own != b]})
 
-    links = dealt.groupBy("root", "band", "i", "j").applyInPandas(link, "a bigint, b bigint")
+    links = dealt.groupBy("root", "group", "i", "j").applyInPandas(link, "a bigint, b bigint")
     several = rows.where("id is not null").groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("a")).where("a <> b")
     same = rows.select("id", "class").join(several.select("id", "b"), "id").where("class <> b").select(F.col("class").alias("a"), "b")
     roots = materialize(components(links.union(same).distinct()), "copies-roots")

@@ -140,11 +140,15 @@ def forest(codes: np.ndarray, n_home: int, radius: int) -> np.ndarray:
     return label
 
 
-def links(reps: DataFrame, radius: int = 3, n: int | None = None) -> DataFrame:
-    """(a, b), a > b: links that span every group of `reps` (rep, fp; distinct fps) within `radius` bits."""
+def links(reps: DataFrame, radius: int = 3, n: int | None = None, by: str | None = None, kinds: int = 1) -> DataFrame:
+    """(a, b), a > b: links that span every group of `reps` (rep, fp; distinct fps) within `radius` bits.
+
+    by: an int column of `kinds` values; fingerprints are compared with those of the same kind, in one tree's leaves of their own.
+    """
+    own = [by] if by else []
     spark = reps.sparkSession
     n = reps.count() if n is None else n
-    depth = int(np.clip(np.ceil(np.log2(max(1, n) / LEAF)), 0, MAX_DEPTH))
+    depth = int(np.clip(np.ceil(np.log2(max(1, n) / kinds / LEAF)), 0, MAX_DEPTH))
     part = min(SHARE, SAMPLE / max(1, n))
     some = reps.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(part * (1 << 30))).select("fp").toPandas()
     trees = spark.sparkContext.broadcast(VantageTrees(np.sort(some["fp"].to_numpy(np.int64)).view(np.uint64), depth, radius))
@@ -155,17 +159,18 @@ def links(reps: DataFrame, radius: int = 3, n: int | None = None) -> DataFrame:
             for i in range(0, batch.num_rows, 20_000):
                 fp, rep = (column(batch, c).slice(i, 20_000).to_numpy(zero_copy_only=False) for c in ("fp", "rep"))
                 for h, row, leaf, home in tree.visit(fp.astype(np.int64).view(np.uint64)):
-                    yield pa.RecordBatch.from_arrays([pa.array((leaf + h * 2**MAX_DEPTH).astype(np.int32)), pa.array(home), pa.array(fp[row].astype(np.int64)), pa.array(rep[row].astype(np.int64))], ["leaf", "home", "fp", "rep"])
+                    kind = [column(batch, c).slice(i, 20_000).take(pa.array(row)) for c in own]
+                    yield pa.RecordBatch.from_arrays([pa.array((leaf + h * 2**MAX_DEPTH).astype(np.int32)), pa.array(home), pa.array(fp[row].astype(np.int64)), pa.array(rep[row].astype(np.int64)), *kind], ["leaf", "home", "fp", "rep", *own])
 
-    dealt = materialize(reps.select("fp", "rep").mapInArrow(deal, "leaf int, home boolean, fp bigint, rep bigint"), "op1-leaves")
-    # At most HALVES * 2 ** MAX_DEPTH rows of 8 bytes: small enough to send to every executor.
-    blocks = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("blocks"))
+    dealt = materialize(reps.select("fp", "rep", *own).mapInArrow(deal, "leaf int, home boolean, fp bigint, rep bigint" + "".join(f", {c} int" for c in own)), "op1-leaves")
+    # At most HALVES * 2 ** MAX_DEPTH rows of 8 bytes a kind: small enough to send to every executor.
+    blocks = dealt.groupBy("leaf", *own).agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = (
-        dealt.join(F.broadcast(blocks), "leaf")
+        dealt.join(F.broadcast(blocks), ["leaf", *own])
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("leaf", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "home", "fp", "rep")
+        .select("leaf", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "home", "fp", "rep", *own)
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +181,7 @@ def links(reps: DataFrame, radius: int = 3, n: int | None = None) -> DataFrame:
         keep = a != b
         return pd.DataFrame({"a": np.maximum(a, b)[keep], "b": np.minimum(a, b)[keep]})
 
-    return dealt.groupBy("leaf", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return dealt.groupBy("leaf", *own, "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
