@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators import geometry, graph, routing
 from tramline.operators.routing import Candidate, Edge, Network, Options, Router
+from tramline.plans import search_queries
 
 EDGES = "edge_id long, src long, dst long, geometry array<struct<lon:double,lat:double>>, lines array<struct<short_name:string,from_str:string,to_str:string>>, oneway int, cost long, level int, restriction boolean, is_reverse boolean, allowed_modes int, osmid long, preferred_direction int"
 
@@ -335,3 +336,19 @@ def test_isolated_nodes(spark):
     assert sorted(r["node_id"] for r in graph.without_isolated(rows, edges).collect()) == [1, 2, 4]
     assert dict(graph.degrees(spark.createDataFrame([(1, 2), (2, 2)], "src long, dst long")).collect()) == {1: 1, 2: 2}
     _ = F
+
+
+def test_costs_by_stretch_are_those_of_one_search(spark):
+    """Random edges that lead on and back over many stretches, in all sizes; and no edges at all."""
+    rng = random.Random(17)
+    edges = {(a, b): rng.randrange(0, 30) for a in range(300) for b in (a + 1, a + 7, a - 11, rng.randrange(300)) if 0 <= b < 300 and a != b and rng.random() < 0.6}
+    best, changed = {3: 0}, True
+    while changed:
+        changed = False
+        for (a, b), c in edges.items():
+            if a in best and best[a] + c < best.get(b, 10**9):
+                best[b], changed = best[a] + c, True
+    frame = spark.createDataFrame([(a, b, c) for (a, b), c in edges.items()], "src long, dst long, cost long")
+    for size in (1000, 90, 16):
+        assert {r["node"]: r["cost"] for r in search_queries.costs_by_stretch(frame, 3, size).collect()} == best
+    assert [tuple(r) for r in search_queries.costs_by_stretch(frame.limit(0), 0).collect()] == [(0, 0)]
