@@ -374,6 +374,28 @@ def whole(texts):
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def test_driver_holds_the_model_alone(spark, monkeypatch):
+    """The sample of texts is fitted in a task, not on the driver."""
+    texts = [(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 15)) + ("!!!" if i % 3 else " Ab")) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in texts], "doc_id long, quality int")
+    seen = [(i, t) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    marks = np.array([int(i % 3 > 0) for i, _ in seen])
+    plain = quality_classifier.fit([t.encode() for _, t in seen], marks, marks.mean())
+
+    fit = quality_classifier.fit
+
+    def in_task(*args):
+        from pyspark import TaskContext
+
+        assert TaskContext.get() is not None, "on the driver"
+        return fit(*args)
+
+    monkeypatch.setattr(quality_classifier, "fit", in_task)
+    found = quality_classifier.train(docs, labels)
+    assert (found.letters == plain.letters).all() and np.allclose(found.w1, plain.w1) and found.temperature == plain.temperature
+
+
 def test_words_give_the_ids_of_whole_texts():
     rng = random.Random(1)
     letters = "aéßÉZ$# '́̈ \x85\x1c\x0b\x0cΣİ9٣中🙂‍'sT<|endoftext|>\n\t.,÷×ø"

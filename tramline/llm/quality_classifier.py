@@ -8,7 +8,7 @@ mean and the spread of its words' vectors and by how much neighbouring words
 agree. A network with one hidden layer turns this into a log-odds, and a single
 temperature, fitted on documents that the weights have not seen, calibrates it.
 
-The network and the word vectors are fitted on the driver from at most
+The network and the word vectors are fitted in one task from at most
 `sample` labelled rows of each class (a documented bound; those with the smallest
 keyed hash of their id, texts over TEXT_BYTES behind all others) that hold SAMPLE_BYTES
 together; a long text thus takes no other's place, and a class always keeps at least one
@@ -25,6 +25,7 @@ ignored; language, source and id never enter a score.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -176,7 +177,7 @@ def fit(texts: list[bytes], label: np.ndarray, share: float, seed: int = 5) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows of docs outside fold 0; collects at most 2 * sample texts, one an id, of 2 * SAMPLE_BYTES (or one text a class, if its shortest is longer)."""
+    """Learns from labelled rows of docs outside fold 0; one task has at most 2 * sample texts, one an id, of 2 * SAMPLE_BYTES (or one text a class, if its shortest is longer)."""
     sizes = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("bytes")).groupBy("id").agg(F.max("bytes").alias("bytes"))
     seen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (hashed_fold("id", folds) != 0)).join(sizes, "id")
     seen = materialize(seen, "op2-labels")
@@ -191,8 +192,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most 2 * sample rows of 12 bytes: small enough to send to every executor.
     picked = chosen[0].union(chosen[1]).withColumn("_fits", fits).where("_fits").select("id", "label").distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
-    pdf = rows.groupBy("id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["id", "label", "text"])
-    return fit([t.encode() for t in pdf["text"]], pdf["label"].to_numpy(int), count.get(1, 0) / sum(count.values()))
+    share = count.get(1, 0) / sum(count.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held).sort_by([("id", "ascending"), ("label", "ascending")]) if held else pa.table({"label": pa.array([], pa.int32()), "text": pa.array([], pa.string())})
+        texts = [t.encode() for t in table.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, table.column("label").to_numpy().astype(int), share))], pa.binary())], ["model"])
+
+    # One task has the bounded sample, so that the driver holds no texts, only the model.
+    fitted = rows.groupBy("id", "label").agg(F.min("text").alias("text")).repartition(1).mapInArrow(run, "model binary")
+    return pickle.loads(bytes(fitted.collect()[0]["model"]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

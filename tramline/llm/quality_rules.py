@@ -124,11 +124,12 @@ def _on_grid(x: Column) -> Column:
 def _estimates(rows: DataFrame, by: list[str], names: list[str], floors: list[float], steps: int, keep_share: float) -> DataFrame:
     """(by, m_i, l_i_j, group_rows) of each group."""
     q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    start = rows.groupBy(*by).agg(*(F.percentile(_on_grid(F.col(n)), q).alias(f"q_{i}") for i, n in enumerate(names)))
-    start = start.select(*by, *((F.col(f"q_{i}")[1] / GRID).alias(f"m_{i}") for i in range(len(names))), *((((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / GRID / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))))
+    start = rows.groupBy(*by).agg(F.count("*").alias("group_rows"), *(F.percentile(_on_grid(F.col(n)), q).alias(f"q_{i}") for i, n in enumerate(names)))
+    start = start.select(*by, "group_rows", *((F.col(f"q_{i}")[1] / GRID).alias(f"m_{i}") for i in range(len(names))), *((((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / GRID / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))))
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     path = fresh_path(rows.sparkSession, "op7-estimates")
-    params, old = materialize(_cholesky(start, names, floors), "", f"{path}-start"), f"{path}-start"
+    params, old = materialize(_cholesky(start, names, floors), "", f"{path}-start"), ""
+    group_rows = params.select(*by, "group_rows")
     upto = Window.partitionBy(*by).orderBy("ring")
     for step in range(steps):
         # Rows by rings around the centre: the inner ones, up to the share to concentrate on, give the next estimate.
@@ -150,11 +151,14 @@ def _estimates(rows: DataFrame, by: list[str], names: list[str], floors: list[fl
         params = materialize(newer, "", f"{path}-{step}")
         going = not step or params.where("falls").limit(1).count()
         params = params.drop("falls")
-        removed(rows.sparkSession, old)
+        if old:
+            removed(rows.sparkSession, old)
         old = f"{path}-{step}"
         if not going:
             break
-    return materialize(_joined(params, rows.groupBy(*by).agg(F.count("*").alias("group_rows")), by), "op7-levels")
+    levels = materialize(_joined(params.drop("group_rows"), group_rows, by), "op7-levels")
+    removed(rows.sparkSession, f"{path}-*")
+    return levels
 
 
 def _drawn(params: DataFrame, keys: list[str], names: list[str], floors: list[float], prior_rows: int) -> DataFrame:
