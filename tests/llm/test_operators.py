@@ -471,6 +471,30 @@ def test_token_files(docs, tmp_path):
     assert mixing_coder.store(docs.limit(0)).count() == 0
 
 
+def test_small_partitions_are_coded_side_by_side(spark):
+    """More partitions than tasks: files stay in the order of ids, a task has several, and every document is there once."""
+    texts = [(i * 7 % 997, " ".join(f"w{i % 13} ab{i % 5}" for _ in range(i % 40))) for i in range(997)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    names = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        path = mixing_coder.fresh_path(spark, "ids")
+        files = mixing_coder.write(docs, path, "doc_id", "text", 2, None)
+        rows_of = files.orderBy("part").collect()
+        found = mixing_coder.read(files, path).orderBy("id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows_of) > 20 and len({r["task"] for r in rows_of}) <= spark.sparkContext.defaultParallelism
+    at = 0
+    for r, (i, _), x in zip(found, sorted(texts), whole([t for _, t in sorted(texts)]), strict=True):
+        ids = np.array([*x, 2], "<u4")
+        assert (r["id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_damage_is_noticed():
     import io
 

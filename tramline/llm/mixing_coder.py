@@ -40,6 +40,8 @@ from tramline.llm.tokens import shared_words
 END, MAGIC = 2, b"TLCM\3\0\0\0"
 #: Tokens of a block, and about so many of a segment: what a task holds at a time.
 BLOCK, SEGMENT = 8_192, 6_000_000
+#: A task has partitions of about so many bytes of text.
+TASK_BYTES = 8 << 20
 #: Slots of the order-2 table, levels of confidence, ranges of unseen ids, and seen ids that share a row of counts.
 _SLOTS, _CONF, _RANGES, _ROW = 16_384, 16, 32, 32
 _U, _SHIFT, _LOW = np.uint64, np.uint64(16), np.uint64((1 << 48) - 1)
@@ -291,10 +293,21 @@ def decode_blocks(coded: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
     return [out[: lengths[i], i].astype(np.int64) for i in range(n)]
 
 
-def segment(ids: np.ndarray, docs: pa.RecordBatch, block: int = BLOCK) -> bytes:
-    """Length, document table and blocks of a run of documents."""
-    parts = [ids[i : i + block] for i in range(0, len(ids), block)]
-    coded = encode_blocks(parts)
+def side_by_side(blocks: list[np.ndarray]) -> list[bytes]:
+    """Codes blocks in any order of length."""
+    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
+    coded = dict(zip(order, encode_blocks([blocks[i] for i in order]), strict=True))
+    return [coded[i] for i in range(len(blocks))]
+
+
+def cut(ids: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
+    return [ids[i : i + block] for i in range(0, len(ids), block)]
+
+
+def segment(ids: np.ndarray, docs: pa.RecordBatch, block: int = BLOCK, coded: list[bytes] | None = None) -> bytes:
+    """Length, document table and blocks of a run of documents; coded: its blocks, if they are coded already."""
+    parts = cut(ids, block)
+    coded = side_by_side(parts) if coded is None else coded
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, docs.schema) as writer:
         writer.write_batch(docs)
@@ -304,8 +317,8 @@ def segment(ids: np.ndarray, docs: pa.RecordBatch, block: int = BLOCK) -> bytes:
     return struct.pack("<QL", len(body), zlib.crc32(body[: 8 + len(table) + len(index)])) + body
 
 
-def segments(source: object) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """(documents, ids) of each segment of an open file, one at a time."""
+def coded_segments(source: object) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[int]]]:
+    """(documents, coded blocks, their ids) of each segment of an open file, one at a time."""
     if source.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a file of coded token ids")
     while head := source.read(12):
@@ -324,53 +337,94 @@ def segments(source: object) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
             at += length
             if zlib.crc32(coded[-1]) != check:
                 raise ValueError("a block is damaged")
-        yield docs, np.concatenate(decode_blocks(coded, np.array(lengths)))
+        yield docs, coded, lengths
+
+
+def decoded(held: list[tuple[pa.RecordBatch, list[bytes], list[int]]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(documents, ids) of coded segments, all of whose blocks are decoded side by side."""
+    coded, lengths = [c for _, x, _ in held for c in x], np.array([n for _, _, x in held for n in x], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    found = dict(zip(order.tolist(), decode_blocks([coded[i] for i in order], lengths[order]), strict=True))
+    at = 0
+    for docs, blocks, _ in held:
+        yield docs, np.concatenate([found[i] for i in range(at, at + len(blocks))])
+        at += len(blocks)
+
+
+def segments(source: object) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(documents, ids) of each segment of an open file, one at a time."""
+    for one in coded_segments(source):
+        yield from decoded([one])
 
 
 def write(docs: DataFrame, path: str, id_col: str, text_col: str, end: int, tokenizer: str | None) -> DataFrame:
-    """(part, file, docs, tokens), one row a file; files in ascending order of ids."""
+    """(part, file, docs, tokens, task), one row a file; files in ascending order of ids.
+
+    A file is a partition of the sorted documents. A step of the model costs about the same for one block as for many, so
+    where partitions are small a task has several, and codes their blocks side by side.
+    """
     # Rows that repeat an id are parted by a hash of their texts, so that no id is more than one task's.
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_order"))
+    size = source.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     source = source.repartitionByRange("id", "_order").sortWithinPartitions("id", "_order", "text").drop("_order")
+    source = source.withColumn("_part", F.spark_partition_id()).coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
     tail = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
-        task, words, out = TaskContext.get(), shared_words(tokenizer), None
-        name, tmp = f"{root}/part-{task.partitionId():06d}.ids", f"{root}/.{task.taskAttemptId()}.tmp"
-        # Documents (ids, tokens) of the segment that is filled, and of a full one that waits: a short rest joins it.
-        filled, full, size, n_docs, n_tokens = ([], []), ([], []), 0, 0, 0
-
-        def flush(keys: list, held: list) -> None:
-            table = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array([len(x) // 4 for x in held], pa.int64())], ["id", "n_tokens"])
-            out.write(segment(np.frombuffer(b"".join(held), "<u4").astype(np.int64), table))
-
-        for part, texts in slices(batches, "text", 1 << 20):
-            if out is None:
-                store.create_dir(root, recursive=True)
-                out = store.open_output_stream(tmp, compression=None)
-                out.write(MAGIC)
-            found = [words.encode(t) + tail for t in texts]
-            filled[0].append(column(part, "id"))
-            filled[1].extend(found)
-            more = sum(map(len, found)) // 4
-            size, n_docs, n_tokens = size + more, n_docs + len(found), n_tokens + more
-            if size >= SEGMENT:
-                if full[0]:
-                    flush(*full)
-                filled, full, size = ([], []), filled, 0
-        if out is not None:
-            if full[0] and size < SEGMENT // 2:
-                flush(full[0] + filled[0], full[1] + filled[1])
-            else:
-                for kept in (full, filled):
-                    if kept[0]:
-                        flush(*kept)
-            out.close()
-            store.move(tmp, name)
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([n_docs]), pa.array([n_tokens])], ["part", "file", "docs", "tokens"])
-
-    return materialize(source.mapInArrow(run, "part int, file string, docs bigint, tokens bigint"), "op8-files")
+        task, words, out = TaskContext.get(), shared_words(tokenizer), {}
+        # Runs (part, ids, tokens) of the segments that are filled, and of full ones that wait: a short rest joins them.
+        filled, full, size, done = [], [], 0, {}
+        name = lambda part: f"{root}/part-{part:06d}.ids"
+        tmp = lambda part: f"{root}/.{part}-{task.taskAttemptId()}.tmp"
+
+        def flush(runs: list[tuple[int, list, list]]) -> None:
+            ids = [np.frombuffer(b"".join(held), "<u4").astype(np.int64) for _, _, held in runs]
+            blocks = [cut(x) for x in ids]
+            coded = iter(side_by_side([b for x in blocks for b in x]))
+            for (part, keys, held), mine, x in zip(runs, ids, blocks, strict=True):
+                table = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array([len(y) // 4 for y in held], pa.int64())], ["id", "n_tokens"])
+                if part not in out:
+                    store.create_dir(root, recursive=True)
+                    out[part] = store.open_output_stream(tmp(part), compression=None)
+                    out[part].write(MAGIC)
+                out[part].write(segment(mine, table, coded=[next(coded) for _ in x]))
+
+        def closed(going: int | None) -> Iterator[pa.RecordBatch]:
+            """Names files for good, but for that of the partition that is going on."""
+            for part in [p for p in out if p != going]:
+                out.pop(part).close()
+                store.move(tmp(part), name(part))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name(part)]), pa.array([done[part][0]]), pa.array([done[part][1]]), pa.array([task.partitionId()], pa.int32())], ["part", "file", "docs", "tokens", "task"])
+
+        for batch, texts in slices(batches, "text", 1 << 20):
+            parts = column(batch, "_part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part, found = int(parts[a]), [words.encode(t) + tail for t in texts[a:b]]
+                if not filled or filled[-1][0] != part:
+                    filled.append((part, [], []))
+                filled[-1][1].append(column(batch, "id").slice(a, b - a))
+                filled[-1][2].extend(found)
+                more, had = sum(map(len, found)) // 4, done.get(part, (0, 0))
+                size, done[part] = size + more, (had[0] + len(found), had[1] + more)
+                if size >= SEGMENT:
+                    if full:
+                        flush(full)
+                        yield from closed(full[-1][0])
+                    filled, full, size = [], filled, 0
+        if full and size < SEGMENT // 2:
+            if filled and filled[0][0] == full[-1][0]:
+                (_, keys, held), *filled = filled
+                full[-1][1].extend(keys)
+                full[-1][2].extend(held)
+            filled, full = full + filled, []
+        for runs in (full, filled):
+            if runs:
+                flush(runs)
+        yield from closed(None)
+
+    return materialize(source.mapInArrow(run, "part int, file string, docs bigint, tokens bigint, task int"), "op8-files")
 
 
 def read(files: DataFrame, path: str, kind: str = "bigint") -> DataFrame:
@@ -380,19 +434,36 @@ def read(files: DataFrame, path: str, kind: str = "bigint") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(path)
+
+        def found(held: list, starts: list[int]) -> Iterator[pa.RecordBatch]:
+            for (docs, ids), start in zip(decoded(held), starts, strict=True):
+                n = docs.column(1).to_numpy()
+                ends = np.cumsum(n)
+                data = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(data[4 * (b - a) : 4 * b]) for a, b in zip(n.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(start + ends - n), docs.column(1), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+
+        held, starts, size = [], [], 0
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_stream(name, compression=None) as source:
-                    for docs, ids in segments(source):
-                        n = docs.column(1).to_numpy()
-                        ends = np.cumsum(n)
-                        data = memoryview(ids.astype("<u4").tobytes())
-                        crc = [zlib.crc32(data[4 * (b - a) : 4 * b]) for a, b in zip(n.tolist(), ends.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(start + ends - n), docs.column(1), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
-                        start += int(ends[-1])
-
-    n = max(1, files.count())
-    return files.select("file", before.cast("bigint").alias("start")).repartitionByRange(n, "start").mapInArrow(run, f"id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+                    for one in coded_segments(source):
+                        more = sum(one[2])
+                        if held and size + more > SEGMENT:
+                            yield from found(held, starts)
+                            held, starts, size = [], [], 0
+                        held.append(one)
+                        starts.append(start)
+                        size, start = size + more, start + more
+        if held:
+            yield from found(held, starts)
+
+    # Small files that follow each other are one task's, so that their blocks are decoded side by side.
+    tokens = files.agg(F.sum("tokens")).head()[0] or 0
+    share = max(1, min(SEGMENT // 2, -(-tokens // files.sparkSession.sparkContext.defaultParallelism)))
+    placed = files.select("file", before.cast("bigint").alias("start")).withColumn("group", F.expr(f"start div {share}"))
+    n = max(1, placed.select("group").distinct().count())
+    return placed.repartitionByRange(n, "group").select("file", "start").mapInArrow(run, f"id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end: int = END, tokenizer: str | None = None) -> DataFrame:
