@@ -461,6 +461,34 @@ def test_coded_blocks_are_well_below_zlib():
     assert sum(map(len, coded)) < 0.9 * zipped and sum(map(len, coded)) * 8 < 1.05 * ideal
 
 
+def test_blocks_of_a_segment_share_their_model():
+    """Blocks learn from each other, and segments decode alike whichever they are coded and decoded with."""
+    rng = np.random.default_rng(6)
+    phrases = [rng.integers(0, 49408, 12) for _ in range(300)]
+    runs = [[np.concatenate([phrases[i] for i in rng.integers(0, 300, m)]) for _ in range(n)] for n, m in ((40, 20), (1, 1), (7, 33), *[(2, 5)] * 40)]
+    coded = mixing_coder.side_by_side(runs)
+    assert sum(map(len, coded[0])) < 0.7 * sum(len(mixing_coder.encode_blocks([b])[0]) for b in runs[0])
+    for some in ([0], [2, 1, 0], range(len(runs))):
+        held = [(None, coded[i], [len(b) for b in runs[i]]) for i in some]
+        for i, (_, ids) in zip(some, mixing_coder.decoded(held), strict=True):
+            assert (ids == np.concatenate(runs[i])).all()
+    with pytest.raises(ValueError, match="65,536"):
+        mixing_coder.encode_blocks([np.array([1, 65536])])
+
+
+def test_words_are_looked_up_once_for_many_texts():
+    from tramline.llm.tokens import WordIds
+
+    words = WordIds()
+    texts = [b"", b" ", b"Plain words, and marks. Plain words, (and) marks!!", b"A'b. c's, 12. x) ,, ! d3, e-f. <|endoftext|>", b"e\xcc\x81 B.", "Día, ñandú. 字, 字.".encode(), b"\xff\xfe ok.\x0b\x1cok."]
+    for some in ([], texts[:1], texts, texts[::-1] * 2):
+        ids, n = words.encode_all(some, b"\2\0\0\0")
+        assert ids.tobytes() == b"".join(words.encode(t) + b"\2\0\0\0" for t in some)
+        assert n.tolist() == [len(words.encode(t)) // 4 + 1 for t in some]
+    ids, _ = words.encode_all(["Día, ñandú. 字, 字. ab, cd.".encode()])
+    assert ids.tolist() == words.library.encode("Día, ñandú. 字, 字. ab, cd.", add_special_tokens=False).ids
+
+
 def test_token_files(docs, tmp_path):
     found = {r["doc_id"]: r for r in mixing_coder.store(docs).collect()}
     at = 0

@@ -1,19 +1,19 @@
 """Token ids in files, coded by an adaptive context-mixing range coder.
 
-Ids are cut into blocks that are coded independently: every block starts with a
-fresh model and carries a checksum. Within a block, a hashed table of the two ids
-before (order 2) and one of the id before (order 1) each predict the next id, with
-a confidence; order 0 counts every id of the block. Order 2's guess, or order 1's
-where there is none, holds with a probability that is mixed in the logistic domain
-from the adaptive hit rates of both orders by confidence and from the guess's
-order-0 share, by weights that learn as they go. What is not guessed is coded by
-the order-0 counts, with an escape to ids that the block has not held so far, which
-have an adaptive distribution over ranges of ids. All arithmetic is in integers, so
+Ids are cut into blocks, each with a range coder and a checksum of its own; a segment
+is as many blocks as a task holds, and they share a model, which is decoded with all of
+them. A hashed table of the two ids before (order 2) and one of the id before (order 1)
+each predict the next id, with a confidence; order 0 counts every id. Order 2's guess, or
+order 1's where there is none, holds with a probability that is mixed in the logistic
+domain from the hit rates of both orders by confidence and from the guess's order-0
+share, by weights that each block learns as it goes. What is not guessed is coded by the
+order-0 shares, which are drawn up from the counts anew each time that the steps have
+grown by half; ids not seen so far have a share too. All arithmetic is in integers, so
 files decode alike on any machine.
 
-Blocks of a segment are coded side by side: each step of the model runs once over
-the arrays of all blocks. A file holds segments; a segment holds a table of its
-documents and its blocks. Files appear under their final name only when whole.
+Blocks go side by side: each step of the model runs once over the arrays of all
+blocks. A file holds segments; a segment holds a table of its documents and its
+blocks. Files appear under their final name only when whole.
 
 Nulls: a null text is an empty text, which is its end id alone; a null id sorts
 first and is carried. Rows that repeat an id are in the order of a hash of their texts. Very
@@ -37,267 +37,228 @@ from pyspark.sql import functions as F
 from tramline.llm.common import column, fresh_path, materialize, slices
 from tramline.llm.tokens import shared_words
 
-END, MAGIC = 2, b"TLCM\3\0\0\0"
+END, MAGIC = 2, b"TLCM\4\0\0\0"
 #: Tokens of a block, and about so many of a segment: what a task holds at a time.
-BLOCK, SEGMENT = 8_192, 6_000_000
+BLOCK, SEGMENT = 2_048, 6_000_000
 #: A task has partitions of about so many bytes of text.
 TASK_BYTES = 8 << 20
-#: Slots of the order-2 table, levels of confidence, ranges of unseen ids, and seen ids that share a row of counts.
-_SLOTS, _CONF, _RANGES, _ROW = 16_384, 16, 32, 32
-_U, _SHIFT, _LOW = np.uint64, np.uint64(16), np.uint64((1 << 48) - 1)
+#: Segments whose blocks go side by side at most: each has tables of its own.
+TOGETHER = 32
+#: Ids, levels of confidence, and bits of the shares of order 0.
+_IDS, _CONF, _BITS = 1 << 16, 16, 20
+_U = np.uint64
+_SCALE, _FLAG, _HALF, _LOW, _SMALL = _U(_BITS), _U(12), _U(32), _U(0xFFFFFFFF), _U(1 << 32)
+# Logistic function and its inverse in fixed point: 12-bit probabilities against a domain of 8 fractional bits.
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 16, 4080).astype(np.int32)
+STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
 
 
-def id_ranges() -> tuple[np.ndarray, np.ndarray]:
-    """Ranges of 16-bit ids: start and size. Four of equal size up to 512, then growing evenly in the logarithm."""
-    edges = [128 * i for i in range(4)] + [round(512 * 128 ** (i / (_RANGES - 4))) for i in range(_RANGES - 3)]
-    edges = np.array(edges, np.int64)
-    return edges[:-1], np.diff(edges)
+def active(lengths: np.ndarray) -> list[int]:
+    """How many blocks take part in each step; lengths in descending order."""
+    return np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left").tolist()
 
 
-STARTS, SIZES = id_ranges()
-RANGE_OF = np.repeat(np.arange(_RANGES), SIZES).astype(np.int32)
-# Logistic function and its inverse in fixed point: 12-bit probabilities against a domain of 8 fractional bits.
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 16, 4080).astype(np.int32)
-STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
-#: What a count at each place of a row adds to the places behind it.
-_BEHIND, _WHOLE = np.triu(np.full((_ROW, _ROW), 2, np.int16), 1), np.dtype(f"V{2 * _ROW}")
+def turned(table: np.ndarray) -> np.ndarray:
+    """Rows as columns, by bands that stay in the cache."""
+    out = np.empty(table.shape[::-1], table.dtype)
+    long = table.shape[0] > table.shape[1]
+    for a in range(0, min(table.shape), 64):
+        if long:
+            out[a : a + 64] = table[:, a : a + 64].T
+        else:
+            out[:, a : a + 64] = table[a : a + 64].T
+    return out
 
 
 class Lanes:
-    """Model and coder state of n blocks, advanced together; the first k take part in a step.
+    """Model of n blocks, advanced together; the first k take part in a step.
 
-    Ids go by their rank: the order in which a block first holds them, so the next unseen id has the rank `seen`. An id counts 2 for
-    each place, "unseen" counts seen + 1. Counts are running sums: `top` of rows of ranks, `row` within a row. Tables of orders
-    1 and 2 hold rank * 16 + confidence.
+    `held` has tables of guesses (guess * 16 + confidence), `tally` has misses and hits by confidence, and `counts` has the
+    ids: one of each a segment, learnt from all its blocks. Shares of order 0 follow from the counts each time that the
+    steps have grown by half. Weights are a block's own.
     """
 
-    def __init__(self, n: int, steps: int):
-        self.n, self.lane = n, np.arange(n)
-        self.size = -(-max(1, steps) // _ROW) * _ROW
-        self.low, self.range = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
-        self.one, self.two, self.seen = (np.zeros(n, np.int64) for _ in range(3))
-        self.first = np.zeros(n * self.size, np.int32)
-        self.second = np.zeros(n * _SLOTS, np.int32)
-        self.count = np.zeros(n * self.size, np.int16)
-        self.row = np.zeros((n * (self.size // _ROW), _ROW), np.int16)
-        self.top, self.used = np.zeros((self.size // _ROW + 2, n), np.int16), 1
-        self.rate = np.full(3 * _CONF * n, 1 << 9, np.int32)
+    def __init__(self, lengths: np.ndarray, of: np.ndarray):
+        n, self.lengths = len(lengths), lengths
+        tokens = np.bincount(of, weights=lengths).astype(np.int64)
+        segments = len(tokens)
+        slots = np.array([1 << min(18, max(8, int(t).bit_length() - 2)) for t in tokens], np.int64)
+        ends = segments * _IDS + np.cumsum(slots)
+        self.held = np.zeros(int(ends[-1]) if n else 0, np.int32)
+        self.base, self.mask, self.slots = of * _IDS, slots[of] - 1, (ends - slots)[of]
+        self.shares, self.levels = of << _BITS, np.array([[0], [_CONF]]) + of * (3 * _CONF)
+        self.tally = np.tile(np.array([7, 1]), (3 * _CONF * segments, 1))
         self.weight = np.full((3, n), 1 << 15, np.int32)
-        self.below = np.repeat(np.arange(0, 2 * _RANGES + 1, 2, dtype=np.int32)[:, None], n, axis=1)
-        self.rows = np.arange(max(_RANGES, self.size // _ROW) + 2, dtype=np.int16)[:, None]
-        self.base, self.slots, self.groups = self.lane * self.size, self.lane * _SLOTS, self.lane * (self.size // _ROW)
-
-    def predict(self, k: int, step: int) -> tuple:
+        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.counts = np.zeros((segments, _IDS), np.int64)
+        # An id's start and size among the shares, in one number, and what its share is to the mixture.
+        self.place, self.often = np.zeros(segments * _IDS, _U), np.zeros(segments * _IDS, np.int32)
+        self.id_at = np.zeros(segments << _BITS, np.uint16)
+        self.known, self.due = 0, 0
+
+    def share(self, step: int, ids: np.ndarray, back: bool) -> None:
+        """Shares from the ids of all steps so far; back: also the id of each. Each id has some; those not seen have as much as new ones did."""
+        for a in range(self.known, step, 256):
+            b = min(step, a + 256)
+            some = ids[a:b] + self.base if len(self.counts) > 1 else ids[a:b]
+            some = some.ravel() if self.lengths[-1] >= b else some[np.arange(a, b)[:, None] < self.lengths]
+            self.counts += np.bincount(some, minlength=self.counts.size).reshape(self.counts.shape)
+        self.known, self.due = step, max(step + 1, step * 3 // 2)
+        for i, counts in enumerate(self.counts):
+            total, kinds = int(counts.sum()), int(np.count_nonzero(counts))
+            floor = max(1, (16 * kinds) // (total + kinds)) if total else 16
+            ends = np.arange(1, _IDS + 1) * floor
+            ends += np.cumsum(counts) * ((1 << _BITS) - floor * _IDS) // max(1, total)
+            if not total:
+                ends[-1] = 1 << _BITS
+            size = np.diff(ends, prepend=0)
+            mine = slice(i * _IDS, (i + 1) * _IDS)
+            self.place[mine] = (ends - size).astype(_U) << _HALF | size.astype(_U)
+            self.often[mine] = STRETCH.take(size >> _BITS - 12)
+            if back:
+                self.id_at[i << _BITS : i + 1 << _BITS] = np.repeat(np.arange(_IDS, dtype=np.uint16), size)
+
+    def predict(self, k: int) -> tuple:
         """(guess, its chance of 4096, what `learn` needs): order 2's guess, or order 1's where there is none."""
-        lane, one, two, base = self.lane[:k], self.one[:k], self.two[:k], self.base[:k]
-        at1, at2 = base + one, self.slots[:k] + (two * 6_007 + one * 30_011 >> 3 & _SLOTS - 1)
-        held1, held2 = self.first.take(at1), self.second.take(at2)
-        sure1, sure2 = held1 & 15, held2 & 15
-        guess1, guess2 = held1 >> 4, held2 >> 4
-        guess = np.where(sure2 > 0, guess2, guess1)
-        where = np.empty((2, k), np.int64)
-        where[0] = sure2
-        where[1] = (sure1 << 1) + (guess1 == guess) + _CONF
-        where *= self.n
-        where += lane
-        rate = self.rate.take(where)
-        often = (self.count.take(base + guess).astype(np.int32) << 12) // (self.seen[:k] + (2 * step + 1)).astype(np.int32)
+        at = np.empty((2, k), np.int64)
+        at[0] = self.slots[:k] + ((self.two[:k] * 40_503 + self.one[:k] * 3_266_489_917 >> 11) & self.mask[:k])
+        np.add(self.base[:k], self.one[:k], out=at[1])
+        held = self.held.take(at)
+        sure, guesses = held & _CONF - 1, held >> 4
+        guess = np.where(sure[0] > 0, guesses[0], guesses[1])
+        level = self.levels[:, :k] + sure
+        level[1] += sure[1]
+        level[1] += guesses[1] == guess
+        rate = STRETCH.take((self.tally[:, 1] << 12) // self.tally.sum(axis=1))
         signal = np.empty((3, k), np.int32)
-        STRETCH.take(rate, out=signal[:2], mode="clip")
-        STRETCH.take(often, out=signal[2], mode="clip")
-        dot = (self.weight[:, :k] * signal).sum(axis=0, dtype=np.int32) >> 16
+        rate.take(level, out=signal[:2], mode="clip")
+        self.often.take(self.base[:k] + guess, out=signal[2], mode="clip")
+        mixed = self.weight[:, :k] * signal
+        dot = mixed[0] + mixed[1]
+        dot += mixed[2]
+        dot >>= 16
         dot += 2048
-        return guess, SQUASH.take(dot, mode="clip"), (at1, at2, guess1, guess2, sure1, sure2, where, rate, signal)
+        return guess, SQUASH.take(dot, mode="clip"), (at, held, sure, guesses, level, signal)
 
-    def learn(self, k: int, x: np.ndarray, hit: np.ndarray, chance: np.ndarray, known: tuple) -> None:
-        at1, at2, guess1, guess2, sure1, sure2, where, rate, signal = known
-        target = hit.astype(np.int32) << 12
-        weight = self.weight[:, :k]
-        signal *= target - chance
+    def learn(self, k: int, step: int, x: np.ndarray, hit: np.ndarray, chance: np.ndarray, known: tuple) -> None:
+        at, held, sure, guesses, level, signal = known
+        signal *= (hit.astype(np.int32) << 12) - chance
         signal >>= 10
+        weight = self.weight[:, :k]
         weight += signal
-        np.minimum(weight, 1 << 18, out=weight)
-        np.maximum(weight, -(1 << 18), out=weight)
-        # Rounding down keeps rates within 0 and 4095.
-        rate += (target - rate) >> 4
-        self.rate[where] = rate
-        fresh = (x << 4 | 1).astype(np.int32)
-        again = fresh - 1
-        for table, at, guess, sure in ((self.first, at1, guess1, sure1), (self.second, at2, guess2, sure2)):
-            table[at] = np.where(guess == x, again + np.minimum(sure + 1, _CONF - 1), np.where(sure > 1, guess << 4 | sure >> 1, fresh))
+        # Weights move by less than 2 ** 13 a step, so they stay under 3 * 2 ** 16 and their sums under 2 ** 31.
+        if step & 7 == 7:
+            np.minimum(weight, 1 << 17, out=weight)
+            np.maximum(weight, -(1 << 17), out=weight)
+        level <<= 1
+        level += hit
+        self.tally += np.bincount(level.ravel(), minlength=self.tally.size).reshape(self.tally.shape)
+        x32 = x.astype(np.int32)
+        # Where blocks meet in a place, the last one's stays.
+        self.held[at] = np.where(guesses == x32, held + (sure < _CONF - 1), np.where(sure > 1, held - sure + (sure >> 1), x32 << 4 | 1))
         self.two[:k] = self.one[:k]
         self.one[:k] = x
 
-    def add(self, k: int, x: np.ndarray, new: np.ndarray, step: int) -> None:
-        """Counts x; new: where it was unseen. Rows of ranks that no block has reached are filled in once one does."""
-        group = x >> 5
-        at = self.base[:k] + x
-        self.count[at] = self.count.take(at) + np.int16(2)
-        at = self.groups[:k] + group
-        self.row.view(_WHOLE)[at, 0] = (self.row.take(at, axis=0) + _BEHIND.take(x & _ROW - 1, axis=0)).view(_WHOLE)[:, 0]
-        if int(self.seen[:k].max()) >> 5 >= self.used - 1:
-            self.used += 1
-            self.top[self.used] = 2 * step
-        self.top[1 : self.used + 1, :k] += (self.rows[1 : self.used + 1] > group.astype(np.int16)).view(np.int8) << 1
-        self.seen[:k] += new
-
-    def count_range(self, rows: np.ndarray, which: np.ndarray) -> None:
-        self.below[:, rows] += (self.rows[: _RANGES + 1] > which.astype(np.int16)).view(np.int8) << 3
-
-    def settle(self, k: int):
-        """Rows whose top 16 bits are fixed, again and again; a range that is too small is cut so that they are."""
-        rows, low, span = None, self.low[:k], self.range[:k]
-        while True:
-            fixed = (low ^ (low + span)) <= _LOW
-            small = ~fixed & (span <= _LOW)
-            if small.any():
-                span = np.where(small, (~low + _U(1)) & _LOW, span)
-                fixed |= small
-            mine = np.flatnonzero(fixed)
-            if not len(mine):
-                return
-            low, span = low[mine], span[mine]
-            rows = mine if rows is None else rows[mine]
-            yield rows, low
-            low, span = low << _SHIFT, span << _SHIFT
-            self.low[rows], self.range[rows] = low, span
-
-
-def flag(low: np.ndarray, span: np.ndarray, chance: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes a yes at the bottom of the range, a no above it."""
-    part = (span >> _U(12)) * chance.astype(_U)
-    return np.where(hit, low, low + part), np.where(hit, part, span - part)
-
-
-def ranked(block: np.ndarray) -> np.ndarray:
-    """Ids by the order in which the block first holds them."""
-    place, rank = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
-    order = np.arange(len(block), dtype=np.int32)
-    place[block[::-1]] = order[::-1]
-    first = block[place[block] == order]
-    rank[first] = np.arange(len(first), dtype=np.int32)
-    return rank[block]
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Blocks in descending order of length, ids under 2 ** 16."""
+
+def encode_blocks(blocks: list[np.ndarray], of: np.ndarray | None = None) -> list[bytes]:
+    """Blocks in descending order of length, ids under 2 ** 16; of: the segment of each, from 0."""
     n = len(blocks)
     lengths = np.array([len(b) for b in blocks], np.int64)
-    steps = int(lengths[0]) if n else 0
-    lanes = Lanes(n, steps)
-    ids, ranks = np.zeros((steps, n), np.uint16), np.zeros((steps, n), np.int16)
+    lanes = Lanes(lengths, np.zeros(n, np.int64) if of is None else of)
+    steps = active(lengths)
+    rows = np.zeros((n, len(steps)), np.uint16)
     for i, b in enumerate(blocks):
-        ids[: len(b), i], ranks[: len(b), i] = b, ranked(b)
-    width = steps * 3 + 8
-    out, pos = np.zeros(n * width, ">u2"), np.arange(n) * width
-    starts, sizes = STARTS.astype(_U), SIZES.astype(_U)
-    for step in range(steps):
-        k = n if lengths[-1] > step else int(np.searchsorted(-lengths, -step))
-        x, seen = ranks[step, :k].astype(np.int64), lanes.seen[:k]
-        guess, chance, known = lanes.predict(k, step)
-        new = x == seen
-        hit = (guess == x) & ~new
-        low, span = flag(lanes.low[:k], lanes.range[:k], chance, hit)
-        group, at = x >> 5, lanes.base[:k] + x
-        # The escape to unseen ids lies below all counts.
-        start = np.where(new, 0, lanes.top.ravel().take(group * n + lanes.lane[:k]) + lanes.row.ravel().take(at) + (seen + 1))
-        size = np.where(new, seen + 1, lanes.count.take(at))
-        unit = span // (seen + (2 * step + 1)).astype(_U)
-        low, span = np.where(hit, low, low + unit * start.astype(_U)), np.where(hit, span, unit * size.astype(_U))
-        rows = np.flatnonzero(new)
-        if len(rows):
-            xr = ids[step, rows]
-            which = RANGE_OF.take(xr)
-            cell = which * n + rows
-            below, above = lanes.below.take(cell), lanes.below.take(cell + n)
-            unit = span[rows] // lanes.below[_RANGES].take(rows).astype(_U)
-            inner = unit * (above - below).astype(_U) // sizes.take(which)
-            low[rows] += unit * below.astype(_U) + inner * (xr.astype(_U) - starts.take(which))
-            span[rows] = inner
-            lanes.count_range(rows, which)
-        lanes.low[:k], lanes.range[:k] = low, span
-        lanes.learn(k, x, hit, chance, known)
-        lanes.add(k, x, new, step)
-        for rows, low in lanes.settle(k):
-            out[pos[rows]] = low >> _U(48)
-            pos[rows] += 1
-    for i in range(4):
-        out[pos] = lanes.low >> _U(48 - 16 * i) & _U(0xFFFF)
-        pos += 1
-    return [out[i * width : pos[i]].tobytes() for i in range(n)]
-
-
-def decode_blocks(coded: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
+        if len(b) and (b.max() >= _IDS or b.min() < 0):
+            raise ValueError("ids must be under 65,536")
+        rows[i, : len(b)] = b
+    ids = turned(rows)
+    width = len(steps) + 2
+    out, at = np.zeros(n * width, np.uint32), np.arange(n) * width
+    lows, spans = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
+    for step, k in enumerate(steps):
+        if step >= lanes.due:
+            lanes.share(step, ids, False)
+        x, low, pos = ids[step, :k].astype(np.int64), lows[:k], at[:k]
+        guess, chance, known = lanes.predict(k)
+        hit = guess == x
+        place = lanes.place.take(lanes.base[:k] + x)
+        span = spans[:k]
+        part = (span >> _FLAG) * chance.astype(_U)
+        unit = (span - part) >> _SCALE
+        more = np.where(hit, _U(0), part + unit * (place >> _HALF))
+        span = np.where(hit, part, unit * (place & _LOW))
+        low += more
+        carried = pos[np.flatnonzero(low < more)] - 1
+        while len(carried):
+            out[carried] += np.uint32(1)
+            carried = carried[out[carried] == 0] - 1
+        # A step takes 32 bits at most, so what is left of the range is one word short at most.
+        short = np.flatnonzero(span < _SMALL)
+        shifted = low[short]
+        out[pos[short]] = shifted >> _HALF
+        pos[short] += 1
+        low[short] = shifted << _HALF
+        span[short] <<= _HALF
+        spans[:k] = span
+        lanes.learn(k, step, x, hit, chance, known)
+    out[at] = lows >> _HALF
+    out[at + 1] = lows & _LOW
+    size = at + 2 - np.arange(n) * width
+    out = out.reshape(n, width)
+    return [out[i, : size[i]].astype(">u4").tobytes() for i in range(n)]
+
+
+def decode_blocks(coded: list[bytes], lengths: np.ndarray, of: np.ndarray | None = None) -> list[np.ndarray]:
     """The inverse; lengths in descending order."""
     n = len(coded)
-    steps = int(lengths[0]) if n else 0
-    lanes = Lanes(n, steps)
-    width = max(map(len, coded), default=0) // 2 + 4
-    data = np.zeros((n, width), np.uint16)
-    for i, b in enumerate(coded):
-        data[i, : len(b) // 2] = np.frombuffer(b, ">u2")
-    data, pos = data.ravel(), np.arange(n) * width + 4
-    code = np.zeros(n, _U)
-    for i in range(4):
-        code = code << _SHIFT | data[np.arange(n) * width + i].astype(_U)
-    last = np.arange(1, n + 1) * width - 1
-    starts, sizes = STARTS.astype(np.int32), SIZES.astype(_U)
-    names, out = np.zeros(n * lanes.size, np.uint16), np.zeros((steps, n), np.uint16)
-    for step in range(steps):
-        k = n if lengths[-1] > step else int(np.searchsorted(-lengths, -step))
-        lane, seen, base = lanes.lane[:k], lanes.seen[:k], lanes.base[:k]
-        guess, chance, known = lanes.predict(k, step)
-        low, span, now = lanes.low[:k], lanes.range[:k], code[:k]
-        part = (span >> _U(12)) * chance.astype(_U)
-        hit = now - low < part
-        low, span = np.where(hit, low, low + part), np.where(hit, part, span - part)
-        total = seen + (2 * step + 1)
-        unit = span // total.astype(_U)
-        value = np.minimum(((now - low) // unit).astype(np.int64), total - 1) - (seen + 1)
-        new = (value < 0) & ~hit
-        short = value.astype(np.int16)
-        group = (lanes.top[1 : lanes.used + 1, :k] <= short).sum(axis=0, dtype=np.int64)
-        above = lanes.top.ravel().take(group * n + lane)
-        row = lanes.row.take(lanes.groups[:k] + group, axis=0)
-        # The last place whose sum is not beyond; the first is 0, so none beyond reads as place 0.
-        place = (row <= (short - above)[:, None]).argmin(axis=1)
-        x = (group << 5) + (place - 1 & _ROW - 1)
-        x = np.where(hit, guess, np.where(new, seen, x))
-        at = base + x
-        start = np.where(new, 0, lanes.top.ravel().take((x >> 5) * n + lane) + lanes.row.ravel().take(at) + (seen + 1))
-        size = np.where(new, seen + 1, lanes.count.take(at))
-        low, span = np.where(hit, low, low + unit * start.astype(_U)), np.where(hit, span, unit * size.astype(_U))
-        rows = np.flatnonzero(new)
-        if len(rows):
-            lo, here = low[rows], now[rows]
-            total = lanes.below[_RANGES].take(rows)
-            unit = span[rows] // total.astype(_U)
-            value = np.minimum((here - lo) // unit, (total - 1).astype(_U)).astype(np.int32)
-            which = (lanes.below[1:_RANGES].take(rows, axis=1) <= value).sum(axis=0, dtype=np.int32)
-            cell = which * n + rows
-            below, above = lanes.below.take(cell), lanes.below.take(cell + n)
-            lo = lo + unit * below.astype(_U)
-            size = sizes.take(which)
-            unit = unit * (above - below).astype(_U) // size
-            value = np.minimum((here - lo) // unit, size - _U(1))
-            low[rows], span[rows] = lo + unit * value, unit
-            names[at[rows]] = starts.take(which) + value.astype(np.int32)
-            lanes.count_range(rows, which)
-        lanes.low[:k], lanes.range[:k] = low, span
-        out[step, :k] = names.take(at)
-        lanes.learn(k, x, hit, chance, known)
-        lanes.add(k, x, new, step)
-        for rows, _ in lanes.settle(k):
-            code[rows] = code[rows] << _SHIFT | data[np.minimum(pos[rows], last[rows])].astype(_U)
-            pos[rows] += 1
-    return [out[: lengths[i], i].astype(np.int64) for i in range(n)]
-
-
-def side_by_side(blocks: list[np.ndarray]) -> list[bytes]:
-    """Codes blocks in any order of length."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    coded = dict(zip(order, encode_blocks([blocks[i] for i in order]), strict=True))
-    return [coded[i] for i in range(len(blocks))]
+    lengths = np.asarray(lengths, np.int64)
+    lanes = Lanes(lengths, np.zeros(n, np.int64) if of is None else of)
+    steps = active(lengths)
+    data = np.frombuffer(b"".join(coded), ">u4").astype(np.uint32)
+    words = np.array([len(c) // 4 for c in coded], np.int64)
+    at = np.cumsum(words) - words
+    codes, spans = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
+    for _ in range(2):
+        codes = codes << _HALF | data.take(at, mode="clip").astype(_U)
+        at += 1
+    out, top = np.zeros((len(steps), n), np.uint16), _U((1 << _BITS) - 1)
+    for step, k in enumerate(steps):
+        if step >= lanes.due:
+            lanes.share(step, out, True)
+        guess, chance, known = lanes.predict(k)
+        code, span, pos = codes[:k], spans[:k], at[:k]
+        part = (span >> _FLAG) * chance.astype(_U)
+        hit = code < part
+        unit = (span - part) >> _SCALE
+        rest = code - part
+        x = lanes.id_at.take(np.minimum(rest // unit, top).astype(np.int64) + lanes.shares[:k])
+        x = np.where(hit, guess, x).astype(np.int64)
+        out[step, :k] = x
+        place = lanes.place.take(lanes.base[:k] + x)
+        code = np.where(hit, code, rest - unit * (place >> _HALF))
+        span = np.where(hit, part, unit * (place & _LOW))
+        short = np.flatnonzero(span < _SMALL)
+        place = pos[short]
+        code[short] = code[short] << _HALF | data.take(place, mode="clip").astype(_U)
+        pos[short] = place + 1
+        span[short] <<= _HALF
+        codes[:k], spans[:k] = code, span
+        lanes.learn(k, step, x, hit, chance, known)
+    rows = turned(out)
+    return [rows[i, : lengths[i]] for i in range(n)]
+
+
+def side_by_side(runs: list[list[np.ndarray]]) -> list[list[bytes]]:
+    """Codes the blocks of segments, in any order of length."""
+    coded = []
+    for a in range(0, len(runs), TOGETHER):
+        some = runs[a : a + TOGETHER]
+        blocks, of = [b for run in some for b in run], np.repeat(np.arange(len(some)), [len(run) for run in some])
+        order = np.argsort([-len(b) for b in blocks], kind="stable")
+        found = dict(zip(order.tolist(), encode_blocks([blocks[i] for i in order], of[order]), strict=True))
+        rest = iter([found[i] for i in range(len(blocks))])
+        coded += [[next(rest) for _ in run] for run in some]
+    return coded
 
 
 def cut(ids: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
@@ -307,7 +268,7 @@ def cut(ids: np.ndarray, block: int = BLOCK) -> list[np.ndarray]:
 def segment(ids: np.ndarray, docs: pa.RecordBatch, block: int = BLOCK, coded: list[bytes] | None = None) -> bytes:
     """Length, document table and blocks of a run of documents; coded: its blocks, if they are coded already."""
     parts = cut(ids, block)
-    coded = side_by_side(parts) if coded is None else coded
+    coded = side_by_side([parts])[0] if coded is None else coded
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, docs.schema) as writer:
         writer.write_batch(docs)
@@ -341,14 +302,16 @@ def coded_segments(source: object) -> Iterator[tuple[pa.RecordBatch, list[bytes]
 
 
 def decoded(held: list[tuple[pa.RecordBatch, list[bytes], list[int]]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """(documents, ids) of coded segments, all of whose blocks are decoded side by side."""
-    coded, lengths = [c for _, x, _ in held for c in x], np.array([n for _, _, x in held for n in x], np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    found = dict(zip(order.tolist(), decode_blocks([coded[i] for i in order], lengths[order]), strict=True))
-    at = 0
-    for docs, blocks, _ in held:
-        yield docs, np.concatenate([found[i] for i in range(at, at + len(blocks))])
-        at += len(blocks)
+    """(documents, ids) of coded segments, whose blocks are decoded side by side."""
+    for start in range(0, len(held), TOGETHER):
+        some = held[start : start + TOGETHER]
+        coded, lengths = [c for _, x, _ in some for c in x], np.array([n for _, _, x in some for n in x], np.int64)
+        of, order = np.repeat(np.arange(len(some)), [len(x) for _, x, _ in some]), np.argsort(-lengths, kind="stable")
+        found = dict(zip(order.tolist(), decode_blocks([coded[i] for i in order], lengths[order], of[order]), strict=True))
+        at = 0
+        for docs, blocks, _ in some:
+            yield docs, np.concatenate([found[i] for i in range(at, at + len(blocks))])
+            at += len(blocks)
 
 
 def segments(source: object) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -379,16 +342,15 @@ def write(docs: DataFrame, path: str, id_col: str, text_col: str, end: int, toke
         tmp = lambda part: f"{root}/.{part}-{task.taskAttemptId()}.tmp"
 
         def flush(runs: list[tuple[int, list, list]]) -> None:
-            ids = [np.frombuffer(b"".join(held), "<u4").astype(np.int64) for _, _, held in runs]
-            blocks = [cut(x) for x in ids]
-            coded = iter(side_by_side([b for x in blocks for b in x]))
-            for (part, keys, held), mine, x in zip(runs, ids, blocks, strict=True):
-                table = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array([len(y) // 4 for y in held], pa.int64())], ["id", "n_tokens"])
+            ids = [np.concatenate([x for x, _ in held]) for _, _, held in runs]
+            coded = side_by_side([cut(x) for x in ids])
+            for (part, keys, held), mine, blocks in zip(runs, ids, coded, strict=True):
+                table = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(np.concatenate([n for _, n in held]), pa.int64())], ["id", "n_tokens"])
                 if part not in out:
                     store.create_dir(root, recursive=True)
                     out[part] = store.open_output_stream(tmp(part), compression=None)
                     out[part].write(MAGIC)
-                out[part].write(segment(mine, table, coded=[next(coded) for _ in x]))
+                out[part].write(segment(mine, table, coded=blocks))
 
         def closed(going: int | None) -> Iterator[pa.RecordBatch]:
             """Names files for good, but for that of the partition that is going on."""
@@ -397,17 +359,17 @@ def write(docs: DataFrame, path: str, id_col: str, text_col: str, end: int, toke
                 store.move(tmp(part), name(part))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name(part)]), pa.array([done[part][0]]), pa.array([done[part][1]]), pa.array([task.partitionId()], pa.int32())], ["part", "file", "docs", "tokens", "task"])
 
-        for batch, texts in slices(batches, "text", 1 << 20):
+        for batch, texts in slices(batches, "text"):
             parts = column(batch, "_part").to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                part, found = int(parts[a]), [words.encode(t) + tail for t in texts[a:b]]
+                part, (found, lengths) = int(parts[a]), words.encode_all(texts[a:b], tail)
                 if not filled or filled[-1][0] != part:
                     filled.append((part, [], []))
                 filled[-1][1].append(column(batch, "id").slice(a, b - a))
-                filled[-1][2].extend(found)
-                more, had = sum(map(len, found)) // 4, done.get(part, (0, 0))
-                size, done[part] = size + more, (had[0] + len(found), had[1] + more)
+                filled[-1][2].append((found, lengths))
+                more, had = len(found), done.get(part, (0, 0))
+                size, done[part] = size + more, (had[0] + len(lengths), had[1] + more)
                 if size >= SEGMENT:
                     if full:
                         flush(full)
